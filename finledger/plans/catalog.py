@@ -388,3 +388,8 @@ def q_forecast(spark, sf_dir):
 @register("forecast_by_account", _forecast_sql("account_id"))
 def q_forecast_by_account(spark, sf_dir):
     return trends.forecast(ledger_of(spark, sf_dir), by=ACCT)
+
+
+# Register the remaining query groups (they import the helpers above).
+from finledger.plans import more_queries as _more  # noqa: E402,F401
+from finledger.plans import ml_stream_queries as _ml_stream  # noqa: E402,F401

@@ -64,12 +64,15 @@ def check_columns(columns: list[str]) -> None:
         raise ValueError(f"CSV missing required columns: {missing}")
 
 
-def read_statement_csv(spark: SparkSession, paths: str | list[str], account_id=None) -> DataFrame:
+def read_statement_csv(spark: SparkSession, paths: str | list[str], account_id=None,
+                       account_column: str | None = None) -> DataFrame:
     """IO1 + IO11: statement lines from one or many CSV files, as strings.
 
     Output columns match the derived statements: account_id, source_file,
     row_seq, date_text, narration, debit_text, credit_text. ``row_seq`` keeps
     the order within a file (each file is one split under multiLine).
+    ``account_column`` names an optional CSV column holding the account of
+    each line (multi-account exports); otherwise ``account_id`` applies to all.
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -86,7 +89,8 @@ def read_statement_csv(spark: SparkSession, paths: str | list[str], account_id=N
         check_columns(list(by_trimmed))
         parts.append(
             raw.select(
-                F.lit(account_id).cast("long").alias("account_id"),
+                (F.col(f"`{by_trimmed[account_column]}`") if account_column in by_trimmed
+                 else F.lit(account_id)).cast("long").alias("account_id"),
                 F.col("_metadata.file_path").alias("source_file"),
                 F.monotonically_increasing_id().alias("row_seq"),
                 *[F.col(f"`{by_trimmed[src]}`").cast("string").alias(dst) for src, dst in _CANONICAL.items()],
