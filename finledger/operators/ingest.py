@@ -75,16 +75,20 @@ def prepare_transactions(statements: DataFrame, models=None, keyword_mode: str =
     """C4 + C5 for every kept line (before de-duplication).
 
     ``models``: an optional trained :class:`finledger.operators.ml.LedgerModels`
-    snapshot. Only debit lines that missed every keyword are scored, so the
-    model cost follows the miss rate, not the ledger size.
+    snapshot (decision D3: the model is fixed for the whole batch). Only the
+    distinct processed texts of debit lines that missed every keyword are
+    scored; the scores join back on the text. The scored texts are a small
+    dimension in practice (AQE broadcasts them at runtime); when they are not,
+    the join is a sort-merge join with AQE skew splitting.
     """
     lines = parse_lines(statements, keyword_mode).where("keep")
     if models is None:
         return _classified(lines)
     needs_ml = (~F.col("is_credit")) & F.col("kw_category").isNull()
-    scored = models.score(lines.where(needs_ml), "processed")
-    rest = _classified(lines.where(~needs_ml))
-    return rest.unionByName(_classified(scored, models.classify_kwargs()))
+    texts = lines.where(needs_ml).select("processed").distinct()
+    scored = models.score(texts, "processed")
+    joined = lines.join(scored, on="processed", how="left")
+    return _classified(joined, models.classify_kwargs())
 
 
 def first_per_hash(tx: DataFrame, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:

@@ -193,7 +193,7 @@ def train(bag: DataFrame, max_vocab: int = MAX_VOCAB, max_iter: int = MAX_ITER,
             train_df = lab.withColumn("label", idx.cast("double"))
             lr = LogisticRegression(featuresCol="ml_features", labelCol="label", weightCol="weight",
                                     maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0,
-                                    standardization=False, fitIntercept=True, family="auto", tol=1e-6)
+                                    standardization=False, fitIntercept=True, family="auto", tol=1e-4)
             models[name] = lr.fit(train_df)
             labels[name] = classes
         data.unpersist()
