@@ -84,9 +84,11 @@ def prepare_transactions(statements: DataFrame, models=None, keyword_mode: str =
     lines = parse_lines(statements, keyword_mode).where("keep")
     if models is None:
         return _classified(lines)
-    needs_ml = (~F.col("is_credit")) & F.col("kw_category").isNull()
-    texts = lines.where(needs_ml).select("processed").distinct()
-    scored = models.score(texts, "processed")
+    needs_ml = ((~F.col("is_credit")) & F.col("kw_category").isNull()).cast("int")
+    # distinct texts that need a model; filtering after the aggregate keeps the
+    # keyword CASE evaluated once per line (a pushed-down filter would repeat it)
+    texts = lines.groupBy("processed").agg(F.max(needs_ml).alias("needs_ml")).where("needs_ml = 1")
+    scored = models.score(texts.select("processed"), "processed")
     joined = lines.join(scored, on="processed", how="left")
     return _classified(joined, models.classify_kwargs())
 
