@@ -28,11 +28,33 @@ def normalize_description(col: str | Column) -> Column:
     return F.trim(F.regexp_replace(no_ref, _WHITESPACE, " "))
 
 
+# Shape of the text each format can parse (strptime: %Y is exactly 4 digits,
+# %m and %d 1 or 2, %b a 3-letter month). A format is only tried on text of
+# its shape, so the common case raises no parser exception at all.
+_SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+}
+
+
+def parse_date_value(col: str | Column) -> Column:
+    """C2 as a date: the first of six formats that parses, else null."""
+    raw = F.trim(_c(col).cast("string"))
+    return F.coalesce(*[F.when(raw.rlike(_SHAPES[fmt]), F.try_to_date(raw, fmt)) for fmt in DATE_FORMATS])
+
+
+def format_date(parsed: str | Column, col: str | Column) -> Column:
+    """C2 text: ``yyyy-MM-dd`` of the parsed date, else the trimmed original text."""
+    return F.coalesce(F.date_format(_c(parsed), "yyyy-MM-dd"), F.trim(_c(col).cast("string")))
+
+
 def parse_date(col: str | Column) -> Column:
     """The first of six formats that parses gives ``yyyy-MM-dd``; else the trimmed text."""
-    raw = F.trim(_c(col).cast("string"))
-    parsed = F.coalesce(*[F.try_to_date(raw, fmt) for fmt in DATE_FORMATS])
-    return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), raw)
+    return format_date(parse_date_value(col), col)
 
 
 def parse_amount(col: str | Column) -> Column:

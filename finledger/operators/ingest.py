@@ -19,7 +19,8 @@ from finledger.functions.text import (
     month_of,
     normalize_description,
     parse_amount,
-    parse_date,
+    format_date,
+    parse_date_value,
     to_money,
     txn_hash,
 )
@@ -39,9 +40,11 @@ def parse_lines(statements: DataFrame, keyword_mode: str = "substring") -> DataF
     """
     dr = parse_amount("debit_text")
     cr = parse_amount("credit_text")
-    lines = statements.select(
+    dated = statements.withColumn("txn_date", parse_date_value("date_text"))
+    lines = dated.select(
         "account_id", "source_file", "row_seq",
-        parse_date("date_text").alias("date"),
+        format_date("txn_date", "date_text").alias("date"),
+        "txn_date",
         F.col("narration").alias("description"),
         normalize_description("narration").alias("processed"),
         (cr > 0).alias("is_credit"),
@@ -60,7 +63,7 @@ def _classified(lines: DataFrame, ml_cols: dict | None = None) -> DataFrame:
     out = lines.select(
         "account_id", "source_file", "row_seq", "date",
         month_of("date").alias("month"),
-        F.try_to_date(F.col("date"), "yyyy-MM-dd").alias("txn_date"),
+        "txn_date",
         "description", "processed", "amount",
         cols["transaction_type"].alias("transaction_type"),
         cols["category"].alias("category"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from finledger.operators import corrections, ingest, ml
 from finledger.plans import oracle as O
 from finledger.plans.catalog import LEDGER_SELECT, ledger_of, register, statements
-from finledger.plans.more_queries import CORRECTION_RULES
+from finledger.plans.fixtures import CORRECTION_RULES
 from finledger.session import fresh_dir, prepare_session
 from finledger.sources.csv import read_statement_csv
 from finledger.sources.derived import derive_statements

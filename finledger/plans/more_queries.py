@@ -7,8 +7,6 @@ every query still grows with the ledger.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,30 +14,12 @@ from finledger.operators import budget, corrections, festivals, habits
 from finledger.operators.ingest import training_rows
 from finledger.plans import oracle as O
 from finledger.plans.catalog import ACCT, AS_OF_MONTH, ledger_of, register
+from finledger.plans.fixtures import AS_OF, CORRECTION_RULES, DAYS_AHEAD, SCENARIOS, budget_log_from_history
 from finledger.taxonomy import CATEGORY_TIPS, CURRENCY_SYMBOL, DEFAULT_FESTIVALS, DEFAULT_TIP
 
 # ---------------------------------------------------------------- budgets
 
 
-def budget_log_from_history(ledger: DataFrame, by=()) -> DataFrame:
-    """A budget change log a user could have produced: at the start of every
-    month each spent category's budget is set to that month's debit total,
-    and one day after its first budget the category's budget was deleted."""
-    start = F.try_to_date(F.concat(F.col("month"), F.lit("-01")), "yyyy-MM-dd")
-    monthly = (
-        ledger.where((F.col("transaction_type") == "Debit") & F.col("category").isNotNull() & start.isNotNull())
-        .groupBy(*by, "category", "month")
-        .agg(F.sum("amount").cast("decimal(18,2)").alias("monthly_limit"))
-        .withColumn("event_time", F.try_to_date(F.concat(F.col("month"), F.lit("-01")), "yyyy-MM-dd").cast("timestamp"))
-    )
-    sets = monthly.select(*by, "category", "monthly_limit", "event_time", F.lit("set").alias("op"))
-    deletes = monthly.groupBy(*by, "category").agg(
-        (F.min("event_time") + F.expr("INTERVAL 1 DAY")).alias("event_time")
-    ).select(*by, "category", F.lit(None).cast("decimal(18,2)").alias("monthly_limit"), "event_time",
-             F.lit("delete").alias("op"))
-    return sets.unionByName(deletes)
-
-
 def _budget_log_sql(by: str = "") -> str:
     sel = f"{by}, " if by else ""
     start = "TRY_CAST(month || '-01' AS DATE)"
@@ -192,8 +172,6 @@ def q_subscription_audit_by_account(spark, sf_dir):
     return habits.subscription_audit(ledger_of(spark, sf_dir), by=ACCT)
 
 
-SCENARIOS = [("Food & Dining", 20.0), ("Shopping", 10.0), ("Subscriptions", 50.0), ("Travel", 15.0),
-             ("Nonexistent Category", 10.0)]
 
 
 def _what_if_sql() -> str:
@@ -271,8 +249,6 @@ def q_suggestions(spark, sf_dir):
 
 # ---------------------------------------------------------------- festivals
 
-AS_OF = dt.datetime(2001, 10, 5, 12, 0, 0)
-DAYS_AHEAD = 90
 
 
 def _fest_values() -> str:
@@ -366,11 +342,6 @@ def q_festive_vs_normal(spark, sf_dir):
 
 # ---------------------------------------------------------------- corrections (C6, J7, M4, IO4)
 
-CORRECTION_RULES = {
-    "RANDOM MERCHANT": ("Shopping", 0),
-    "GYM RECURRING FEE": ("Personal Care", 0),
-    "MISC DEPOSIT": ("Transfer In", 0),
-}
 
 
 def _corrections_sql() -> str:
