@@ -23,7 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from finledger.operators import budget, festivals, habits, ingest, ledger as rows, summary, trends  # noqa: E402
 from finledger.plans.fixtures import AS_OF, budget_log_from_history  # noqa: E402
 from finledger.session import fresh_dir, local_session, prepare_session  # noqa: E402
-from finledger.sources.store import store_ledger  # noqa: E402
+from finledger.sources.store import write_batch  # noqa: E402
 from finledger.sources.derived import lineitem_statements, orders_statements  # noqa: E402
 
 ACCT = ("account_id",)
@@ -39,7 +39,7 @@ def main() -> None:
 
     def store(statements, name):
         path = f"{base}/{name}-{time.time_ns()}"
-        store_ledger(ingest.build_ledger(statements), path)
+        write_batch(ingest.build_ledger(statements), path, 0)
         return path
 
     timings: dict[str, float] = {}

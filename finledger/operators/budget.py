@@ -23,7 +23,9 @@ BUDGET_LOG_SCHEMA = "category string, monthly_limit decimal(18,2), event_time ti
 
 def budget_log(spark: SparkSession, events: list[tuple]) -> DataFrame:
     """A budget change log from (category, monthly_limit, event_time, op) tuples."""
-    return spark.createDataFrame(events, BUDGET_LOG_SCHEMA)
+    rows = [(c, None if lim is None else float(lim), t, op) for c, lim, t, op in events]
+    df = spark.createDataFrame(rows, "category string, monthly_limit double, event_time timestamp, op string")
+    return df.withColumn("monthly_limit", F.col("monthly_limit").cast("decimal(18,2)"))
 
 
 def current_budgets(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -20,7 +20,8 @@ CORRECTION_SCHEMA = "account_id long, hash string, category string, is_saving in
 
 def latest_corrections(corrections: DataFrame, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
     """One row per (key, hash): the most recent correction."""
-    latest = F.max_by(F.struct("category", "is_saving"), F.col("corrected_at"))
+    at = F.coalesce(F.col("corrected_at"), F.lit("1970-01-01 00:00:00").cast("timestamp"))
+    latest = F.max_by(F.struct("category", "is_saving"), at)
     return corrections.groupBy(*key, "hash").agg(latest.alias("c")).select(
         *key, "hash", F.col("c.category").alias("new_category"), F.col("c.is_saving").alias("new_is_saving"))
 

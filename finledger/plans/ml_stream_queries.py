@@ -15,6 +15,7 @@ from finledger.plans.fixtures import CORRECTION_RULES
 from finledger.session import fresh_dir, prepare_session
 from finledger.sources.csv import read_statement_csv
 from finledger.sources.derived import derive_statements
+from finledger.sources.store import LEDGER_SCHEMA
 from finledger.streaming import ingest_stream as st
 
 # ---------------------------------------------------------------- ML0-ML6 (no SQL oracle: iterative fit)
@@ -100,7 +101,7 @@ def q_stream_dedup(spark, sf_dir):
 def q_stream_daily(spark, sf_dir):
     ledger_path = _run_ingest_stream(spark, sf_dir)
     out = fresh_dir(spark, "stream-daily")
-    src = spark.readStream.schema(st.LEDGER_SCHEMA + ", batch long").parquet(ledger_path)
+    src = spark.readStream.schema(LEDGER_SCHEMA).parquet(ledger_path)
     q = (st.daily_totals_stream(src).writeStream.outputMode("update")
          .foreachBatch(st.window_sink(f"{out}/windows"))
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())

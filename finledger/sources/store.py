@@ -1,7 +1,12 @@
-"""Ledger storage: Parquet partitioned by month (IO3 append, IO4, IO8).
-
-Writes go to folders under the cluster's shared checkpoint root or any
-shared path given by the caller, never to a machine-local folder.
+"""Ledger storage (IO3 append, IO4 training bag, IO8 snapshot, M5 uniqueness).
+
+Layout: ``<path>/batch=<n>/month=<yyyy-mm>/part-*.parquet``. Every ingest
+(a batch upload or a streaming micro-batch) writes exactly one ``batch``
+folder in overwrite mode, after an anti-join against the folders of earlier
+batches only. Re-running a batch therefore rewrites the same rows instead of
+duplicating them, and readers see whole batches. Paths are under the
+cluster's shared storage (the caller's path or the checkpoint root), never a
+machine-local folder.
 """
 
 from __future__ import annotations
@@ -13,37 +18,66 @@ from pyspark.sql import functions as F
 
 from finledger.operators.ingest import ACCOUNT_KEY, LEDGER_COLUMNS, new_rows, training_rows
 
+LEDGER_SCHEMA = (
+    "account_id long, source_file string, row_seq long, date string, month string, txn_date date, "
+    "description string, processed string, amount decimal(18,2), transaction_type string, "
+    "category string, is_saving int, hash string, batch long"
+)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
+
+
+def batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Committed batch folders (metadata listing only)."""
+    fs, hp = _fs(spark, path)
+    if not fs.exists(hp):
+        return []
+    out = []
+    for st in fs.listStatus(hp):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("batch="):
+            out.append(int(name.split("=", 1)[1]))
+    return sorted(out)
+
 
-def store_ledger(ledger: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write ledger rows partitioned by ``month``.
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write one batch folder, partitioned by month.
 
-    ``rebalance`` lets AQE size the write tasks: small months are coalesced
-    into one file, a month holding a third of all rows is split into many
-    tasks instead of one.
+    ``rebalance`` lets AQE size the write tasks: small months share a file,
+    a month holding a third of all rows is split over many tasks.
     """
-    (ledger.select(*LEDGER_COLUMNS)
+    (rows.select(*LEDGER_COLUMNS)
      .hint("rebalance", "month")
-     .write.mode(mode).partitionBy("month").parquet(path))
+     .write.mode("overwrite").partitionBy("month").parquet(f"{path.rstrip('/')}/batch={batch_id}"))
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_stored(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame | None:
+    """The stored ledger, or only the batches before ``before_batch`` (partition pruning)."""
+    if not batch_ids(spark, path):
+        return None
+    df = spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    if before_batch is not None:
+        df = df.where(F.col("batch") < before_batch)
+    return df
 
 
-def append_new(spark: SparkSession, transactions: DataFrame, path: str, key=ACCOUNT_KEY) -> DataFrame:
-    """IO3: append the first copies of transactions whose (key, hash) is not stored yet.
+def append_new(spark: SparkSession, transactions: DataFrame, path: str, batch_id: int | None = None,
+               key=ACCOUNT_KEY) -> DataFrame:
+    """IO3: store the first copies of transactions whose (key, hash) is not stored yet.
 
-    Returns the inserted rows (read back from what was computed, for reports).
-    The stored side of the anti-join only needs (key, hash): column pruning
-    keeps that scan narrow.
+    Returns the rows of this batch as written (read back from storage).
     """
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no ledger yet
-        stored = None
-    fresh = new_rows(transactions, stored, key)
-    store_ledger(fresh.withColumn("uploaded_at", F.current_timestamp()).drop("uploaded_at"), path, mode="append")
-    return fresh
+    if batch_id is None:
+        ids = batch_ids(spark, path)
+        batch_id = (ids[-1] + 1) if ids else 0
+    stored = read_stored(spark, path, batch_id)
+    fresh = new_rows(transactions, None if stored is None else stored.select(*key, "hash"), key)
+    write_batch(fresh, path, batch_id)
+    return read_stored(spark, path).where(F.col("batch") == batch_id)
 
 
 def append_training(inserted: DataFrame, path: str) -> None:

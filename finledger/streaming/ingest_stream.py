@@ -18,40 +18,25 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finledger.operators.ingest import ACCOUNT_KEY, LEDGER_COLUMNS, new_rows, prepare_transactions
+from finledger.operators.ingest import ACCOUNT_KEY, prepare_transactions
+from finledger.sources import store
 
-LEDGER_SCHEMA = (
-    "account_id long, source_file string, row_seq long, date string, month string, txn_date date, "
-    "description string, processed string, amount decimal(18,2), transaction_type string, "
-    "category string, is_saving int, hash string"
-)
 STATEMENT_CSV_SCHEMA = "Date string, Narration string, `Debit Amount` string, `Credit Amount` string"
 
 
 def read_stored_ledger(spark: SparkSession, ledger_path: str, before_batch: int | None = None) -> DataFrame:
     """The stored ledger (all batch folders, or only those before ``before_batch``)."""
-    df = spark.read.schema(LEDGER_SCHEMA + ", batch long").parquet(ledger_path)
-    if before_batch is not None:
-        df = df.where(F.col("batch") < before_batch)   # partition pruning on the batch folder
-    return df
-
-
-def _has_files(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hp)
+    return store.read_stored(spark, ledger_path, before_batch)
 
 
 def ledger_sink(ledger_path: str, models=None, key: Sequence[str] = ACCOUNT_KEY) -> Callable[[DataFrame, int], None]:
     """ST1 foreachBatch body: classify, keep first copies not yet stored, write batch folder."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        tx = prepare_transactions(batch, models)
-        stored = read_stored_ledger(spark, ledger_path, batch_id) if _has_files(spark, ledger_path) else None
-        fresh = new_rows(tx, stored, key)
-        fresh.select(*LEDGER_COLUMNS).write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+        # a stream cannot number rows; inside the micro-batch each file is one
+        # split (multiLine), so the id keeps the line order within a file
+        lines = batch.withColumn("row_seq", F.coalesce(F.col("row_seq"), F.monotonically_increasing_id()))
+        store.append_new(batch.sparkSession, prepare_transactions(lines, models), ledger_path, batch_id, key)
 
     return write_batch
 
@@ -75,7 +60,7 @@ def statement_csv_stream(spark: SparkSession, directory: str, account_id=None) -
     return raw.select(
         F.lit(account_id).cast("long").alias("account_id"),
         F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("row_seq"),
+        F.lit(None).cast("long").alias("row_seq"),       # numbered per micro-batch by the sink
         F.col("Date").alias("date_text"), F.col("Narration").alias("narration"),
         F.col("`Debit Amount`").alias("debit_text"), F.col("`Credit Amount`").alias("credit_text"),
     )
