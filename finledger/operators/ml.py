@@ -65,9 +65,15 @@ def _token_stages() -> list:
 
 
 def fingerprint(bag: DataFrame) -> DataFrame:
-    """ML5: order-free fingerprint of the training bag (count, sum of row hashes)."""
+    """ML5: order-free fingerprint of the training bag: (row count, sum of row hashes).
+
+    Accepts the raw bag or the weighted bag (``weight`` = copies of a row);
+    both give the same fingerprint.
+    """
     h = F.xxhash64(F.coalesce(F.col("description"), F.lit("")), F.col("category")).cast("decimal(38,0)")
-    return bag.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("h"))
+    w = F.col("weight").cast("decimal(38,0)") if "weight" in bag.columns else F.lit(1).cast("decimal(38,0)")
+    return bag.agg(F.coalesce(F.sum(w), F.lit(0)).cast("long").alias("n"),
+                   F.coalesce(F.sum(h * w), F.lit(0)).cast("string").alias("h"))
 
 
 @dataclass
@@ -169,17 +175,20 @@ def train(bag: DataFrame, max_vocab: int = MAX_VOCAB, max_iter: int = MAX_ITER,
     Returns None when the bag is empty (ML4), or ``previous`` when its
     fingerprint is unchanged (ML5).
     """
-    fp_row = fingerprint(bag).first()
-    fp = (int(fp_row.n), fp_row.h)
-    if fp[0] == 0:
-        return None
-    if previous is not None and previous.fp == fp:
-        return previous
     wbag = weighted_bag(bag).cache()
     try:
+        fp_row = fingerprint(wbag).first()
+        fp = (int(fp_row.n), fp_row.h)
+        if fp[0] == 0:
+            return None
+        if previous is not None and previous.fp == fp:
+            return previous
         features = _fit_features(wbag, max_vocab)
         data = features.transform(wbag.withColumn("ml_text", F.coalesce(F.col("description"), F.lit(""))))
-        data = data.select("ml_features", "weight", "category").cache()
+        # one task per ~50k distinct texts: iterative fits pay a job per
+        # iteration, so a small bag must not be spread over idle partitions
+        target = max(1, min(wbag.rdd.getNumPartitions(), wbag.count() // 50_000 + 1))
+        data = data.select("ml_features", "weight", "category").coalesce(target).cache()
         n = float(fp[0])
         models: dict[str, LogisticRegressionModel | None] = {}
         labels: dict[str, list[str]] = {}
