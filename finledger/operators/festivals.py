@@ -83,7 +83,8 @@ def festival_history(ledger: DataFrame, festivals: DataFrame, by: Sequence[str]
     extra = max(0, difference); suggested = extra x 1.1."""
     monthly = _monthly_debits(ledger, by)
     by_cal = monthly.groupBy(*by, "cal_month").agg(F.sum("total").alias("fm_sum"), F.count(F.lit(1)).alias("fm_n"))
-    overall = monthly.groupBy(*by).agg(F.sum("total").alias("all_sum"), F.count(F.lit(1)).alias("all_n"))
+    # the overall average re-aggregates the (key, calendar month) rows: one pass over the ledger
+    overall = by_cal.groupBy(*by).agg(F.sum("fm_sum").alias("all_sum"), F.sum("fm_n").alias("all_n"))
     per_key = overall.select(*by, "all_sum", "all_n", F.explode(_festival_array(festivals)).alias("f")).select(
         *by, "all_sum", "all_n", "f.*")
     cond = [per_key[k] == by_cal[k] for k in by] + [per_key["fest_month"] == by_cal["cal_month"]]
