@@ -71,3 +71,15 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows; join it instead of inlining it")
     return rows
+
+
+def top_rows(df: DataFrame, k: int, order: list, by: Sequence[str] = ()) -> DataFrame:
+    """The first ``k`` rows in ``order`` (globally, or per ``by`` key).
+
+    Globally this plans a TakeOrderedAndProject (per-task top-k, then merge);
+    per key a row_number over the key's rows, which are aggregates here.
+    """
+    if not by:
+        return df.orderBy(*order).limit(k)
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")

@@ -63,28 +63,34 @@ def category_breakdown(ledger: DataFrame, transaction_type: str | None = None,
     return present(out, by, F.col("total").desc(), F.col("category").asc_nulls_first())
 
 
-def daily_spending(ledger: DataFrame, months_back: int = 3, by: Sequence[str] = ()) -> DataFrame:
-    """A4: debit total per date for the newest ``months_back*31`` dates that have spending.
-
-    This is a top-k report (the limit is the feature). Globally it is a
-    TakeOrderedAndProject; per key a row_number over the daily aggregate.
-    """
+def _daily_totals(ledger: DataFrame, months_back: int, by: Sequence[str]) -> DataFrame:
+    """Exact debit total per date for the newest ``months_back*31`` dates with spending."""
     n = months_back * 31
     daily = ledger.where(debit()).groupBy(*by, "date").agg(money_sum().alias("total"))
-    daily = daily.select(*by, "date", as_double("total").alias("total"))
     if not by:
         return daily.orderBy(F.col("date").desc()).limit(n)
     w = Window.partitionBy(*by).orderBy(F.col("date").desc())
     return daily.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("rank")
 
 
+def daily_spending(ledger: DataFrame, months_back: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """A4: debit total per date for the newest ``months_back*31`` dates that have spending.
+
+    This is a top-k report (the limit is the feature). Globally it is a
+    TakeOrderedAndProject; per key a row_number over the daily aggregate.
+    """
+    days = _daily_totals(ledger, months_back, by)
+    return days.select(*by, "date", as_double("total").alias("total"))
+
+
 def spending_heatmap(ledger: DataFrame, months_back: int = 6, by: Sequence[str] = ()) -> DataFrame:
     """A4b long form: weekday x ISO week totals of the daily spending window.
 
     The year is ignored (week 5 of two years adds up); dates that did not
-    parse are dropped. Monday first via ``weekday_no``.
+    parse are dropped. Monday first via ``weekday_no``. Cells add exact
+    decimals, so the result does not depend on summation order.
     """
-    days = daily_spending(ledger, months_back, by)
+    days = _daily_totals(ledger, months_back, by)
     d = F.try_to_date(F.col("date"), "yyyy-MM-dd")
     cells = days.where(d.isNotNull()).select(
         *by,
@@ -93,7 +99,7 @@ def spending_heatmap(ledger: DataFrame, months_back: int = 6, by: Sequence[str]
         F.weekofyear(d).alias("week"),
         "total",
     )
-    out = cells.groupBy(*by, "weekday", "weekday_no", "week").agg(F.sum("total").alias("total"))
+    out = cells.groupBy(*by, "weekday", "weekday_no", "week").agg(as_double(F.sum("total")).alias("total"))
     return present(out, by, "weekday_no", "week")
 
 

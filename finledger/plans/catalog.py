@@ -237,11 +237,12 @@ def q_category_month(spark, sf_dir):
 
 
 DAILY_SQL = (
-    "daily AS (SELECT date, CAST(sum(amount) AS DOUBLE) AS total FROM ledger WHERE transaction_type = 'Debit' "
+    "daily AS (SELECT date, sum(amount) AS total FROM ledger WHERE transaction_type = 'Debit' "
     "GROUP BY date ORDER BY date DESC LIMIT {n})")
 
 
-@register("daily_spending", O.over_ledger("SELECT date, total FROM daily", DAILY_SQL.format(n=93)))
+@register("daily_spending", O.over_ledger("SELECT date, CAST(total AS DOUBLE) AS total FROM daily",
+                                          DAILY_SQL.format(n=93)))
 def q_daily_spending(spark, sf_dir):
     return summary.daily_spending(ledger_of(spark, sf_dir), months_back=3)
 
@@ -256,7 +257,7 @@ def q_daily_spending_by_account(spark, sf_dir):
 
 @register("spending_heatmap", O.over_ledger(
     "SELECT dayname(d) AS weekday, CAST((dayofweek(d) + 6) % 7 AS INT) AS weekday_no, CAST(weekofyear(d) AS INT) AS week, "
-    "sum(total) AS total FROM (SELECT TRY_CAST(date AS DATE) AS d, total FROM daily) WHERE d IS NOT NULL "
+    "CAST(sum(total) AS DOUBLE) AS total FROM (SELECT TRY_CAST(date AS DATE) AS d, total FROM daily) WHERE d IS NOT NULL "
     "GROUP BY ALL", DAILY_SQL.format(n=186)))
 def q_spending_heatmap(spark, sf_dir):
     return summary.spending_heatmap(ledger_of(spark, sf_dir), months_back=6)

@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finledger.operators import budget, corrections, festivals, habits
+from finledger.operators import budget, corrections, festivals, habits, ledger as rows, trends
+from finledger.operators._common import top_rows
 from finledger.operators.ingest import training_rows
 from finledger.plans import oracle as O
 from finledger.plans.catalog import ACCT, AS_OF_MONTH, ledger_of, register
+from finledger.plans.catalog import _anomalies_sql as catalog_anomalies_sql
+from finledger.plans.catalog import _growth_sql as catalog_growth_sql
 from finledger.plans.fixtures import AS_OF, CORRECTION_RULES, DAYS_AHEAD, SCENARIOS, budget_log_from_history
 from finledger.taxonomy import CATEGORY_TIPS, CURRENCY_SYMBOL, DEFAULT_FESTIVALS, DEFAULT_TIP
 
@@ -252,7 +255,8 @@ def q_suggestions(spark, sf_dir):
 
 
 def _fest_values() -> str:
-    vals = ", ".join(f"({i + 1}, {O._q(n)}, {m}, {d}, {dur}, 1)" for i, (n, m, d, dur) in enumerate(DEFAULT_FESTIVALS))
+    vals = ", ".join(f"(CAST({i + 1} AS BIGINT), {O._q(n)}, {m}, {d}, {dur}, 1)"
+                     for i, (n, m, d, dur) in enumerate(DEFAULT_FESTIVALS))
     return f"fest(festival_id, name, month, day, duration_days, is_active) AS (VALUES {vals})"
 
 
@@ -381,3 +385,37 @@ def q_training_bag(spark, sf_dir):
     "SELECT category, count(*) AS n FROM ledger WHERE category IS NOT NULL GROUP BY category"))
 def q_training_rows_count(spark, sf_dir):
     return training_rows(ledger_of(spark, sf_dir)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- O4-O6: what the pages show
+
+
+def _limit_sql(sql: str, order: str, k: int) -> str:
+    head, select = sql.rsplit("\n", 1)
+    return f"{head}\nSELECT * FROM ({select}) ORDER BY {order} LIMIT {k}"
+
+
+@register("growth_top10", _limit_sql(catalog_growth_sql(), "growth_pct DESC, category", 10))
+def q_growth_top10(spark, sf_dir):
+    g = trends.growth_rates(ledger_of(spark, sf_dir))
+    return top_rows(g, 10, [F.col("growth_pct").desc(), F.col("category")])
+
+
+@register("anomalies_first10", _limit_sql(catalog_anomalies_sql(1.5), "month, category", 10))
+def q_anomalies_first10(spark, sf_dir):
+    return top_rows(trends.anomalies(ledger_of(spark, sf_dir), 1.5), 10, [F.col("month"), F.col("category")])
+
+
+@register("upcoming_top3", _limit_sql(_upcoming_sql("date"), "days_until, festival_id", 3))
+def q_upcoming_top3(spark, sf_dir):
+    up = festivals.upcoming_festivals(ledger_of(spark, sf_dir), festivals.festivals_table(spark), AS_OF,
+                                      days_ahead=DAYS_AHEAD)
+    return top_rows(up, 3, [F.col("days_until"), F.col("festival_id")])
+
+
+@register("uncategorized_first50", O.over_ledger(
+    "SELECT account_id, row_seq, date, description, CAST(amount AS DOUBLE) AS amount, transaction_type, category, "
+    "is_saving, hash FROM ledger WHERE category IS NULL ORDER BY date DESC, row_seq DESC, account_id DESC LIMIT 50"))
+def q_uncategorized_first50(spark, sf_dir):
+    unc = rows.uncategorized(ledger_of(spark, sf_dir))
+    return top_rows(unc, 50, [F.col("date").desc(), F.col("row_seq").desc(), F.col("account_id").desc()])
