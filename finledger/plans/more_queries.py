@@ -419,3 +419,78 @@ def q_upcoming_top3(spark, sf_dir):
 def q_uncategorized_first50(spark, sf_dir):
     unc = rows.uncategorized(ledger_of(spark, sf_dir))
     return top_rows(unc, 50, [F.col("date").desc(), F.col("row_seq").desc(), F.col("account_id").desc()])
+
+
+# ---------------------------------------------------------------- per-account variants
+
+
+_MONTHLY_DEBIT_ACCT = ("md AS (SELECT account_id, month, coalesce(TRY_CAST(substr(month, 6, 2) AS INT), 0) "
+                       "AS cal_month, sum(amount) AS total FROM ledger WHERE transaction_type = 'Debit' "
+                       "GROUP BY account_id, month)")
+
+
+def _history_acct_sql() -> str:
+    fa = "coalesce(CAST(c.s AS DOUBLE) / CAST(c.n AS DOUBLE), 0.0)"
+    oa = "coalesce(CAST(o.s AS DOUBLE) / CAST(o.n AS DOUBLE), 0.0)"
+    extra = f"greatest(0.0, {fa} - {oa})"
+    return (
+        f"SELECT o.account_id, f.festival_id, f.name, f.month, f.day, f.duration_days, {O.r2(fa)} AS avg_spend, "
+        f"{O.r2(oa)} AS normal_avg, {O.r2(extra)} AS extra_spend, {O.r2(extra + ' * 1.1')} AS suggested_saving "
+        "FROM (SELECT account_id, sum(total) AS s, count(*) AS n FROM md GROUP BY account_id) o "
+        "JOIN fest f ON f.is_active = 1 "
+        "LEFT JOIN (SELECT account_id, cal_month, sum(total) AS s, count(*) AS n FROM md GROUP BY account_id, cal_month) c "
+        "ON c.account_id = o.account_id AND c.cal_month = f.month")
+
+
+@register("festival_history_by_account", O.over_ledger(_history_acct_sql(), _fest_values() + ", " + _MONTHLY_DEBIT_ACCT))
+def q_festival_history_by_account(spark, sf_dir):
+    return festivals.festival_history(ledger_of(spark, sf_dir), festivals.festivals_table(spark), by=ACCT)
+
+
+def _festive_acct_sql() -> str:
+    months = sorted({m for _, m, _, _ in DEFAULT_FESTIVALS})
+    fest = f"cal_month IN ({', '.join(str(m) for m in months)})"
+    fa = "CASE WHEN f_n > 0 THEN CAST(f_sum AS DOUBLE) / CAST(f_n AS DOUBLE) ELSE 0.0 END"
+    na = "CASE WHEN n_n > 0 THEN CAST(n_sum AS DOUBLE) / CAST(n_n AS DOUBLE) ELSE 0.0 END"
+    diff = O.r2(f"({fa}) - ({na})")
+    return O.over_ledger(
+        f"SELECT account_id, {O.r2(fa)} AS festive_months_avg, {O.r2(na)} AS normal_months_avg, {diff} AS difference, "
+        f"{O.r1(f'CASE WHEN ({na}) > 0 THEN (({fa}) - ({na})) / ({na}) * 100 ELSE 0.0 END')} AS difference_pct, "
+        f"f_n AS festive_months_count, n_n AS normal_months_count, {O.r2(diff + ' / 12')} AS monthly_set_aside FROM ("
+        f"SELECT account_id, sum(CASE WHEN {fest} THEN total ELSE 0 END) AS f_sum, count_if({fest}) AS f_n, "
+        f"sum(CASE WHEN NOT ({fest}) THEN total ELSE 0 END) AS n_sum, count_if(NOT ({fest})) AS n_n FROM md "
+        "GROUP BY account_id) WHERE f_n + n_n > 0", _MONTHLY_DEBIT_ACCT)
+
+
+@register("festive_vs_normal_by_account", _festive_acct_sql())
+def q_festive_vs_normal_by_account(spark, sf_dir):
+    return festivals.festive_vs_normal(ledger_of(spark, sf_dir), festivals.festivals_table(spark), by=ACCT)
+
+
+@register("seasonal_by_account", O.over_ledger(
+    "SELECT account_id, cal_month, CASE WHEN cal_month > 12 THEN 'Unknown' WHEN cal_month >= 0 THEN "
+    f"{O.month_names_sql()}[cal_month + 1] ELSE {O.month_names_sql()}[cal_month + 14] END AS month_name, "
+    f"{O.r2('CAST(total AS DOUBLE) / CAST(txn_count AS DOUBLE)')} AS avg_daily_spend, "
+    "CAST(total AS DOUBLE) AS total_spend, txn_count, "
+    f"{O.r1('(CAST(total AS DOUBLE) / (CAST(sum(total) OVER (PARTITION BY account_id) AS DOUBLE) / CAST(count(*) OVER (PARTITION BY account_id) AS DOUBLE)) - 1) * 100')} "
+    "AS vs_average_pct FROM (SELECT account_id, coalesce(TRY_CAST(substr(date, 6, 2) AS INT), 0) AS cal_month, "
+    "sum(amount) AS total, count(*) AS txn_count FROM ledger WHERE transaction_type = 'Debit' GROUP BY 1, 2)"))
+def q_seasonal_by_account(spark, sf_dir):
+    return trends.seasonal_patterns(ledger_of(spark, sf_dir), by=ACCT)
+
+
+@register("what_if_by_account", O.over_ledger(
+    "SELECT m.account_id, m.category, "
+    + ", ".join([
+        f"{O.r2('CAST(total AS DOUBLE) / CAST(months AS DOUBLE)')} AS current_monthly_avg",
+        "reduction_pct",
+        f"{O.r2('(CAST(total AS DOUBLE) / CAST(months AS DOUBLE) * (reduction_pct / 100))')} AS monthly_saving",
+        f"{O.r2('(CAST(total AS DOUBLE) / CAST(months AS DOUBLE) * (reduction_pct / 100)) * 12')} AS annual_saving",
+        f"{O.r2('CAST(total AS DOUBLE) / CAST(months AS DOUBLE) - (CAST(total AS DOUBLE) / CAST(months AS DOUBLE) * (reduction_pct / 100))')} AS new_monthly_avg",
+    ])
+    + " FROM (SELECT account_id, category, sum(m) AS total, count(*) AS months FROM (SELECT account_id, category, "
+    "month, sum(amount) AS m FROM ledger WHERE transaction_type = 'Debit' GROUP BY account_id, category, month) "
+    "GROUP BY account_id, category HAVING sum(m) <> 0) m JOIN sc ON m.category = sc.category",
+    "sc(category, reduction_pct) AS (VALUES " + ", ".join(f"({O._q(c)}, CAST({p} AS DOUBLE))" for c, p in SCENARIOS) + ")"))
+def q_what_if_by_account(spark, sf_dir):
+    return habits.what_if(ledger_of(spark, sf_dir), habits.scenarios(spark, SCENARIOS), by=ACCT)
