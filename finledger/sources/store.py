@@ -16,6 +16,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finledger.operators._common import bounded_rows
 from finledger.operators.ingest import ACCOUNT_KEY, LEDGER_COLUMNS, new_rows, training_rows
 
 LEDGER_SCHEMA = (
@@ -25,6 +26,9 @@ LEDGER_SCHEMA = (
 )
 
 
+MAX_BATCH_MONTHS = 100_000
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hp = jvm.org.apache.hadoop.fs.Path(path)
@@ -74,9 +78,20 @@ def append_new(spark: SparkSession, transactions: DataFrame, path: str, batch_id
     if batch_id is None:
         ids = batch_ids(spark, path)
         batch_id = (ids[-1] + 1) if ids else 0
-    stored = read_stored(spark, path, batch_id)
-    fresh = new_rows(transactions, None if stored is None else stored.select(*key, "hash"), key)
-    write_batch(fresh, path, batch_id)
+    tx = transactions.persist()
+    try:
+        stored = read_stored(spark, path, batch_id)
+        if stored is not None:
+            # the hash contains the date, so a stored copy can only sit in one of
+            # the batch's months: read just those partitions, not the whole ledger
+            months = [r.month for r in bounded_rows(tx.select("month").distinct(), MAX_BATCH_MONTHS, "batch months")]
+            in_months = F.col("month").isin([m for m in months if m is not None])
+            if None in months:
+                in_months = in_months | F.col("month").isNull()
+            stored = stored.where(in_months).select(*key, "hash")
+        write_batch(new_rows(tx, stored, key), path, batch_id)
+    finally:
+        tx.unpersist()
     return read_stored(spark, path).where(F.col("batch") == batch_id)
 
 
