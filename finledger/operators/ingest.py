@@ -74,9 +74,15 @@ def _classified(lines: DataFrame, ml_cols: dict | None = None) -> DataFrame:
     ).select(*LEDGER_COLUMNS)
 
 
-def prepare_transactions(statements: DataFrame, models=None, keyword_mode: str = "substring") -> DataFrame:
+def prepare_transactions(statements: DataFrame, models=None, keyword_mode: str = "substring",
+                         keep_dropped: bool = False) -> DataFrame:
     """C4 + C5 for every kept line (before de-duplication).
 
+    ``keep_dropped=True`` also returns the dropped lines (null ``amount``) so a
+    caller can remove them after its own aggregate: a filter here is pushed
+    down to the scan, below the repartition that spreads a single-split source
+    over the cores, and would then run in one task.
+
     ``models``: an optional trained :class:`finledger.operators.ml.LedgerModels`
     snapshot (decision D3: the model is fixed for the whole batch). Only the
     distinct processed texts of debit lines that missed every keyword are
@@ -84,7 +90,9 @@ def prepare_transactions(statements: DataFrame, models=None, keyword_mode: str =
     dimension in practice (AQE broadcasts them at runtime); when they are not,
     the join is a sort-merge join with AQE skew splitting.
     """
-    lines = parse_lines(statements, keyword_mode).where("keep")
+    lines = parse_lines(statements, keyword_mode)
+    if not keep_dropped:
+        lines = lines.where("keep")
     if models is None:
         return _classified(lines)
     needs_ml = ((~F.col("is_credit")) & F.col("kw_category").isNull()).cast("int")
@@ -111,7 +119,9 @@ def first_per_hash(tx: DataFrame, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame
 
 def new_rows(tx: DataFrame, stored: DataFrame | None = None, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
     """First copies whose (key, hash) is not in the stored ledger yet."""
-    firsts = first_per_hash(tx, key)
+    # dropped lines (null amount) never share a hash with kept ones; removing
+    # them after the aggregate keeps the filter off the scan
+    firsts = first_per_hash(tx, key).where(F.col("amount").isNotNull())
     if stored is None:
         return firsts
     return firsts.join(stored.select(*key, "hash"), on=[*key, "hash"], how="left_anti")
@@ -119,7 +129,7 @@ def new_rows(tx: DataFrame, stored: DataFrame | None = None, key: Sequence[str]
 
 def build_ledger(statements: DataFrame, models=None, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
     """Statement lines -> ledger rows (first ingest of an empty ledger)."""
-    return first_per_hash(prepare_transactions(statements, models), key)
+    return new_rows(prepare_transactions(statements, models, keep_dropped=True), None, key)
 
 
 def ingest_report(statements: DataFrame, stored: DataFrame | None = None,
@@ -137,7 +147,7 @@ def ingest_report(statements: DataFrame, stored: DataFrame | None = None,
         (~F.col("keep")).cast("long").alias("dropped"),
         zero.alias("inserted"), zero.alias("uncategorized"),
     )
-    ins = new_rows(prepare_transactions(statements), stored, key).select(
+    ins = new_rows(prepare_transactions(statements, keep_dropped=True), stored, key).select(
         *by, zero.alias("total_rows"), zero.alias("kept"), zero.alias("dropped"),
         F.lit(1).cast("long").alias("inserted"),
         F.col("category").isNull().cast("long").alias("uncategorized"),

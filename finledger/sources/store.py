@@ -51,11 +51,13 @@ def batch_ids(spark: SparkSession, path: str) -> list[int]:
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Write one batch folder, partitioned by month.
 
-    ``rebalance`` lets AQE size the write tasks: small months share a file,
-    a month holding a third of all rows is split over many tasks.
+    ``rebalance`` over the session's shuffle partitions spreads the write
+    tasks by month, and AQE still splits a month holding a third of all rows
+    over many tasks instead of one.
     """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (rows.select(*LEDGER_COLUMNS)
-     .hint("rebalance", "month")
+     .hint("rebalance", n, "month")
      .write.mode("overwrite").partitionBy("month").parquet(f"{path.rstrip('/')}/batch={batch_id}"))
 
 
