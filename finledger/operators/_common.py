@@ -22,6 +22,7 @@ def credit() -> Column:
 def money_sum(cond: Column | None = None, col: str = "amount") -> Column:
     """Exact decimal sum, optionally conditional (``SUM(CASE WHEN c THEN amount ELSE 0 END)``)."""
     x = F.col(col) if cond is None else F.when(cond, F.col(col)).otherwise(F.lit(0).cast("decimal(18,2)"))
+    # (a pre-summed decimal column works too: the zero widens to its type)
     return F.sum(x)
 
 

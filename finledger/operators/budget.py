@@ -69,6 +69,12 @@ def budget_vs_actual(ledger: DataFrame, budgets: DataFrame, month: str, by: Sequ
         .groupBy(*keys)
         .agg(money_sum().alias("spent"))
     )
+    return budget_status(spend, budgets, month, by)
+
+
+def budget_status(spend: DataFrame, budgets: DataFrame, month: str, by: Sequence[str] = ()) -> DataFrame:
+    """A12 from a month's (key, category, spent) aggregate and the current budgets."""
+    keys = [*by, "category"]
     b = budgets.select(*keys, F.col("monthly_limit").cast("decimal(18,2)").alias("limit"))
     # the budget side is at most one row per (key, category); AQE broadcasts it when small
     j = b.join(spend, on=keys, how="left")
@@ -105,13 +111,23 @@ def spending_ratio(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     non-saving debits (uncategorised included); percentages of income. Keys
     with no positive income produce no row.
     """
+    return ratio_report(ratio_sums(ledger, by), by)
+
+
+def ratio_sums(rows: DataFrame, by: Sequence[str] = (), amount: str = "amount") -> DataFrame:
+    """A10 sums (income, expenses, savings, needs) of ledger rows or of pre-summed rows."""
     non_saving_debit = debit() & (F.col("is_saving") == 0)
-    agg = ledger.groupBy(*by).agg(
-        money_sum(credit()).alias("income"),
-        money_sum(non_saving_debit).alias("expenses"),
-        money_sum(F.col("is_saving") == 1).alias("savings"),
-        money_sum(non_saving_debit & F.col("category").isin(NEEDS_CATEGORIES)).alias("needs"),
-    ).where(F.col("income") > 0)
+    return rows.groupBy(*by).agg(
+        money_sum(credit(), amount).alias("income"),
+        money_sum(non_saving_debit, amount).alias("expenses"),
+        money_sum(F.col("is_saving") == 1, amount).alias("savings"),
+        money_sum(non_saving_debit & F.col("category").isin(NEEDS_CATEGORIES), amount).alias("needs"),
+    )
+
+
+def ratio_report(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A10 report from :func:`ratio_sums`; keys without positive income give no row."""
+    agg = sums.where(F.col("income") > 0)
     inc = as_double("income")
     wants = F.col("expenses") - F.col("needs")
     pct = lambda x: r1(as_double(x) / inc * 100)

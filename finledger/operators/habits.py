@@ -22,7 +22,8 @@ from finledger.operators._common import (
     present,
     r2,
 )
-from finledger.operators.budget import budget_vs_actual, spending_ratio
+from finledger.operators.budget import budget_status, ratio_report, ratio_sums
+from finledger.operators.ledger import month_filter
 from finledger.taxonomy import CATEGORY_TIPS, DEFAULT_TIP, DISCRETIONARY_CATEGORIES
 
 SUGGESTION_COLUMNS = ["priority", "category", "type", "message", "potential_saving"]
@@ -132,16 +133,41 @@ def tips_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(CATEGORY_TIPS.items()), "category string, tip string")
 
 
+def _suggestion_grain(ledger: DataFrame, month: str, by: Sequence[str]) -> DataFrame:
+    """One aggregate feeds all four rules: ledger rows summed per (key, category,
+    type, is_saving, in report month, subscription description). All rule
+    inputs are sums, counts, minima or maxima of this grain, so the ledger is
+    scanned once and its shuffle is reused by every rule."""
+    sub = debit() & (
+        (F.col("category") == "Subscriptions")
+        | F.col("description").ilike("%SUBSCRIPTION%")
+        | F.col("description").ilike("%RECURRING%")
+    )
+    return ledger.groupBy(
+        *by, "category", "transaction_type", "is_saving",
+        month_filter(month).alias("in_month"),
+        F.when(sub, F.col("description")).alias("sub_desc"),
+    ).agg(
+        money_sum().alias("total"),
+        F.count(F.lit(1)).alias("n"),
+        F.min("date").alias("first_seen"),
+        F.max("date").alias("last_seen"),
+    )
+
+
 def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Sequence[str] = ()) -> DataFrame:
     """Budget overruns/warnings, top-3 discretionary with a tip, the
     subscription audit and the 50/30/20 checks, unioned and ordered by
-    priority (stable)."""
+    priority (stable). Every rule reads one shared aggregate of the ledger."""
     spark = ledger.sparkSession
     parts = []
     null_money = F.lit(None).cast("double")
+    grain = _suggestion_grain(ledger, month, by)
 
     if budgets is not None:
-        b = budget_vs_actual(ledger, budgets, month, by).where(F.col("status").isin("over", "warning"))
+        spend = grain.where(debit() & F.col("in_month")).groupBy(*by, "category").agg(
+            F.sum("total").alias("spent"))
+        b = budget_status(spend, budgets, month, by).where(F.col("status").isin("over", "warning"))
         over = F.col("status") == "over"
         excess = r2(F.col("spent") - F.col("budget"))
         parts.append(b.select(
@@ -161,7 +187,10 @@ def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Se
             F.col("utilization_pct").alias("seq_key"),
         ))
 
-    d = discretionary(ledger, by)
+    d = (
+        grain.where(debit() & F.col("category").isin(DISCRETIONARY_CATEGORIES))
+        .groupBy(*by, "category").agg(as_double(F.sum("total")).alias("total"))
+    )
     w = key_window(by).orderBy(F.col("total").desc(), "category")
     top = d.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= 3)
     tips = F.broadcast(tips_dimension(spark))  # fixed 8-row dimension
@@ -176,7 +205,13 @@ def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Se
         (-F.col("pos")).cast("double").alias("seq_key"),
     ))
 
-    subs = subscription_total(subscription_audit(ledger, by), by).where(F.col("subscriptions") > 0)
+    audit = (
+        grain.where(F.col("sub_desc").isNotNull())
+        .groupBy(*by, "sub_desc").agg(F.sum("total").alias("total"), F.sum("n").alias("occurrences"))
+        .where(F.col("occurrences") >= 2)
+        .select(*by, r2(mean_of(F.col("total"), F.col("occurrences")) * 12).alias("estimated_annual"))
+    )
+    subs = subscription_total(audit, by).where(F.col("subscriptions") > 0)
     parts.append(subs.select(
         *by, F.lit("medium").alias("priority"), F.lit("Subscriptions").alias("category"),
         F.lit("subscription_audit").alias("type"),
@@ -188,7 +223,7 @@ def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Se
         F.lit(0.0).alias("seq_key"),
     ))
 
-    ratio = spending_ratio(ledger, by)
+    ratio = ratio_report(ratio_sums(grain, by, "total"), by)
     rules = F.array(
         F.when(F.col("wants_pct") > 35, F.struct(
             F.lit("spending_ratio").alias("type"),
