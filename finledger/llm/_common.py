@@ -56,6 +56,31 @@ def id_key(col: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("null"))
 
 
+def seal(df: DataFrame, **roles: str) -> DataFrame:
+    """The columns that an operator works on, under its own names, and all of the input's as the struct ``_row``.
+
+    So no column of the input can clash with a helper column. The text is not
+    doubled: a role named ``_text`` stays out of ``_row``.
+    """
+    text = roles.get("_text")
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text]
+    row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
+    return df.select(*[F.col(f"`{c}`").alias(r) for r, c in roles.items()], row.alias("_row"))
+
+
+def unseal(df: DataFrame, like: DataFrame, text: str | None = None, now: str = "_text", added: Sequence[str] = ()) -> DataFrame:
+    """The columns of ``like`` (its text from ``now``) and the added ones; an added name that is taken gets leading underscores."""
+    cols = [F.col(now).alias(c) if c == text else F.col(f"_row.c{i}").alias(c) for i, c in enumerate(like.columns)]
+    return df.select(*cols, *[F.col(a).alias(free_name(a, like.columns)) for a in added])
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def uniform(seed: int, *cols: Column) -> Column:
     """A number in (0, 1) that depends on the seed and the columns alone (52 bits of an md5)."""
     key = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])

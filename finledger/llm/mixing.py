@@ -25,7 +25,7 @@ are selected like others but take no words; repeated rows with
 equal id and text share a key: they are ordered by nothing and taken together;
 rows of one id with different texts are ordered by a hash of the text; a null
 id has the key of the text ``null``; an empty table gives an empty result.
-Input columns pass through :func:`mix` (helpers start with ``_``).
+Input columns, whatever their names, pass through :func:`mix`.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finledger.llm._common import buckets_for, text_or_empty, text_tie, uniform, words, written
+from finledger.llm._common import buckets_for, seal, text_or_empty, text_tie, uniform, unseal, words, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -138,11 +138,12 @@ def plan_mix(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
-        weight: Column | None = None, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
+        weight: str | None = None, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
         most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it. Texts are read twice and never shuffled."""
-    k = keyed(docs, doc_id, source, text, weight, seed)
+    d = seal(docs, _doc=doc_id, _from=source, _text=text, **({"_quality": weight} if weight else {}))
+    k = keyed(d, "_doc", "_from", "_text", F.col("_quality") if weight else None, seed)
     bounds = plan_mix(written(k.select("_src", "_nosrc", "_size", "_key", "_tie"), "mix-keys"), weights, share, most)
     out = copies(k, bounds).where("copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unseal(out, docs, text)

@@ -26,7 +26,7 @@ Defined cases: a null or empty text has fingerprint zero and links like any
 other; fewer than ``shingle`` words: the whole sequence is one shingle; rows
 with a null id take part, a component's id is its smallest non-null id (null
 if it has none); repeated rows are equal points; an empty table gives an empty
-result.
+result; other columns, whatever their names, pass through :func:`deduplicate`.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finledger.llm._common import LOWER_BYTES, id_key, text_tie, written
+from finledger.llm._common import LOWER_BYTES, id_key, seal, text_tie, unseal, written
 from finledger.llm.components import components
 
 SHINGLE = 3
@@ -126,14 +126,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(_id, _tie, fp, component_id) for each input row."""
+    """(_id, _tie, fp, label, component_id) for each input row; label, the least fingerprint, names the component."""
     rows = written(fingerprints(docs, doc_id, text, shingle), "simhash")
     groups = written(rows.groupBy("fp").agg(F.min("_id").alias("least")), "simhash-groups")
     label = components(links(groups, max_bits)).withColumnRenamed("node", "fp")
     of = groups.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = written(of.select("fp", "label").join(ids, "label").select(F.col("fp").alias("_fp"), "component_id"), "simhash-ids")
-    return rows.join(ids, F.col("fp") == F.col("_fp")).select("_id", "_tie", "fp", "component_id")
+    ids = written(of.select("fp", "label").join(ids, "label").select(F.col("fp").alias("_fp"), "label", "component_id"), "simhash-ids")
+    return rows.join(ids, F.col("fp") == F.col("_fp")).select("_id", "_tie", "fp", "label", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -142,14 +142,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Components without any id keep the row with the smallest text hash.
     """
-    near = near_duplicates(docs, doc_id, text, shingle, max_bits)
-    cols = docs.columns
-    # one winner for each component: an aggregate with map-side minimum; components without an id by their fingerprint
-    comp = F.struct(F.col("component_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f"))
-    win = near.groupBy(comp.alias("_c")).agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")).alias("w"))
+    d = seal(docs, _doc=doc_id, _text=text)
+    near = near_duplicates(d, "_doc", "_text", shingle, max_bits)
+    # one winner for each component: an aggregate with map-side minimum
+    win = near.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")).alias("w"))
     win = written(win.select(id_key(F.col("w._id")).alias("_wk"), F.col("w._tie").alias("_wt")).distinct(), "simhash-kept")
-    d = docs.withColumns({"_key": id_key(F.col(doc_id)), "_tie": text_tie(F.coalesce(F.col(text), F.lit("")))})
+    d = d.withColumns({"_key": id_key(F.col("_doc")), "_tie": text_tie(F.coalesce(F.col("_text"), F.lit("")))})
     kept = d.join(win, (F.col("_key") == F.col("_wk")) & (F.col("_tie") == F.col("_wt")), "left_semi")
     # repeated rows of one id and text: one stays (the join has grouped and sorted them already)
     one = F.row_number().over(Window.partitionBy("_key", "_tie").orderBy("_key"))
-    return kept.withColumn("_n", one).where("_n = 1").select(*[F.col(f"`{c}`") for c in cols])
+    return unseal(kept.withColumn("_n", one).where("_n = 1"), docs, text)

@@ -29,8 +29,8 @@ that a third of all documents share is one entry for each unit, never one for ea
 
 Defined cases: null and empty texts have no words (kept text empty); a text
 shorter than the window is kept whole; null ids sort last and count as one id; rows of one id are never removed
-against each other; an empty table gives an empty result; other columns pass
-through (helper columns start with ``_``).
+against each other; an empty table gives an empty result; other columns, whatever their names, pass
+through (an added name that is taken gets a leading underscore).
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finledger.llm._common import text_or_empty
+from finledger.llm._common import free_name, text_or_empty
 
 WINDOW = 13
 DEPTH = 2
@@ -346,4 +346,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                           + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     done = by_unit.cogroup(answers.groupBy("_unit")).applyInArrow(_remove(plan, names), schema)
     return done.select(*[F.col(name).alias(c) for c, name in zip(keep, names)],
-                       *[F.col(c).alias(f"_{c}" if c in keep else c) for c in ("n_words", "n_removed", "kept_text")])
+                       *[F.col(c).alias(free_name(c, keep)) for c in ("n_words", "n_removed", "kept_text")])
