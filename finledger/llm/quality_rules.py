@@ -13,11 +13,10 @@ lines, so no passage disappears from the corpus.
 Defined cases: null text = empty text (no lines, no words; fails the base
 rule); null host is a host of its own; repeated rows get equal verdicts; rows
 of one id with different texts are judged apart; an empty table gives an
-empty result; other columns of the input pass through :func:`clean` untouched
-and never clash (helper columns start with ``_``).
+empty result; other columns of the input, whatever their names, pass through :func:`clean` untouched.
 
-Everything is built-in expressions. Shuffled are hashes and counts, never
-texts, except in :func:`clean`, which joins the lines to remove back.
+Everything is built-in expressions. The lines' hashes are written once and read
+by both sides of the join. Shuffled are hashes and counts, never texts, except in :func:`clean`, which joins the lines to remove back.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finledger.llm._common import LOWER, SPACES, UPPER, text_or_empty, text_tie, words
+from finledger.llm._common import LOWER, SPACES, UPPER, seal, text_or_empty, text_tie, unseal, words, written
 
 SYMBOLS = "#*$%&|<>"
 MAX_DOCS = 20        # a line in more distinct documents of one host is boilerplate
@@ -34,9 +33,11 @@ MIN_WORDS = 50       # base rule
 MAX_REPEAT = 50      # base rule: percent of words in repeated 3-word windows
 
 
-def normalise_line(line: Column) -> Column:
-    low = F.translate(line, UPPER + SPACES + "123456789", LOWER + " " * len(SPACES) + "0" * 9)
-    return F.trim(F.regexp_replace(low, " +", " "))
+def line_hashes(text: Column) -> Column:
+    """For each ``\\n``-split line, in order: hash of its normalised words and how many there are."""
+    low = F.translate(text, UPPER + SPACES.replace("\n", "") + "123456789", LOWER + " " * (len(SPACES) - 1) + "0" * 9)
+    split = F.transform(F.split(low, "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    return F.transform(split, lambda ws: F.struct(F.xxhash64(F.array_join(ws, " ")).alias("h"), F.size(ws).alias("w")))
 
 
 def has_word(line: Column) -> Column:
@@ -82,9 +83,7 @@ def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 def document_lines(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """One row per line with a word: (_id, _tie, _host, _line, _words); _line is the hash of the normalised line."""
     t = text_or_empty(text)
-    lines = F.transform(
-        F.filter(F.split(t, "\n"), has_word),
-        lambda x: F.struct(F.xxhash64(normalise_line(x)).alias("h"), F.size(words(x)).alias("w")))
+    lines = F.filter(line_hashes(t), lambda x: x["w"] > 0)
     d = docs.select(F.col(doc_id).alias("_id"), text_tie(t).alias("_tie"), F.col(host).alias("_host"), F.explode(lines).alias("_l"))
     return d.select("_id", "_tie", "_host", F.col("_l.h").alias("_line"), F.col("_l.w").cast("long").alias("_words"))
 
@@ -115,7 +114,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: s
     """
     stats = document_stats(docs.select(F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.col(text).alias("_text")), "_text")
     stats = stats.withColumn("_tie", text_tie(text_or_empty("_text"))).drop("_text", "_host")
-    out = removals(document_lines(docs, doc_id, host, text), max_docs)
+    out = removals(written(document_lines(docs, doc_id, host, text), "lines"), max_docs)
     # rows of one id with one text are repeated rows: each has the same lines, counted once per row
     gone = out.groupBy("_id", "_tie").agg(F.sum("_words").alias("_gone"))
     copies = stats.groupBy("_id", "_tie").agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in (
@@ -131,18 +130,18 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: s
 def clean(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text",
           max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
     """The kept documents, frequent lines removed from their texts; all other columns as they were."""
-    lines = document_lines(docs, doc_id, host, text)
-    out = removals(lines, max_docs)
+    d = seal(docs, _doc=doc_id, _from=host, _text=text)
+    out = removals(written(document_lines(d, "_doc", "_from", "_text"), "lines"), max_docs)
     per_doc = out.groupBy("_id", "_tie").agg(F.collect_set("_line").alias("_out"))  # at most a document's own lines
-    stats = document_stats(docs.withColumn("_tie", text_tie(text_or_empty(text))), text)
+    stats = document_stats(d.withColumn("_tie", text_tie(text_or_empty("_text"))), "_text")
     p = per_doc.select(F.col("_id").alias("_pid"), F.col("_tie").alias("_pt"), "_out")
-    j = stats.join(p, F.col(doc_id).eqNullSafe(F.col("_pid")) & (F.col("_tie") == F.col("_pt")), "left")
-    t = text_or_empty(text)
-    left = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~has_word(x) | ~F.array_contains(F.col("_out"), F.xxhash64(normalise_line(x)))), "\n")
-    j = j.withColumn("_new", F.when(F.col("_out").isNull(), F.col(text)).otherwise(left))
+    j = stats.join(p, F.col("_doc").eqNullSafe(F.col("_pid")) & (F.col("_tie") == F.col("_pt")), "left")
+    j = j.withColumn("_lh", F.when(F.col("_out").isNotNull(), line_hashes(F.col("_text"))))
+    lh = F.col("_lh")
+    left = F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: (F.get(lh, i)["w"] == 0) | ~F.array_contains(F.col("_out"), F.get(lh, i)["h"])), "\n")
+    j = j.withColumn("_new", F.when(F.col("_out").isNull(), F.col("_text")).otherwise(left))
     # one expression over both sides of the join: pushed below it, the optimizer would inline the
     # statistics into the filter and evaluate whole arrays for each element
     ok = (F.when(F.col("base_failed"), False).when(F.col("_out").isNull(), True)
           .otherwise(F.size(words(text_or_empty("_new"))) >= F.lit(min_kept) * F.col("n_words")))
-    j = j.where(ok)
-    return j.select(*[F.col("_new").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return unseal(j.where(ok), docs, text, "_new")
