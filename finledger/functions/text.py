@@ -17,10 +17,20 @@ _WHITESPACE = r"(?U)\s+"
 _NUMERIC = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i)inf(inity)?|(?i)nan)\s*$"
 
 
+# What Python's ``str.strip()`` removes.
+STRIPPED = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+            "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def strip(col: str | Column) -> Column:
+    """Text without leading and trailing whitespace of any kind."""
+    return F.trim(_c(col).cast("string"), F.lit(STRIPPED))
+
+
 def normalize_description(col: str | Column) -> Column:
     """Null -> '', upper case, drop ``-<6+ digits>`` references, collapse whitespace."""
     up = F.upper(F.coalesce(_c(col), F.lit("")))
@@ -43,13 +53,13 @@ _SHAPES = {
 
 def parse_date_value(col: str | Column) -> Column:
     """C2 as a date: the first of six formats that parses, else null."""
-    raw = F.trim(_c(col).cast("string"))
+    raw = strip(col)
     return F.coalesce(*[F.when(raw.rlike(_SHAPES[fmt]), F.try_to_date(raw, fmt)) for fmt in DATE_FORMATS])
 
 
 def format_date(parsed: str | Column, col: str | Column) -> Column:
-    """C2 text: ``yyyy-MM-dd`` of the parsed date, else the trimmed original text."""
-    return F.coalesce(F.date_format(_c(parsed), "yyyy-MM-dd"), F.trim(_c(col).cast("string")))
+    """C2 text: ``yyyy-MM-dd`` of the parsed date, else the stripped original text (a missing cell is blank)."""
+    return F.coalesce(F.date_format(_c(parsed), "yyyy-MM-dd"), strip(col), F.lit(""))
 
 
 def parse_date(col: str | Column) -> Column:
@@ -89,17 +99,12 @@ def month_of(date: str | Column) -> Column:
 
 
 def cal_month_of(date: str | Column) -> Column:
-    """``CAST(substr(date, 6, 2) AS INTEGER)`` with SQLite's junk-is-0 rule."""
-    return F.coalesce(F.substring(_c(date), 6, 2).try_cast("int"), F.lit(0))
+    """``CAST(substr(date, 6, 2) AS INTEGER)`` by SQLite's rule: the leading signed digits, else 0."""
+    digits = F.regexp_extract(F.substring(_c(date), 6, 2), r"^\s*([+-]?\d+)", 1)
+    return F.coalesce(digits.try_cast("int"), F.lit(0))
 
 
 def round_half_up(col: str | Column, digits: int) -> Column:
     """Deterministic rounding of a double: floor(x*10^d + 0.5) / 10^d."""
     scale = 10 ** digits
     return (F.floor(_c(col) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
-
-
-def ratio(num: str | Column, den: str | Column) -> Column:
-    """num/den as double, null when den is not positive (ANSI-safe)."""
-    d = _c(den).cast("double")
-    return F.when(d > 0, _c(num).cast("double") / d)

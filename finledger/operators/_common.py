@@ -66,12 +66,23 @@ def present(df: DataFrame, by: Sequence[str], *order: Column | str) -> DataFrame
     return df.sortWithinPartitions(*by, *order)
 
 
-def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
-    """Collect a small dimension after proving its size (``limit(max+1)``)."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; join it instead of inlining it")
-    return rows
+def salted_join(left: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]], spread_by: Sequence[str],
+                how: str = "inner") -> DataFrame:
+    """Equi-join with a small dimension on few, hot values (a category, or no value at all).
+
+    The dimension is repeated once for each of ``spark.sql.shuffle.partitions`` salts
+    and the left rows carry a salt of their ``spread_by`` columns, so neither a hot
+    value nor a dimension of any size meets in one task, and nothing is broadcast by hint.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.hash(*spread_by), F.lit(n)) if spread_by else F.lit(0)
+    many = F.sequence(F.lit(0), F.lit(n - 1)) if spread_by else F.array(F.lit(0))
+    rows = left.withColumn("_salt", salt.cast("int"))
+    dim = small.withColumn("_salt2", F.explode(many))
+    cond = F.col("_salt") == F.col("_salt2")
+    for a, b in on:
+        cond = cond & (F.col(a) == F.col(b))
+    return rows.join(dim, cond, how).drop("_salt", "_salt2", *[b for _, b in on])
 
 
 def top_rows(df: DataFrame, k: int, order: list, by: Sequence[str] = ()) -> DataFrame:

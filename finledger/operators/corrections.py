@@ -1,8 +1,8 @@
 """Category corrections (C6, J7, M4) and the training bag (IO4).
 
 A correction is an event (hash, category, is_saving, corrected_at). The
-latest event per hash wins; the ledger view applies it with an equi-join on
-(account, hash) and ``coalesce``. Every correction also adds one training
+latest event per hash wins; the ledger view applies it with a null-safe equi-join
+on (account, hash) and ``coalesce``. Every correction also adds one training
 example (the processed description with the new category).
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finledger.operators.ingest import ACCOUNT_KEY, training_rows
+from finledger.operators.ingest import ACCOUNT_KEY, same_key, training_rows
 
 CORRECTION_SCHEMA = "account_id long, hash string, category string, is_saving int, corrected_at timestamp"
 
@@ -28,8 +28,8 @@ def latest_corrections(corrections: DataFrame, key: Sequence[str] = ACCOUNT_KEY)
 
 def apply_corrections(ledger: DataFrame, corrections: DataFrame, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
     """The ledger with corrected category and is_saving (other columns unchanged)."""
-    latest = latest_corrections(corrections, key)
-    j = ledger.join(latest, on=[*key, "hash"], how="left")
+    other, same = same_key(latest_corrections(corrections, key), key)
+    j = ledger.join(other, same, "left")
     return j.select(
         *[
             F.coalesce(F.col("new_category"), F.col("category")).alias("category") if c == "category"
@@ -43,8 +43,8 @@ def apply_corrections(ledger: DataFrame, corrections: DataFrame, key: Sequence[s
 def correction_training_rows(ledger: DataFrame, corrections: DataFrame, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
     """IO4 for corrections: one (processed description, category) per correction event
     that matches a stored row."""
-    return corrections.join(ledger.select(*key, "hash", "processed"), on=[*key, "hash"], how="inner").select(
-        F.col("processed").alias("description"), "category")
+    other, same = same_key(ledger.select(*key, "hash", "processed"), key)
+    return corrections.join(other, same).select(F.col("processed").alias("description"), "category")
 
 
 def training_bag(ledger: DataFrame, corrections: DataFrame | None = None,

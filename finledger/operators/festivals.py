@@ -1,9 +1,9 @@
 """Festival calendar and festive spending (A14, A15, A15b, R2, R3, R4, J3, J4, M3, IO10).
 
-The festival table is a small user-maintained dimension. It is inlined into
-the plan only after its size is proven small (``bounded_rows``), as a
-literal array exploded next to each key's aggregate; everything else is
-aggregates and equi-joins on (key, calendar month).
+The festival table is a user-maintained dimension of any size. Every key is
+paired with every active festival (that is the report) by a salted join;
+everything else is aggregates and equi-joins on (key, calendar month). Keys come
+from all ledger rows, so an account without debits has its festivals too.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finledger.functions.text import cal_month_of
-from finledger.operators._common import as_double, bounded_rows, debit, mean_of, money_sum, present, r1, r2
+from finledger.operators._common import debit, mean_of, money_sum, present, r1, r2, salted_join
 from finledger.taxonomy import CURRENCY_SYMBOL, DEFAULT_FESTIVALS, FESTIVAL_ALERT_DAYS
 
 FESTIVAL_SCHEMA = "festival_id long, name string, month int, day int, duration_days int, is_active int"
-MAX_FESTIVALS = 10_000
+#: A calendar month read from two characters of a date lies between these, so that many months exist at most.
+LEAST_CAL_MONTH, GREATEST_CAL_MONTH = -9, 99
 
 
 def festivals_table(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
@@ -55,42 +56,32 @@ def remove_festival(festivals: DataFrame, festival_id: int) -> DataFrame:
 
 
 def _monthly_debits(ledger: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Debit total of every (key, month) with any row; ``debits`` is 0 where it has none."""
     return (
-        ledger.where(debit())
-        .groupBy(*by, "month")
-        .agg(money_sum().alias("total"))
+        ledger.groupBy(*by, "month")
+        .agg(money_sum(debit()).alias("total"), F.count_if(debit()).alias("debits"))
         .withColumn("cal_month", cal_month_of("month"))
     )
 
 
-def _festival_array(festivals: DataFrame) -> Column:
-    rows = bounded_rows(
-        festivals.where(F.col("is_active") == 1).select("festival_id", "name", "month", "day", "duration_days"),
-        MAX_FESTIVALS, "festival table",
-    )
-    return F.array(*[
-        F.struct(F.lit(r.festival_id).cast("long").alias("festival_id"), F.lit(r.name).alias("name"),
-                 F.lit(r.month).cast("int").alias("fest_month"), F.lit(r.day).cast("int").alias("fest_day"),
-                 F.lit(r.duration_days).cast("int").alias("duration_days"))
-        for r in rows
-    ]) if rows else F.array().cast(
-        "array<struct<festival_id:long,name:string,fest_month:int,fest_day:int,duration_days:int>>")
-
-
 def festival_history(ledger: DataFrame, festivals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A14 + J3: per active festival, the average monthly debit total of its
     calendar month against the average over all months (festive included);
     extra = max(0, difference); suggested = extra x 1.1."""
     monthly = _monthly_debits(ledger, by)
-    by_cal = monthly.groupBy(*by, "cal_month").agg(F.sum("total").alias("fm_sum"), F.count(F.lit(1)).alias("fm_n"))
+    by_cal = monthly.groupBy(*by, "cal_month").agg(F.sum("total").alias("fm_sum"), F.count_if(F.col("debits") > 0).alias("fm_n"))
     # the overall average re-aggregates the (key, calendar month) rows: one pass over the ledger
     overall = by_cal.groupBy(*by).agg(F.sum("fm_sum").alias("all_sum"), F.sum("fm_n").alias("all_n"))
-    per_key = overall.select(*by, "all_sum", "all_n", F.explode(_festival_array(festivals)).alias("f")).select(
-        *by, "all_sum", "all_n", "f.*")
-    cond = [per_key[k] == by_cal[k] for k in by] + [per_key["fest_month"] == by_cal["cal_month"]]
-    j = per_key.join(by_cal, on=cond, how="left").select(per_key["*"], "fm_sum", "fm_n")
-    fa = F.coalesce(mean_of(F.col("fm_sum"), F.col("fm_n")), F.lit(0.0))
-    oa = F.coalesce(mean_of(F.col("all_sum"), F.col("all_n")), F.lit(0.0))
+    active = festivals.where(F.col("is_active") == 1).select(
+        "festival_id", "name", F.col("month").alias("fest_month"), F.col("day").alias("fest_day"), "duration_days")
+    per_key = salted_join(overall, active, [], by)
+    of_month = by_cal.select(*[F.col(k).alias(f"_{k}") for k in by], "cal_month", "fm_sum", "fm_n")
+    cond = F.col("fest_month") == F.col("cal_month")
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    j = per_key.join(of_month, cond, "left")
+    fa = F.when(F.col("fm_n") > 0, mean_of(F.col("fm_sum"), F.col("fm_n"))).otherwise(F.lit(0.0))
+    oa = F.when(F.col("all_n") > 0, mean_of(F.col("all_sum"), F.col("all_n"))).otherwise(F.lit(0.0))
     extra = F.greatest(F.lit(0.0), fa - oa)
     out = j.select(
         *by, "festival_id", "name", F.col("fest_month").alias("month"), F.col("fest_day").alias("day"),
@@ -171,9 +162,9 @@ def festive_vs_normal(ledger: DataFrame, festivals: DataFrame, by: Sequence[str]
     """A15 + J4 + A15b: average monthly debit total in months whose calendar
     month holds an active festival vs the other months; keys without debit
     rows produce no row."""
-    months = sorted({r.month for r in bounded_rows(
-        festivals.where(F.col("is_active") == 1).select("month").distinct(), MAX_FESTIVALS, "festival months")})
-    monthly = _monthly_debits(ledger, by)
+    active = festivals.where((F.col("is_active") == 1) & F.col("month").between(LEAST_CAL_MONTH, GREATEST_CAL_MONTH))
+    months = sorted(r.month for r in active.select("month").distinct().collect())  # no other month can match a date
+    monthly = _monthly_debits(ledger, by).where(F.col("debits") > 0)
     festive = F.col("cal_month").isin(months) if months else F.lit(False)
     agg = monthly.groupBy(*by).agg(
         money_sum(festive, "total").alias("f_sum"), F.count_if(festive).alias("f_n"),

@@ -14,21 +14,19 @@ from pyspark.sql import functions as F
 
 from finledger.operators._common import (
     as_double,
-    bounded_rows,
     debit,
     key_window,
     mean_of,
     money_sum,
     present,
     r2,
+    salted_join,
 )
 from finledger.operators.budget import budget_status, ratio_report, ratio_sums
 from finledger.operators.ledger import month_filter
 from finledger.taxonomy import CATEGORY_TIPS, DEFAULT_TIP, DISCRETIONARY_CATEGORIES
 
 SUGGESTION_COLUMNS = ["priority", "category", "type", "message", "potential_saving"]
-PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2}
-MAX_SCENARIOS = 100_000
 
 
 def discretionary(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -106,11 +104,9 @@ def what_if(ledger: DataFrame, scenario: DataFrame, by: Sequence[str] = ()) -> D
         .groupBy(*by, "category").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("months"))
         .where(F.col("total") != 0)
     )
-    # the join key is a category: a shuffle join would send every account's rows
-    # of one category to one task, so the scenario table is broadcast after its
-    # size is proven small
-    bounded_rows(scenario, MAX_SCENARIOS, "scenario table")
-    j = monthly.join(F.broadcast(scenario), on="category", how="inner")
+    # the join key is a category: a plain shuffle join would send all accounts' rows of one category to one task
+    wanted = scenario.select(F.col("category").alias("_category"), "reduction_pct")
+    j = salted_join(monthly, wanted, [("category", "_category")], by)
     avg = mean_of(F.col("total"), F.col("months"))
     saving = avg * (F.col("reduction_pct") / 100)
     out = j.select(

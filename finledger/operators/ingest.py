@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finledger.functions.classify import classify_columns, keyword_category
@@ -105,26 +105,37 @@ def prepare_transactions(statements: DataFrame, models=None, keyword_mode: str =
 
 
 def first_per_hash(tx: DataFrame, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
-    """IO3/W8/M5: keep the first copy of each (key, hash), by (source_file, row_seq).
+    """IO3/W8/M5: keep the first kept copy of each (key, hash), by (source_file, row_seq).
 
     ``min`` of a struct ordered by (source_file, row_seq) picks the first copy;
-    as an aggregate it combines map-side, so hot keys never skew a task.
+    as an aggregate it combines map-side, so hot keys never skew a task. Dropped
+    lines (null amount) never win: their hash text lacks the amount, so it can
+    equal that of a kept line. Null keys form a group of their own.
     """
     rest = [c for c in tx.columns if c not in (*key, "hash", "source_file", "row_seq")]
-    first = F.min(F.struct("source_file", "row_seq", *rest)).alias("first")
-    return tx.groupBy(*key, "hash").agg(first).select(
+    first = F.min(F.when(F.col("amount").isNotNull(), F.struct("source_file", "row_seq", *rest))).alias("first")
+    return tx.groupBy(*key, "hash").agg(first).where(F.col("first").isNotNull()).select(
         *key, "hash", "first.*"
     ).select(*tx.columns)
 
 
+def same_key(other: DataFrame, key: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``other`` with its (key, hash) renamed, and the null-safe condition that joins it on them."""
+    names = [*key, "hash"]
+    renamed = other.select(*[F.col(c).alias(f"_other_{c}") if c in names else F.col(c) for c in other.columns])
+    cond = F.col(names[0]).eqNullSafe(F.col(f"_other_{names[0]}"))
+    for c in names[1:]:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_other_{c}"))
+    return renamed, cond
+
+
 def new_rows(tx: DataFrame, stored: DataFrame | None = None, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
-    """First copies whose (key, hash) is not in the stored ledger yet."""
-    # dropped lines (null amount) never share a hash with kept ones; removing
-    # them after the aggregate keeps the filter off the scan
-    firsts = first_per_hash(tx, key).where(F.col("amount").isNotNull())
+    """First copies whose (key, hash) is not in the stored ledger yet (null accounts match null accounts)."""
+    firsts = first_per_hash(tx, key)
     if stored is None:
         return firsts
-    return firsts.join(stored.select(*key, "hash"), on=[*key, "hash"], how="left_anti")
+    other, same = same_key(stored.select(*key, "hash"), key)
+    return firsts.join(other, same, "left_anti")
 
 
 def build_ledger(statements: DataFrame, models=None, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
@@ -139,27 +150,29 @@ def ingest_report(statements: DataFrame, stored: DataFrame | None = None,
     One row per ``by`` key. ``skipped`` counts every kept line that was not
     inserted: repeats inside the batch and lines already stored.
     """
+    # one pass: lines of one (key, hash) are counted together; the category follows from the hashed text
+    tx = prepare_transactions(statements, keep_dropped=True)
+    groups = [*key, *[c for c in by if c not in key], "hash"]
+    kept = F.col("amount").isNotNull()
+    g = tx.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("kept"), F.max(F.when(kept, F.col("category"))).alias("category"))
+    if stored is not None:
+        other, same = same_key(stored.select(*key, "hash").distinct().withColumn("_known", F.lit(True)), key)
+        g = g.join(other, same, "left")
+        known = F.coalesce(F.col("_known"), F.lit(False))
+    else:
+        known = F.lit(False)
+    new = (F.col("kept") > 0) & ~known
     zero = F.lit(0).cast("long")
-    lines = parse_lines(statements).select(
-        *by,
-        F.lit(1).cast("long").alias("total_rows"),
-        F.col("keep").cast("long").alias("kept"),
-        (~F.col("keep")).cast("long").alias("dropped"),
-        zero.alias("inserted"), zero.alias("uncategorized"),
-    )
-    ins = new_rows(prepare_transactions(statements, keep_dropped=True), stored, key).select(
-        *by, zero.alias("total_rows"), zero.alias("kept"), zero.alias("dropped"),
-        F.lit(1).cast("long").alias("inserted"),
-        F.col("category").isNull().cast("long").alias("uncategorized"),
-    )
-    # tagged union + one aggregate: no join between the two counts
-    sums = lines.unionByName(ins).groupBy(*by).agg(
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("total_rows", "kept", "dropped", "inserted", "uncategorized")]
-    )
-    return sums.select(
-        *by, "total_rows", "inserted",
-        (F.col("kept") - F.col("inserted")).alias("skipped"),
-        "dropped", "uncategorized",
+
+    def total(c):
+        return F.coalesce(F.sum(c), zero).cast("long")
+
+    return g.groupBy(*by).agg(
+        total(F.col("n")).alias("total_rows"), total(new.cast("long")).alias("inserted"),
+        (total(F.col("kept")) - total(new.cast("long"))).alias("skipped"),
+        total(F.col("n") - F.col("kept")).alias("dropped"),
+        total((new & F.col("category").isNull()).cast("long")).alias("uncategorized"),
     )
 
 

@@ -24,12 +24,14 @@ def _rows(ledger: DataFrame) -> DataFrame:
 
 
 def newest_first(ledger: DataFrame) -> list:
-    return [F.col("date").desc(), F.col("row_seq").desc(), F.col("account_id").desc()]
+    """A total order: row numbers restart in each file and upload, so file and hash break the last ties."""
+    return [F.col("date").desc(), F.col("row_seq").desc(), F.col("account_id").desc(),
+            F.col("source_file").desc(), F.col("hash")]
 
 
 def ledger_page(ledger: DataFrame, limit: int = 500, offset: int = 0) -> DataFrame:
-    """IO6/O1: one page of the ledger, newest first (row_seq breaks date ties)."""
-    return _rows(ledger).orderBy(*newest_first(ledger)).offset(offset).limit(limit)
+    """IO6/O1: one page of the ledger, newest first (row_seq, account, file and hash break date ties)."""
+    return _rows(ledger.orderBy(*newest_first(ledger)).offset(offset).limit(limit))
 
 
 def month_filter(month: str):
@@ -41,12 +43,12 @@ def month_filter(month: str):
 
 def month_slice(ledger: DataFrame, month: str) -> DataFrame:
     """Rows whose date starts with ``month``, oldest first."""
-    return _rows(ledger.where(month_filter(month))).orderBy("date", "row_seq")
+    return _rows(ledger.where(month_filter(month)).orderBy("date", "row_seq", "account_id", "source_file", "hash"))
 
 
 def uncategorized(ledger: DataFrame) -> DataFrame:
     """Rows without a category, newest first."""
-    return _rows(ledger.where(F.col("category").isNull())).orderBy(*newest_first(ledger))
+    return _rows(ledger.where(F.col("category").isNull()).orderBy(*newest_first(ledger)))
 
 
 def search(ledger: DataFrame, transaction_type: str | None = None, category: str | None = None,
@@ -57,7 +59,7 @@ def search(ledger: DataFrame, transaction_type: str | None = None, category: str
     case-insensitive substring of the raw description.
     """
     cond = search_condition(transaction_type, category, text, month)
-    return _rows(ledger.where(cond)).orderBy(*newest_first(ledger))
+    return _rows(ledger.where(cond).orderBy(*newest_first(ledger)))
 
 
 def search_counts(ledger: DataFrame, by: Sequence[str] = (), **filters) -> DataFrame:

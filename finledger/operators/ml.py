@@ -40,7 +40,6 @@ from finledger.taxonomy import ALL_SAVINGS_CATEGORIES, CONFIDENCE_THRESHOLD, EXP
 
 TOKEN_PATTERN = r"(?U)\w\w+"
 MAX_ITER = 600
-MAX_VOCAB = 1 << 18
 MODEL_NAMES = ("debit_type", "expense", "savings")
 
 
@@ -108,10 +107,6 @@ class LedgerModels:
             out_cols += [f"ml_{name}", f"ml_{name}_conf"]
         return feats.select(*cols, *out_cols)
 
-    def predict(self, df: DataFrame, text_col: str = "description") -> DataFrame:
-        """(label, confidence) of every model for each text; (null, 0.0) without a model."""
-        return self.score(df, text_col)
-
     def classify_kwargs(self) -> dict:
         return {
             "ml_type": F.col("ml_debit_type"), "ml_type_conf": F.col("ml_debit_type_conf"),
@@ -149,17 +144,19 @@ class LedgerModels:
         return LedgerModels(features, models, labels, fp.threshold, (fp.n, fp.h))
 
 
-def _fit_features(wbag: DataFrame, max_vocab: int) -> PipelineModel:
+def _fit_features(wbag: DataFrame) -> PipelineModel:
+    """Every term of the bag has a feature. The vocabulary is part of the model, as the coefficients
+    are, so both live on the driver; the bag and the counting do not."""
     spark = wbag.sparkSession
     tok = Pipeline(stages=_token_stages()).fit(wbag)
     terms = tok.transform(wbag.withColumn("ml_text", F.coalesce(F.col("description"), F.lit(""))))
     n_docs = terms.agg(F.sum("weight")).first()[0] or 0.0
-    # weighted document frequency of every term, then the most frequent max_vocab terms
+    # weighted document frequency of every term
     df_terms = (
         terms.select(F.explode(F.array_distinct("ml_terms")).alias("term"), "weight")
         .groupBy("term").agg(F.sum("weight").alias("df"))
     )
-    top = df_terms.orderBy(F.col("df").desc(), "term").limit(max_vocab).collect()  # bounded by max_vocab
+    top = df_terms.orderBy(F.col("df").desc(), "term").collect()
     vocab = [r.term for r in top] or ["<empty>"]
     idf = [math.log((1.0 + n_docs) / (1.0 + r.df)) + 1.0 for r in top] or [1.0]
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="ml_terms", outputCol="ml_tf")
@@ -168,10 +165,13 @@ def _fit_features(wbag: DataFrame, max_vocab: int) -> PipelineModel:
     return PipelineModel(stages=[*tok.stages, cv, scale, norm])
 
 
-def train(bag: DataFrame, max_vocab: int = MAX_VOCAB, max_iter: int = MAX_ITER,
-          previous: LedgerModels | None = None) -> LedgerModels | None:
+def train(bag: DataFrame, max_iter: int = MAX_ITER, previous: LedgerModels | None = None,
+          partitions: int = 8) -> LedgerModels | None:
     """Train the three models on a training bag (description, category).
 
+    ``partitions``: tasks of each iteration of a fit, a deployment's choice (about one for 50,000 distinct
+    texts); it is the same at every size of the bag, so sums are added in the same order.
+
     Returns None when the bag is empty (ML4), or ``previous`` when its
     fingerprint is unchanged (ML5).
     """
@@ -183,12 +183,9 @@ def train(bag: DataFrame, max_vocab: int = MAX_VOCAB, max_iter: int = MAX_ITER,
             return None
         if previous is not None and previous.fp == fp:
             return previous
-        features = _fit_features(wbag, max_vocab)
+        features = _fit_features(wbag)
         data = features.transform(wbag.withColumn("ml_text", F.coalesce(F.col("description"), F.lit(""))))
-        # one task per ~50k distinct texts: iterative fits pay a job per
-        # iteration, so a small bag must not be spread over idle partitions
-        target = max(1, min(wbag.rdd.getNumPartitions(), wbag.count() // 50_000 + 1))
-        data = data.select("ml_features", "weight", "category").coalesce(target).cache()
+        data = data.repartition(partitions, "description").select("ml_features", "weight", "category").cache()
         n = float(fp[0])
         models: dict[str, LogisticRegressionModel | None] = {}
         labels: dict[str, list[str]] = {}

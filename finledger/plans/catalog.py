@@ -346,7 +346,7 @@ def q_growth_rates_by_account(spark, sf_dir):
     f"{O.r2('CAST(total AS DOUBLE) / CAST(txn_count AS DOUBLE)')} AS avg_daily_spend, "
     "CAST(total AS DOUBLE) AS total_spend, txn_count, "
     f"{O.r1('(CAST(total AS DOUBLE) / (CAST(sum(total) OVER () AS DOUBLE) / CAST(count(*) OVER () AS DOUBLE)) - 1) * 100')} "
-    "AS vs_average_pct FROM (SELECT coalesce(TRY_CAST(substr(date, 6, 2) AS INT), 0) AS cal_month, "
+    "AS vs_average_pct FROM (SELECT " + O.cal_month("date") + " AS cal_month, "
     "sum(amount) AS total, count(*) AS txn_count FROM ledger WHERE transaction_type = 'Debit' GROUP BY 1)"))
 def q_seasonal(spark, sf_dir):
     return trends.seasonal_patterns(ledger_of(spark, sf_dir))

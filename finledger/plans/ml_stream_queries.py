@@ -6,6 +6,7 @@ the shared checkpoint root and return what they wrote, read back.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from finledger.operators import corrections, ingest, ml
@@ -13,11 +14,13 @@ from finledger.plans import oracle as O
 from finledger.plans.catalog import LEDGER_SELECT, ledger_of, register, statements
 from finledger.plans.fixtures import CORRECTION_RULES
 from finledger.session import fresh_dir, prepare_session
-from finledger.sources.csv import read_statement_csv
+from finledger.sources.csv import export_csv, read_statement_csv
 from finledger.sources.derived import derive_statements
-from finledger.sources.store import LEDGER_SCHEMA
+from finledger.sources.store import LEDGER_SCHEMA, append_new, read_ledger, snapshot
 from finledger.streaming import ingest_stream as st
 
+SPLIT_DATE = "1998-01-01"   # statements are uploaded in two periods
+
 # ---------------------------------------------------------------- ML0-ML6 (no SQL oracle: iterative fit)
 
 
@@ -25,7 +28,7 @@ def _models(spark, sf_dir):
     led = ledger_of(spark, sf_dir)
     corr = corrections.rule_corrections(led, CORRECTION_RULES)
     bag = corrections.training_bag(led, corr)
-    return led, ml.train(bag, max_iter=100)
+    return led, ml.train(bag)
 
 
 def _misses(led):
@@ -56,6 +59,12 @@ def q_ml_classified_ingest(spark, sf_dir):
 
 # ---------------------------------------------------------------- ST1-ST3
 
+def _ledger_rows(led):
+    return led.select("account_id", "row_seq", "date", "month", "description", "processed",
+                      F.col("amount").cast("double").alias("amount"), "transaction_type", "category",
+                      "is_saving", "hash")
+
+
 def _orders_stream(spark, sf_dir):
     prepare_session(spark)
     path = f"{sf_dir.rstrip('/')}/orders.parquet"
@@ -75,10 +84,15 @@ def _run_ingest_stream(spark, sf_dir) -> str:
 
 @register("stream_ingest", O.over_ledger(LEDGER_SELECT))
 def q_stream_ingest(spark, sf_dir):
-    led = st.read_stored_ledger(spark, _run_ingest_stream(spark, sf_dir))
-    return led.select("account_id", "row_seq", "date", "month", "description", "processed",
-                      F.col("amount").cast("double").alias("amount"), "transaction_type", "category",
-                      "is_saving", "hash")
+    return _ledger_rows(read_ledger(spark, _run_ingest_stream(spark, sf_dir)))
+
+
+@register("ingest_upload_then_stream", O.over_ledger(LEDGER_SELECT))
+def q_upload_then_stream(spark, sf_dir):
+    """A stream into a ledger that an upload has started: the upload's rows stay, nothing repeats."""
+    lines, path = _stored_first_period(spark, sf_dir)
+    st.start_ingest(_orders_stream(spark, sf_dir), path, f"{fresh_dir(spark, 'stream-after-upload')}/_checkpoint").awaitTermination()
+    return _ledger_rows(read_ledger(spark, path))
 
 
 @register("stream_dedup", O.over_ledger(
@@ -95,19 +109,32 @@ def q_stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+_DAY = "TRY_CAST(try_strptime(date, '%Y-%m-%d') AS DATE)"
+
+
+def _daily(spark, sf_dir):
+    """Daily totals kept by a stream over two uploads, the later statement period first."""
+    base = fresh_dir(spark, "stream-daily")
+    tx = ingest.prepare_transactions(statements(spark, sf_dir))
+    for upload in (tx.where(F.col("date") >= SPLIT_DATE), tx):
+        append_new(spark, upload, f"{base}/ledger")
+        src = spark.readStream.schema(LEDGER_SCHEMA).parquet(f"{base}/ledger")
+        st.start_daily_totals(src, f"{base}/days", f"{base}/_checkpoint").awaitTermination()
+    return st.daily_totals(spark, f"{base}/days")
+
+
 @register("stream_daily", O.over_ledger(
-    "SELECT TRY_CAST(date AS DATE) AS day, CAST(sum(amount) AS DOUBLE) AS total FROM ledger "
-    "WHERE transaction_type = 'Debit' AND TRY_CAST(date AS DATE) IS NOT NULL GROUP BY 1"))
+    f"SELECT {_DAY} AS day, CAST(sum(amount) AS DOUBLE) AS total FROM ledger "
+    f"WHERE transaction_type = 'Debit' AND {_DAY} IS NOT NULL GROUP BY 1"))
 def q_stream_daily(spark, sf_dir):
-    ledger_path = _run_ingest_stream(spark, sf_dir)
-    out = fresh_dir(spark, "stream-daily")
-    src = spark.readStream.schema(LEDGER_SCHEMA).parquet(ledger_path)
-    q = (st.daily_totals_stream(src).writeStream.outputMode("update")
-         .foreachBatch(st.window_sink(f"{out}/windows"))
-         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    daily = st.latest_windows(spark, f"{out}/windows", ["day"])
-    return daily.select("day", F.col("total").cast("double").alias("total"))
+    return _daily(spark, sf_dir).select("day", F.col("total").cast("double").alias("total"))
+
+
+@register("stream_monthly", O.over_ledger(
+    f"SELECT strftime({_DAY}, '%Y-%m') AS month, CAST(sum(amount) AS DOUBLE) AS total FROM ledger "
+    f"WHERE transaction_type = 'Debit' AND {_DAY} IS NOT NULL GROUP BY 1"))
+def q_stream_monthly(spark, sf_dir):
+    return st.month_rollup(_daily(spark, sf_dir)).select("month", F.col("total").cast("double").alias("total"))
 
 
 # ---------------------------------------------------------------- IO1, IO2, IO11 through real CSV files
@@ -138,11 +165,8 @@ def q_csv_ingest(spark, sf_dir):
 
 # ---------------------------------------------------------------- IO3 + IO5 against a stored ledger
 
-SPLIT_DATE = "1998-01-01"   # the earlier statement period is uploaded first, then everything
-
 
 def _stored_first_period(spark, sf_dir):
-    from finledger.sources.store import append_new
     path = f"{fresh_dir(spark, 'incremental')}/ledger"
     lines = statements(spark, sf_dir)
     append_new(spark, ingest.prepare_transactions(lines).where(F.col("date") < SPLIT_DATE), path)
@@ -154,7 +178,6 @@ def _stored_first_period(spark, sf_dir):
     f"FROM ledger WHERE NOT (date < '{SPLIT_DATE}')"))
 def q_ingest_incremental(spark, sf_dir):
     """The rows a full re-upload adds to a ledger that already holds the earlier period."""
-    from finledger.sources.store import append_new
     lines, path = _stored_first_period(spark, sf_dir)
     added = append_new(spark, ingest.prepare_transactions(lines), path)
     return added.select("account_id", "row_seq", "date", F.col("amount").cast("double").alias("amount"),
@@ -168,6 +191,68 @@ def q_ingest_incremental(spark, sf_dir):
     "(SELECT count(*) FROM lines WHERE amount IS NULL) AS dropped, "
     f"(SELECT count(*) FROM ledger WHERE category IS NULL AND NOT (date < '{SPLIT_DATE}')) AS uncategorized"))
 def q_ingest_incremental_report(spark, sf_dir):
-    from finledger.sources.store import read_stored
     lines, path = _stored_first_period(spark, sf_dir)
-    return ingest.ingest_report(lines, read_stored(spark, path))
+    return ingest.ingest_report(lines, read_ledger(spark, path))
+
+
+@register("ingest_two_uploads", O.over_ledger(LEDGER_SELECT))
+def q_ingest_two_uploads(spark, sf_dir):
+    """The later statement period is uploaded first, then everything, then everything again."""
+    path = f"{fresh_dir(spark, 'two-uploads')}/ledger"
+    tx = ingest.prepare_transactions(statements(spark, sf_dir))
+    for upload in (tx.where(F.col("date") >= SPLIT_DATE), tx, tx):
+        append_new(spark, upload, path)
+    return _ledger_rows(read_ledger(spark, path))
+
+
+@register("ingest_no_account", O.over_ledger(
+    "SELECT account_id, row_seq, date, " + O.dbl("amount") + " AS amount, category, hash FROM ("
+    "SELECT * REPLACE (CAST(NULL AS BIGINT) AS account_id), row_number() OVER (PARTITION BY hash ORDER BY row_seq) AS rn2 FROM hashed) "
+    "WHERE rn2 = 1"))
+def q_ingest_no_account(spark, sf_dir):
+    """One ledger without accounts, uploaded twice."""
+    path = f"{fresh_dir(spark, 'no-account')}/ledger"
+    lines = statements(spark, sf_dir).withColumn("account_id", F.lit(None).cast("long"))
+    for _ in range(2):
+        append_new(spark, ingest.prepare_transactions(lines), path)
+    return read_ledger(spark, path).select(
+        "account_id", "row_seq", "date", F.col("amount").cast("double").alias("amount"), "category", "hash")
+
+
+@register("uncategorized_report", O.over_ledger(
+    "SELECT account_id, row_seq, description, " + O.dbl("amount") + " AS amount, transaction_type AS type, hash "
+    "FROM ledger WHERE category IS NULL"))
+def q_uncategorized_report(spark, sf_dir):
+    return ingest.uncategorized_report(ledger_of(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- IO7, IO8: written and read back
+
+
+@register("export_csv", O.over_ledger(
+    "SELECT account_id, date, description, " + O.dbl("amount") + " AS amount, category, "
+    "row_number() OVER (ORDER BY date DESC, row_seq DESC, account_id DESC) AS position FROM ledger"))
+def q_export_csv(spark, sf_dir):
+    """The whole ledger as CSV, newest first, read back; the position shows the order of the lines."""
+    path = f"{fresh_dir(spark, 'export')}/csv"
+    led = ledger_of(spark, sf_dir)
+    export_csv(led.select("account_id", "row_seq", "date", "description", "amount", "category", "source_file", "hash"), path)
+    back = spark.read.csv(path, header=True, escape='"', schema=(
+        "account_id bigint, row_seq bigint, date string, description string, amount decimal(18,2), category string, source_file string, hash string"))
+    back = back.withColumn("date", F.coalesce("date", F.lit("")))
+    newest = Window.orderBy("_file", "_at")
+    back = back.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+    return back.select("account_id", "date", "description", F.col("amount").cast("double").alias("amount"), "category",
+                       F.row_number().over(newest).cast("long").alias("position"))
+
+
+@register("snapshot", O.over_ledger(
+    "SELECT 'ledger' AS table_name, count(*) AS n_rows, " + O.dbl("sum(amount)") + " AS total FROM ledger "
+    "UNION ALL SELECT 'uncategorized', count(*), " + O.dbl("sum(amount)") + " FROM ledger WHERE category IS NULL"))
+def q_snapshot(spark, sf_dir):
+    led = ledger_of(spark, sf_dir)
+    folder = snapshot({"ledger": led, "uncategorized": led.where(F.col("category").isNull())}, fresh_dir(spark, "snapshots"))
+    parts = [spark.read.parquet(f"{folder}/{t}").agg(
+        F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.sum("amount").cast("double").alias("total"))
+        for t in ("ledger", "uncategorized")]
+    return parts[0].unionByName(parts[1])

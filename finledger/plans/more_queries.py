@@ -260,7 +260,7 @@ def _fest_values() -> str:
     return f"fest(festival_id, name, month, day, duration_days, is_active) AS (VALUES {vals})"
 
 
-_MONTHLY_DEBIT = ("md AS (SELECT month, coalesce(TRY_CAST(substr(month, 6, 2) AS INT), 0) AS cal_month, "
+_MONTHLY_DEBIT = ("md AS (SELECT month, " + O.cal_month("month") + " AS cal_month, "
                   "sum(amount) AS total FROM ledger WHERE transaction_type = 'Debit' GROUP BY month)")
 
 
@@ -424,7 +424,7 @@ def q_uncategorized_first50(spark, sf_dir):
 # ---------------------------------------------------------------- per-account variants
 
 
-_MONTHLY_DEBIT_ACCT = ("md AS (SELECT account_id, month, coalesce(TRY_CAST(substr(month, 6, 2) AS INT), 0) "
+_MONTHLY_DEBIT_ACCT = ("md AS (SELECT account_id, month, " + O.cal_month("month") + " "
                        "AS cal_month, sum(amount) AS total FROM ledger WHERE transaction_type = 'Debit' "
                        "GROUP BY account_id, month)")
 
@@ -436,7 +436,8 @@ def _history_acct_sql() -> str:
     return (
         f"SELECT o.account_id, f.festival_id, f.name, f.month, f.day, f.duration_days, {O.r2(fa)} AS avg_spend, "
         f"{O.r2(oa)} AS normal_avg, {O.r2(extra)} AS extra_spend, {O.r2(extra + ' * 1.1')} AS suggested_saving "
-        "FROM (SELECT account_id, sum(total) AS s, count(*) AS n FROM md GROUP BY account_id) o "
+        "FROM (SELECT a.account_id, sum(total) AS s, count(total) AS n FROM (SELECT DISTINCT account_id FROM ledger) a "
+        "LEFT JOIN md USING (account_id) GROUP BY a.account_id) o "
         "JOIN fest f ON f.is_active = 1 "
         "LEFT JOIN (SELECT account_id, cal_month, sum(total) AS s, count(*) AS n FROM md GROUP BY account_id, cal_month) c "
         "ON c.account_id = o.account_id AND c.cal_month = f.month")
@@ -473,7 +474,7 @@ def q_festive_vs_normal_by_account(spark, sf_dir):
     f"{O.r2('CAST(total AS DOUBLE) / CAST(txn_count AS DOUBLE)')} AS avg_daily_spend, "
     "CAST(total AS DOUBLE) AS total_spend, txn_count, "
     f"{O.r1('(CAST(total AS DOUBLE) / (CAST(sum(total) OVER (PARTITION BY account_id) AS DOUBLE) / CAST(count(*) OVER (PARTITION BY account_id) AS DOUBLE)) - 1) * 100')} "
-    "AS vs_average_pct FROM (SELECT account_id, coalesce(TRY_CAST(substr(date, 6, 2) AS INT), 0) AS cal_month, "
+    "AS vs_average_pct FROM (SELECT account_id, " + O.cal_month("date") + " AS cal_month, "
     "sum(amount) AS total, count(*) AS txn_count FROM ledger WHERE transaction_type = 'Debit' GROUP BY 1, 2)"))
 def q_seasonal_by_account(spark, sf_dir):
     return trends.seasonal_patterns(ledger_of(spark, sf_dir), by=ACCT)

@@ -9,6 +9,7 @@ Spark side uses.
 
 from __future__ import annotations
 
+from finledger.functions.text import STRIPPED
 from finledger.taxonomy import (
     ALL_SAVINGS_CATEGORIES,
     DISCRETIONARY_CATEGORIES,
@@ -33,8 +34,10 @@ raw0 AS (SELECT b.account_id, b.row_seq,
      WHEN 3 THEN substr(iso,6,2)||'/'||substr(iso,9,2)||'/'||substr(iso,1,4)
      WHEN 4 THEN substr(iso,1,4)||'/'||substr(iso,6,2)||'/'||substr(iso,9,2)
      WHEN 5 THEN substr(iso,9,2)||'-'||substr('JanFebMarAprMayJunJulAugSepOctNovDec',(CAST(substr(iso,6,2) AS INT)-1)*3+1,3)||'-'||substr(iso,1,4)
-     ELSE CASE WHEN b.row_seq % 14 = 6 THEN 'bad date' ELSE iso END END AS date_text,
-   CASE WHEN t.idx = 18 OR t.idx = 5 THEN t.narration ELSE t.narration||'-'||lpad(CAST(b.row_seq AS STRING),8,'0') END AS narration,
+     ELSE CASE WHEN b.row_seq % 196 = 6 THEN ' ' WHEN b.row_seq % 14 = 6 THEN 'bad date'
+       WHEN b.row_seq % 28 = 13 THEN chr(9)||iso||' '||chr(9)
+       ELSE substr(iso,1,4)||'/'||CAST(CAST(substr(iso,6,2) AS INT) AS STRING)||'/?'||substr(iso,9,2) END END AS date_text,
+   CASE WHEN t.idx = 18 OR t.idx = 5 THEN t.narration ELSE t.narration||'-'||lpad(CAST(b.row_seq AS STRING),8,'0')||CASE WHEN b.row_seq % 61 = 0 THEN '|500.0' ELSE '' END END AS narration,
    CASE WHEN b.row_seq % 97 = 0 THEN 'abc' WHEN t.is_credit = 1 THEN '0' ELSE amt END AS debit_text,
    CASE WHEN t.is_credit = 1 AND b.row_seq % 97 <> 0 THEN amt ELSE '0' END AS credit_text
    FROM base b JOIN tmpl t ON b.idx = t.idx),
@@ -68,14 +71,22 @@ SAVINGS_IN = _in_list(ALL_SAVINGS_CATEGORIES)
 NEEDS_IN = _in_list(NEEDS_CATEGORIES)
 DISCRETIONARY_IN = _in_list(DISCRETIONARY_CATEGORIES)
 
+# every kind of whitespace that Python's strip() removes
+_stripped = "trim(date_text, " + " || ".join(f"chr({ord(c)})" for c in STRIPPED) + ")"
 _parsed_date = "coalesce(" + ", ".join(
-    f"try_strptime(trim(date_text), '{f}')" for f in _DATE_FORMATS_SQL) + ")"
+    f"try_strptime({_stripped}, '{f}')" for f in _DATE_FORMATS_SQL) + ")"
+
+
+def cal_month(date: str) -> str:
+    """``CAST(substr(date, 6, 2) AS INTEGER)`` as SQLite does it: the leading signed digits, else 0."""
+    return f"coalesce(TRY_CAST(regexp_extract(substr({date}, 6, 2), '^\\s*([+-]?[0-9]+)', 1) AS INT), 0)"
+
 
 LINES_CTE = f"""
 parsed AS (
   SELECT account_id, row_seq, date_text, narration AS description,
     trim(regexp_replace(regexp_replace(upper(coalesce(narration, '')), '-[0-9]{{6,}}', '', 'g'), '\\s+', ' ', 'g')) AS processed,
-    coalesce(strftime({_parsed_date}, '%Y-%m-%d'), trim(date_text)) AS date,
+    coalesce(strftime({_parsed_date}, '%Y-%m-%d'), {_stripped}) AS date,
     coalesce(TRY_CAST(debit_text AS DOUBLE), 0) AS dr,
     coalesce(TRY_CAST(credit_text AS DOUBLE), 0) AS cr
   FROM statement),

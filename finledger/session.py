@@ -43,14 +43,17 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only when it is unset (local tests)
-    is a scratch folder chosen and recorded in the session, so every later
-    call (and ``DataFrame.checkpoint``) uses the same root.
+    The setting is read from the session. Only a ``local`` master, where driver
+    and executors are one machine, may leave it unset: then a scratch folder is
+    chosen and recorded in the session, so every later call (and
+    ``DataFrame.checkpoint``) uses the same root. On a cluster an unset folder
+    is an error.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        # Unset: only in local tests. A cluster always names a shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="finledger-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)

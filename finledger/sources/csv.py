@@ -13,6 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finledger.operators.ledger import newest_first
 from finledger.sources.derived import STATEMENT_COLUMNS
 from finledger.taxonomy import REQUIRED_CSV_COLUMNS
 
@@ -104,7 +105,7 @@ def read_statement_csv(spark: SparkSession, paths: str | list[str], account_id=N
 
 def export_csv(df: DataFrame, path: str, limit: int | None = None) -> None:
     """IO7: header CSV, newest first; ``limit`` is optional (the UI capped at 10,000)."""
-    out = df.orderBy(F.col("date").desc(), F.col("row_seq").desc())
+    out = df.orderBy(*newest_first(df))
     if limit is not None:
         out = out.limit(limit)
     out.write.mode("overwrite").option("header", True).csv(path)

@@ -30,6 +30,7 @@ NO_REFERENCE = (5, 18)
 MONTH_ABBR = "JanFebMarAprMayJunJulAugSepOctNovDec"
 RESEND_EVERY = 50          # every 50th line appears twice
 RESEND_OFFSET = 1_000_000_000
+SEPARATOR_EVERY = 61       # narrations that hold the separator of the hash text
 BAD_AMOUNT_EVERY = 97      # unparsable debit text, row dropped
 
 
@@ -47,8 +48,11 @@ def _date_text(seq: Column, iso: Column) -> Column:
         .when(k == 3, F.concat_ws("/", mon, day, year))
         .when(k == 4, F.concat_ws("/", year, mon, day))
         .when(k == 5, F.concat_ws("-", day, abbr, year))
+        .when(seq % 196 == 6, F.lit(" "))                                   # blank
         .when(seq % 14 == 6, F.lit("bad date"))
-        .otherwise(iso)
+        .when(seq % 28 == 13, F.concat(F.lit("\t"), iso, F.lit(" \t")))    # padded with other spaces than blanks
+        # no accepted format, but a calendar month of one digit can be read
+        .otherwise(F.concat(year, F.lit("/"), mon.cast("int").cast("string"), F.lit("/?"), day))
     )
 
 
@@ -73,7 +77,8 @@ def derive_statements(rows: DataFrame, account: Column, seq: Column, idx: Column
         s.alias("seq0"),
         _date_text(s, F.col("iso")).alias("date_text"),
         F.when(F.col("idx").isin(*NO_REFERENCE), tmpl)
-        .otherwise(F.concat(tmpl, F.lit("-"), F.lpad(s.cast("string"), 8, "0"))).alias("narration"),
+        .otherwise(F.concat(tmpl, F.lit("-"), F.lpad(s.cast("string"), 8, "0"),
+                            F.when(s % SEPARATOR_EVERY == 0, F.lit("|500.0")).otherwise(F.lit("")))).alias("narration"),
         F.when(s % BAD_AMOUNT_EVERY == 0, F.lit("abc"))
         .when(is_credit, F.lit("0")).otherwise(F.col("amt")).alias("debit_text"),
         F.when(is_credit & (s % BAD_AMOUNT_EVERY != 0), F.col("amt")).otherwise(F.lit("0")).alias("credit_text"),
@@ -92,17 +97,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """At least one task per core for the CPU-heavy per-line work.
+    """Rows dealt over ``spark.sql.shuffle.partitions`` tasks for the CPU-heavy per-line work.
 
-    A source with fewer input splits than cores (one small file, one row
-    group) would run all parsing in a handful of tasks; it is hash
-    partitioned on ``key`` first. A large source already has far more splits
-    than cores and is left alone (no extra shuffle). Planning only, no job.
+    The test tables are files of one row group, which would be parsed in one
+    task. The rule is the same at every size; real statements come from files
+    and are not dealt.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def orders_statements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,32 +1,33 @@
 """Ledger storage (IO3 append, IO4 training bag, IO8 snapshot, M5 uniqueness).
 
-Layout: ``<path>/batch=<n>/month=<yyyy-mm>/part-*.parquet``. Every ingest
-(a batch upload or a streaming micro-batch) writes exactly one ``batch``
-folder in overwrite mode, after an anti-join against the folders of earlier
-batches only. Re-running a batch therefore rewrites the same rows instead of
-duplicating them, and readers see whole batches. Paths are under the
-cluster's shared storage (the caller's path or the checkpoint root), never a
-machine-local folder.
+Layout: ``<path>/writer=<w>/batch=<n>/month=<yyyy-mm>/part-*.parquet``. Every
+upload is a writer of its own; a stream is one writer, named once in its
+checkpoint, with a batch for each micro-batch. A batch is written in overwrite
+mode after an anti-join against every other folder (of its own writer: the
+earlier ones), so re-running a batch rewrites the same rows, and no writer can
+touch the rows of another. Two uploads that run at the same moment do not see
+each other; run uploads of one ledger one after another. Paths are given by the
+caller or lie under the cluster's shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finledger.operators._common import bounded_rows
+from finledger.functions.text import month_of
 from finledger.operators.ingest import ACCOUNT_KEY, LEDGER_COLUMNS, new_rows, training_rows
 
 LEDGER_SCHEMA = (
     "account_id long, source_file string, row_seq long, date string, month string, txn_date date, "
     "description string, processed string, amount decimal(18,2), transaction_type string, "
-    "category string, is_saving int, hash string, batch long"
+    "category string, is_saving int, hash string, uploaded_at timestamp, writer string, batch long"
 )
-
-
-MAX_BATCH_MONTHS = 100_000
+#: Month folder of rows whose date is null or blank (an empty folder name would read back as null).
+NO_MONTH = "none"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -35,20 +36,26 @@ def _fs(spark: SparkSession, path: str):
     return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
 
 
-def batch_ids(spark: SparkSession, path: str) -> list[int]:
-    """Committed batch folders (metadata listing only)."""
+def exists(spark: SparkSession, path: str) -> bool:
     fs, hp = _fs(spark, path)
-    if not fs.exists(hp):
-        return []
-    out = []
-    for st in fs.listStatus(hp):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("batch="):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+    return fs.exists(hp)
+
+
+def new_writer() -> str:
+    """Name of a one-off upload."""
+    return f"upload-{uuid.uuid4().hex[:12]}"
+
+
+def stream_writer(spark: SparkSession, checkpoint: str) -> str:
+    """The writer of a stream: made once and kept in its checkpoint, so a restart
+    keeps its name and a new checkpoint gets a new one."""
+    path = f"{checkpoint.rstrip('/')}/_ledger_writer"
+    if not exists(spark, path):
+        spark.createDataFrame([(f"stream-{uuid.uuid4().hex[:12]}",)], "writer string").coalesce(1).write.parquet(path)
+    return spark.read.schema("writer string").parquet(path).first().writer
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(rows: DataFrame, path: str, batch_id: int = 0, writer: str | None = None) -> None:
     """Write one batch folder, partitioned by month.
 
     ``rebalance`` over the session's shuffle partitions spreads the write
@@ -56,50 +63,70 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     over many tasks instead of one.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (rows.select(*LEDGER_COLUMNS)
+    month = F.when(F.coalesce(F.col("month"), F.lit("")) == "", F.lit(NO_MONTH)).otherwise(F.col("month"))
+    (rows.select(*LEDGER_COLUMNS, F.current_timestamp().alias("uploaded_at"))
+     .withColumn("month", month)
      .hint("rebalance", n, "month")
-     .write.mode("overwrite").partitionBy("month").parquet(f"{path.rstrip('/')}/batch={batch_id}"))
+     .write.mode("overwrite").partitionBy("month")
+     .parquet(f"{path.rstrip('/')}/writer={writer or new_writer()}/batch={batch_id}"))
 
 
-def read_stored(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame | None:
-    """The stored ledger, or only the batches before ``before_batch`` (partition pruning)."""
-    if not batch_ids(spark, path):
+def read_stored(spark: SparkSession, path: str, writer: str | None = None, before_batch: int | None = None) -> DataFrame | None:
+    """The stored ledger; with ``writer`` and ``before_batch`` without that writer's batches from ``before_batch`` on."""
+    if not exists(spark, path):
         return None
     df = spark.read.schema(LEDGER_SCHEMA).parquet(path)
     if before_batch is not None:
-        df = df.where(F.col("batch") < before_batch)
+        df = df.where((F.col("writer") != writer) | (F.col("batch") < before_batch))
     return df
 
 
-def append_new(spark: SparkSession, transactions: DataFrame, path: str, batch_id: int | None = None,
-               key=ACCOUNT_KEY) -> DataFrame:
+def with_months(stored: DataFrame) -> DataFrame:
+    """Rows as they were ingested: the month of a null or blank date is that of its text."""
+    return stored.withColumn("month", F.when(F.col("month") == NO_MONTH, month_of("date")).otherwise(F.col("month")))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored ledger for queries."""
+    df = read_stored(spark, path)
+    return None if df is None else with_months(df)
+
+
+def _in_months_of(stored: DataFrame, tx: DataFrame) -> DataFrame:
+    """The stored partitions that can hold a copy of a row of ``tx``: the hash contains the date, so real months
+    outside the batch's range cannot; months of unparsed dates are all kept. Two values reach the driver."""
+    r = tx.where(F.col("txn_date").isNotNull()).agg(F.min("month").alias("lo"), F.max("month").alias("hi")).first()
+    odd = ~F.col("month").rlike(r"^\d{4}-\d{2}$")
+    return stored.where(odd if r.lo is None else odd | F.col("month").between(r.lo, r.hi))
+
+
+def append_new(spark: SparkSession, transactions: DataFrame, path: str, batch_id: int = 0,
+               key=ACCOUNT_KEY, writer: str | None = None) -> DataFrame:
     """IO3: store the first copies of transactions whose (key, hash) is not stored yet.
 
-    Returns the rows of this batch as written (read back from storage).
+    Without ``writer`` the call is an upload of its own. Returns the rows of
+    this batch as written (read back from storage).
     """
-    if batch_id is None:
-        ids = batch_ids(spark, path)
-        batch_id = (ids[-1] + 1) if ids else 0
-    tx = transactions.persist()
-    try:
-        stored = read_stored(spark, path, batch_id)
-        if stored is not None:
-            # the hash contains the date, so a stored copy can only sit in one of
-            # the batch's months: read just those partitions, not the whole ledger
-            months = [r.month for r in bounded_rows(tx.select("month").distinct(), MAX_BATCH_MONTHS, "batch months")]
-            in_months = F.col("month").isin([m for m in months if m is not None])
-            if None in months:
-                in_months = in_months | F.col("month").isNull()
-            stored = stored.where(in_months).select(*key, "hash")
-        write_batch(new_rows(tx, stored, key), path, batch_id)
-    finally:
-        tx.unpersist()
-    return read_stored(spark, path).where(F.col("batch") == batch_id)
-
-
-def append_training(inserted: DataFrame, path: str) -> None:
-    """IO4: append one (processed text, category) per categorised inserted row."""
-    training_rows(inserted).write.mode("append").parquet(path)
+    writer = writer or new_writer()
+    stored = read_stored(spark, path, writer, batch_id)
+    if stored is None:
+        write_batch(new_rows(transactions, None, key), path, batch_id, writer)
+    else:
+        tx = transactions.persist()
+        try:
+            stored = _in_months_of(stored, tx).select(*key, "hash")
+            write_batch(new_rows(tx, stored, key), path, batch_id, writer)
+        finally:
+            tx.unpersist()
+    return with_months(spark.read.schema(LEDGER_SCHEMA).parquet(path)
+                       .where((F.col("writer") == writer) & (F.col("batch") == batch_id)))
+
+
+def append_training(inserted: DataFrame, path: str, batch_id: int = 0, writer: str | None = None) -> None:
+    """IO4: one (processed text, category) per categorised inserted row, in a folder of its own
+    batch: a replayed batch rewrites its examples."""
+    training_rows(inserted).write.mode("overwrite").parquet(
+        f"{path.rstrip('/')}/writer={writer or new_writer()}/batch={batch_id}")
 
 
 def snapshot(tables: dict[str, DataFrame], root: str, at: dt.datetime | None = None) -> str:

@@ -1,14 +1,15 @@
 """Structured Streaming: incremental ingest and live totals (ST1, ST2, ST3).
 
 ST1  arriving statement files -> classified lines -> first copies not yet
-     stored -> one ledger folder per micro-batch (``batch=<id>``). The batch
-     folder is written in overwrite mode and the anti-join only reads folders
-     of earlier batches, so a replayed batch rewrites exactly the same rows:
-     the sink is idempotent and the checkpoint makes it exactly-once.
+     stored -> one ledger folder per micro-batch. The writer is named in the
+     checkpoint, the batch folder is written in overwrite mode and the anti-join
+     reads every other folder, so a replayed batch rewrites exactly the same
+     rows: the sink is idempotent and the checkpoint makes it exactly-once.
 ST2  bounded-lateness de-duplication with ``dropDuplicatesWithinWatermark``.
-ST3  daily debit totals per (key, day) from the stored ledger stream, with a
-     watermark and tumbling 1-day windows, in update mode; every batch writes
-     the windows it changed and readers keep the last version of each window.
+ST3  daily debit totals per (key, day) from the stored ledger stream: every
+     micro-batch writes its partial sums, readers add them up. Statements of any
+     age count (there is no watermark on the date of a transaction), a replayed
+     batch rewrites its own partials, and no state is kept.
 """
 
 from __future__ import annotations
@@ -24,19 +25,14 @@ from finledger.sources import store
 STATEMENT_CSV_SCHEMA = "Date string, Narration string, `Debit Amount` string, `Credit Amount` string"
 
 
-def read_stored_ledger(spark: SparkSession, ledger_path: str, before_batch: int | None = None) -> DataFrame:
-    """The stored ledger (all batch folders, or only those before ``before_batch``)."""
-    return store.read_stored(spark, ledger_path, before_batch)
-
-
-def ledger_sink(ledger_path: str, models=None, key: Sequence[str] = ACCOUNT_KEY) -> Callable[[DataFrame, int], None]:
+def ledger_sink(ledger_path: str, writer: str, models=None, key: Sequence[str] = ACCOUNT_KEY) -> Callable[[DataFrame, int], None]:
     """ST1 foreachBatch body: classify, keep first copies not yet stored, write batch folder."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # a stream cannot number rows; inside the micro-batch each file is one
         # split (multiLine), so the id keeps the line order within a file
         lines = batch.withColumn("row_seq", F.coalesce(F.col("row_seq"), F.monotonically_increasing_id()))
-        store.append_new(batch.sparkSession, prepare_transactions(lines, models), ledger_path, batch_id, key)
+        store.append_new(batch.sparkSession, prepare_transactions(lines, models), ledger_path, batch_id, key, writer)
 
     return write_batch
 
@@ -44,21 +40,24 @@ def ledger_sink(ledger_path: str, models=None, key: Sequence[str] = ACCOUNT_KEY)
 def start_ingest(lines: DataFrame, ledger_path: str, checkpoint: str, models=None,
                  available_now: bool = True, processing_time: str | None = None):
     """ST1: run the incremental ingest of a streaming DataFrame of statement lines."""
-    w = lines.writeStream.foreachBatch(ledger_sink(ledger_path, models)).option("checkpointLocation", checkpoint)
+    writer = store.stream_writer(lines.sparkSession, checkpoint)
+    w = lines.writeStream.foreachBatch(ledger_sink(ledger_path, writer, models)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "30 seconds")
     return w.start()
 
 
-def statement_csv_stream(spark: SparkSession, directory: str, account_id=None) -> DataFrame:
+def statement_csv_stream(spark: SparkSession, directory: str, account_id=None, account_column: str | None = None) -> DataFrame:
     """Arriving statement CSVs as statement lines. An explicit schema with
-    ``enforceSchema=false`` fails fast on a file whose header differs."""
+    ``enforceSchema=false`` fails fast on a file whose header differs.
+    ``account_column`` names a leading column with the account of each line."""
+    schema = STATEMENT_CSV_SCHEMA if account_column is None else f"`{account_column}` string, {STATEMENT_CSV_SCHEMA}"
     raw = (
-        spark.readStream.schema(STATEMENT_CSV_SCHEMA)
+        spark.readStream.schema(schema)
         .options(header="true", enforceSchema="false", multiLine="true", escape='"')
         .csv(directory)
     )
     return raw.select(
-        F.lit(account_id).cast("long").alias("account_id"),
+        (F.lit(account_id) if account_column is None else F.col(f"`{account_column}`")).cast("long").alias("account_id"),
         F.col("_metadata.file_path").alias("source_file"),
         F.lit(None).cast("long").alias("row_seq"),       # numbered per micro-batch by the sink
         F.col("Date").alias("date_text"), F.col("Narration").alias("narration"),
@@ -75,26 +74,30 @@ def dedupe_within_watermark(tx: DataFrame, delay: str = "1 hour", key: Sequence[
     )
 
 
-def daily_totals_stream(ledger_stream: DataFrame, by: Sequence[str] = (), delay: str = "3 days") -> DataFrame:
-    """ST3: debit total per (key, day) with a watermark on the transaction date."""
-    d = ledger_stream.where((F.col("transaction_type") == "Debit") & F.col("txn_date").isNotNull())
-    d = d.withColumn("ts", F.col("txn_date").cast("timestamp")).withWatermark("ts", delay)
-    agg = d.groupBy(*by, F.window("ts", "1 day")).agg(F.sum("amount").alias("total"))
-    return agg.select(*by, F.to_date(F.col("window.start")).alias("day"), "total")
+def daily_partials(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """ST3: debit total per (key, day) of some ledger rows."""
+    d = rows.where((F.col("transaction_type") == "Debit") & F.col("txn_date").isNotNull())
+    return d.groupBy(*by, F.col("txn_date").alias("day")).agg(F.sum("amount").alias("total"))
 
 
-def window_sink(path: str) -> Callable[[DataFrame, int], None]:
+def daily_sink(path: str, by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """ST3 foreachBatch body: the partial sums of one micro-batch, in a folder of its own."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}")
+        daily_partials(batch, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write_batch
 
 
-def latest_windows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Read ST3 output back: the last version of every (key, day)."""
-    df = spark.read.parquet(path)
-    latest = F.max_by(F.col("total"), F.col("batch_id"))
-    return df.groupBy(*keys).agg(latest.alias("total"))
+def start_daily_totals(ledger_stream: DataFrame, path: str, checkpoint: str, by: Sequence[str] = (), available_now: bool = True,
+                       processing_time: str | None = None):
+    """ST3: keep daily totals of a ledger stream under ``path`` (one checkpoint for each path)."""
+    w = ledger_stream.writeStream.foreachBatch(daily_sink(path, by)).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "30 seconds")
+    return w.start()
+
+
+def daily_totals(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """ST3 read back: partial sums of all batches added up."""
+    return spark.read.parquet(path).groupBy(*by, "day").agg(F.sum("total").alias("total"))
 
 
 def month_rollup(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -152,12 +152,3 @@ def ordered_categories() -> list[tuple[int, str, str, list[str]]]:
         for cat, kws in table.items():
             out.append((len(out), group, cat, kws))
     return out
-
-
-def keyword_rows() -> list[tuple[int, str, str, int, str]]:
-    """Flat keyword dimension: (priority, label_group, category, position, keyword)."""
-    return [
-        (prio, group, cat, pos, kw)
-        for prio, group, cat, kws in ordered_categories()
-        for pos, kw in enumerate(kws)
-    ]

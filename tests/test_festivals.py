@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import FIVE_ROWS
+from conftest import FESTIVE_YEAR
 from finledger.operators import festivals as fest
 
 AS_OF = dt.datetime(2001, 10, 5, 12, 0, 0)
@@ -27,7 +27,7 @@ def test_add_festival(spark):
 
 
 def test_upcoming_both_modes(spark, csv_ledger):
-    led = csv_ledger(FIVE_ROWS)
+    led = csv_ledger(FESTIVE_YEAR)
     table = _table(spark, [("A", 10, 6), ("B", 10, 5), ("C", 10, 8), ("D", 1, 15), ("E", 2, 29)])
     by_date = {r.name: (r.date, r.days_until) for r in fest.upcoming_festivals(led, table, AS_OF, 365, "date").collect()}
     assert by_date == {"A": ("2001-10-06", 1), "B": ("2001-10-05", 0), "C": ("2001-10-08", 3),
@@ -38,7 +38,7 @@ def test_upcoming_both_modes(spark, csv_ledger):
 
 
 def test_upcoming_window_and_message(spark, csv_ledger):
-    led = csv_ledger(FIVE_ROWS)
+    led = csv_ledger(FESTIVE_YEAR)
     table = _table(spark, [("Diwali", 10, 20), ("Christmas", 12, 25), ("Today", 10, 5), ("Tomorrow", 10, 6)])
     rows = {r.name: r for r in fest.upcoming_festivals(led, table, AS_OF, 21).collect()}
     assert set(rows) == {"Diwali", "Today", "Tomorrow"}
@@ -46,26 +46,26 @@ def test_upcoming_window_and_message(spark, csv_ledger):
     assert rows["Tomorrow"].message.startswith("Tomorrow is tomorrow!")
     d = rows["Diwali"]
     assert d.days_until == 15 and d.urgency == "info" and d.banner == "warning"
-    # October history: 13000 in one month vs 5875 over all four months
-    assert d.historical_avg_spend == 13000.0
-    assert d.message == ("Diwali is in 15 days! Based on your history, you typically spend around ₹13,000 "
-                         "during this period (₹7,125 more than normal months). Consider saving ₹7,838 extra.")
+    # October history: 11400 in one month vs 5050 over all four months
+    assert d.historical_avg_spend == 11400.0
+    assert d.message == ("Diwali is in 15 days! Based on your history, you typically spend around ₹11,400 "
+                         "during this period (₹6,350 more than normal months). Consider saving ₹6,985 extra.")
     assert rows["Today"].urgency == "danger"
 
 
 def test_history_without_data(spark, csv_ledger):
-    led = csv_ledger(FIVE_ROWS)
+    led = csv_ledger(FESTIVE_YEAR)
     h = {r.name: (r.avg_spend, r.extra_spend, r.suggested_saving)
-         for r in fest.festival_history(led, _table(spark, [("March", 3, 1), ("Oct", 10, 1)])).collect()}
-    assert h == {"March": (0.0, 0.0, 0.0), "Oct": (13000.0, 7125.0, 7837.5)}
+         for r in fest.festival_history(led, _table(spark, [("April", 4, 1), ("Oct", 10, 1)])).collect()}
+    assert h == {"April": (0.0, 0.0, 0.0), "Oct": (11400.0, 6350.0, 6985.0)}
 
 
 def test_festive_vs_normal(spark, csv_ledger):
-    r = fest.festive_vs_normal(csv_ledger(FIVE_ROWS), _table(spark, [("Diwali", 10, 20), ("Christmas", 12, 25)])).first()
-    assert (r.festive_months_avg, r.normal_months_avg, r.difference, r.difference_pct) == (9500.0, 2250.0, 7250.0, 322.2)
-    assert (r.festive_months_count, r.normal_months_count, r.monthly_set_aside) == (2, 2, 604.17)
+    r = fest.festive_vs_normal(csv_ledger(FESTIVE_YEAR), _table(spark, [("Diwali", 10, 20), ("Christmas", 12, 25)])).first()
+    assert (r.festive_months_avg, r.normal_months_avg, r.difference, r.difference_pct) == (8300.0, 1800.0, 6500.0, 361.1)
+    assert (r.festive_months_count, r.normal_months_count, r.monthly_set_aside) == (2, 2, 541.67)
 
 
 def test_festive_vs_normal_empty(spark, csv_ledger):
-    led = csv_ledger("Date,Narration,Debit Amount,Credit Amount\n2024-01-05,SALARY,0,100\n")
+    led = csv_ledger("Date,Narration,Debit Amount,Credit Amount\n2023-07-05,PAYROLL,0,100\n")
     assert fest.festive_vs_normal(led, fest.festivals_table(spark)).count() == 0
