@@ -36,9 +36,12 @@ def current_budgets(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     keeps it, a re-create after delete starts it again).
     """
     keys = [*by, "category"]
-    w = Window.partitionBy(*keys)
-    last_delete = F.max(F.when(F.col("op") == "delete", F.col("event_time"))).over(w)
-    live = log.withColumn("last_delete", last_delete).where(
+    # two aggregates and a join: no window ever holds the whole history of a category
+    ends = log.where(F.col("op") == "delete").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("event_time").alias("last_delete"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    live = log.join(ends, same, "left").where(
         F.col("last_delete").isNull() | (F.col("event_time") > F.col("last_delete"))
     )
     latest = F.max_by(F.struct("monthly_limit", "op"), F.col("event_time"))
@@ -52,8 +55,8 @@ def current_budgets(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def budget_vs_actual(ledger: DataFrame, budgets: DataFrame, month: str, by: Sequence[str] = ()) -> DataFrame:
-    """A12 + J1: spend of ``month`` per budget category against its limit.
+def budget_vs_actual(ledger: DataFrame, budgets: DataFrame, month: str | None, by: Sequence[str] = ()) -> DataFrame:
+    """A12 + J1: spend of ``month`` (None: of all months) per budget category against its limit.
 
     spent = debit total of the category in the month (savings included, 0 if
     none); utilization = spent/limit (0 when the limit is not positive);
@@ -65,14 +68,14 @@ def budget_vs_actual(ledger: DataFrame, budgets: DataFrame, month: str, by: Sequ
         raise ValueError(f"budgets need the key columns {missing} for a per-key report")
     keys = [*by, "category"]
     spend = (
-        ledger.where(debit() & month_filter(month))
+        ledger.where(debit() if month is None else debit() & month_filter(month))
         .groupBy(*keys)
         .agg(money_sum().alias("spent"))
     )
     return budget_status(spend, budgets, month, by)
 
 
-def budget_status(spend: DataFrame, budgets: DataFrame, month: str, by: Sequence[str] = ()) -> DataFrame:
+def budget_status(spend: DataFrame, budgets: DataFrame, month: str | None, by: Sequence[str] = ()) -> DataFrame:
     """A12 from a month's (key, category, spent) aggregate and the current budgets."""
     keys = [*by, "category"]
     b = budgets.select(*keys, F.col("monthly_limit").cast("decimal(18,2)").alias("limit"))
@@ -83,7 +86,7 @@ def budget_status(spend: DataFrame, budgets: DataFrame, month: str, by: Sequence
     util = F.when(lim > 0, as_double(spent) / as_double(lim) * 100).otherwise(F.lit(0.0))
     out = j.select(
         *keys,
-        F.lit(month).alias("month"),
+        F.lit(month).cast("string").alias("month"),
         as_double(lim).alias("budget"),
         as_double(spent).alias("spent"),
         as_double(lim - spent).alias("remaining"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finledger.operators._common import (
@@ -29,16 +29,20 @@ from finledger.taxonomy import CATEGORY_TIPS, DEFAULT_TIP, DISCRETIONARY_CATEGOR
 SUGGESTION_COLUMNS = ["priority", "category", "type", "message", "potential_saving"]
 
 
-def discretionary(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def discretionary(ledger: DataFrame, by: Sequence[str] = (), months: int | None = None) -> DataFrame:
     """Debit totals of the six discretionary categories, largest first.
 
-    (The original took a ``months`` argument and ignored it; all history is used.)
+    ``months`` counts only the newest so many months in which the key has such
+    spending (decision D20); all history by default.
     """
-    agg = (
-        ledger.where(debit() & F.col("category").isin(DISCRETIONARY_CATEGORIES))
-        .groupBy(*by, "category")
-        .agg(money_sum().alias("total"), F.count(F.lit(1)).alias("txn_count"))
-    )
+    rows = ledger.where(debit() & F.col("category").isin(DISCRETIONARY_CATEGORIES))
+    if months is None:
+        agg = rows.groupBy(*by, "category").agg(money_sum().alias("total"), F.count(F.lit(1)).alias("txn_count"))
+    else:
+        per_month = rows.groupBy(*by, "category", "month").agg(money_sum().alias("m"), F.count(F.lit(1)).alias("n"))
+        newest = F.dense_rank().over(key_window(by).orderBy(F.col("month").desc()))
+        recent = per_month.withColumn("_age", newest).where(F.col("_age") <= months)
+        agg = recent.groupBy(*by, "category").agg(F.sum("m").alias("total"), F.sum("n").alias("txn_count"))
     out = agg.select(
         *by, "category", as_double("total").alias("total"),
         F.col("txn_count").cast("long").alias("txn_count"),
@@ -47,6 +51,11 @@ def discretionary(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return present(out, by, F.col("total").desc(), "category")
 
 
+def type_label(col: str = "type") -> Column:
+    """A suggestion's type as shown: ``budget_overrun`` -> ``Budget Overrun``."""
+    return F.initcap(F.replace(F.col(col), F.lit("_"), F.lit(" ")))
+
+
 def subscription_audit(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Recurring payments grouped by raw description (>= 2 occurrences).
 

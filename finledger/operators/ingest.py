@@ -57,7 +57,7 @@ def parse_lines(statements: DataFrame, keyword_mode: str = "substring") -> DataF
     )
 
 
-def _classified(lines: DataFrame, ml_cols: dict | None = None) -> DataFrame:
+def _classified(lines: DataFrame, ml_cols: dict | None = None, hash_on: str = "processed") -> DataFrame:
     ml_cols = ml_cols or {}
     cols = classify_columns(F.col("is_credit"), F.col("kw_category"), **ml_cols)
     out = lines.select(
@@ -69,15 +69,19 @@ def _classified(lines: DataFrame, ml_cols: dict | None = None) -> DataFrame:
         cols["category"].alias("category"),
         cols["is_saving"].alias("is_saving"),
     )
-    return out.withColumn(
-        "hash", txn_hash("date", "processed", "amount", "transaction_type")
-    ).select(*LEDGER_COLUMNS)
+    if hash_on not in ("processed", "raw"):
+        raise ValueError(f"unknown hash_on {hash_on!r}")
+    text = F.col("processed") if hash_on == "processed" else F.coalesce("description", F.lit(""))
+    return out.withColumn("hash", txn_hash("date", text, "amount", "transaction_type")).select(*LEDGER_COLUMNS)
 
 
 def prepare_transactions(statements: DataFrame, models=None, keyword_mode: str = "substring",
-                         keep_dropped: bool = False) -> DataFrame:
+                         keep_dropped: bool = False, hash_on: str = "processed") -> DataFrame:
     """C4 + C5 for every kept line (before de-duplication).
 
+    ``hash_on="raw"`` hashes the narration as written, so payments that differ
+    only in a reference number stay apart (decision D6).
+
     ``keep_dropped=True`` also returns the dropped lines (null ``amount``) so a
     caller can remove them after its own aggregate: a filter here is pushed
     down to the scan, below the repartition that spreads a single-split source
@@ -94,14 +98,14 @@ def prepare_transactions(statements: DataFrame, models=None, keyword_mode: str =
     if not keep_dropped:
         lines = lines.where("keep")
     if models is None:
-        return _classified(lines)
+        return _classified(lines, hash_on=hash_on)
     needs_ml = ((~F.col("is_credit")) & F.col("kw_category").isNull()).cast("int")
     # distinct texts that need a model; filtering after the aggregate keeps the
     # keyword CASE evaluated once per line (a pushed-down filter would repeat it)
     texts = lines.groupBy("processed").agg(F.max(needs_ml).alias("needs_ml")).where("needs_ml = 1")
     scored = models.score(texts.select("processed"), "processed")
     joined = lines.join(scored, on="processed", how="left")
-    return _classified(joined, models.classify_kwargs())
+    return _classified(joined, models.classify_kwargs(), hash_on)
 
 
 def first_per_hash(tx: DataFrame, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
@@ -138,9 +142,9 @@ def new_rows(tx: DataFrame, stored: DataFrame | None = None, key: Sequence[str]
     return firsts.join(other, same, "left_anti")
 
 
-def build_ledger(statements: DataFrame, models=None, key: Sequence[str] = ACCOUNT_KEY) -> DataFrame:
+def build_ledger(statements: DataFrame, models=None, key: Sequence[str] = ACCOUNT_KEY, hash_on: str = "processed") -> DataFrame:
     """Statement lines -> ledger rows (first ingest of an empty ledger)."""
-    return new_rows(prepare_transactions(statements, models, keep_dropped=True), None, key)
+    return new_rows(prepare_transactions(statements, models, keep_dropped=True, hash_on=hash_on), None, key)
 
 
 def ingest_report(statements: DataFrame, stored: DataFrame | None = None,

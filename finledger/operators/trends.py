@@ -31,10 +31,24 @@ from finledger.operators.summary import monthly_totals
 from finledger.taxonomy import MONTH_NAMES
 
 
-def monthly_trends(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def with_gaps_filled(monthly: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Months without a row between a key's first and last calendar month, as zeros (months that are no ``YYYY-MM`` stay)."""
+    real = monthly.where(F.col("month").rlike(r"^\d{4}-(0[1-9]|1[0-2])$"))
+    first = lambda f: F.to_date(F.concat(f("month"), F.lit("-01")))
+    span = real.groupBy(*by).agg(first(F.min).alias("lo"), first(F.max).alias("hi")).where(F.col("lo").isNotNull())
+    every = span.select(*by, F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("d")).select(
+        *by, F.date_format("d", "yyyy-MM").alias("month"), *[F.lit(0).cast("decimal(28,2)").alias(c) for c in ("income", "expenses", "savings")])
+    both = monthly.unionByName(every)
+    return both.groupBy(*by, "month").agg(*[F.sum(c).alias(c) for c in ("income", "expenses", "savings")])
+
+
+def monthly_trends(ledger: DataFrame, by: Sequence[str] = (), fill_gaps: bool = False) -> DataFrame:
     """A2 + W1-W3: 3- and 6-month moving averages of expenses over the months
-    present (partial at the start), and the savings rate."""
+    present (partial at the start), and the savings rate. ``fill_gaps`` counts
+    calendar months without rows as zeros (decision D15)."""
     m = monthly_totals(ledger, by)
+    if fill_gaps:
+        m = with_gaps_filled(m, by)
     order = key_window(by).orderBy("month")
     w3, w6 = order.rowsBetween(-2, 0), order.rowsBetween(-5, 0)
     inc, sav = as_double("income"), as_double("savings")

@@ -265,7 +265,7 @@ def q_spending_heatmap(spark, sf_dir):
 
 # ---------------------------------------------------------------- W1-W7, A5, A13, A16, A17
 
-def _trends_sql(by: str) -> str:
+def _trends_sql(by: str, extra: str = "", of: str = "monthly") -> str:
     part = f"PARTITION BY {by} " if by else ""
     sel = f"{by}, " if by else ""
     w3 = f"OVER ({part}ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
@@ -276,7 +276,7 @@ def _trends_sql(by: str) -> str:
         f"{O.r2(f'CAST(sum(expenses) {w3} AS DOUBLE) / CAST(count(*) {w3} AS DOUBLE)')} AS expense_ma3, "
         f"{O.r2(f'CAST(sum(expenses) {w6} AS DOUBLE) / CAST(count(*) {w6} AS DOUBLE)')} AS expense_ma6, "
         f"{O.r1('CASE WHEN CAST(income AS DOUBLE) > 0 THEN CAST(savings AS DOUBLE) / CAST(income AS DOUBLE) * 100 ELSE 0.0 END')} AS savings_rate "
-        "FROM monthly", MONTHLY_SQL.format(sel=sel))
+        f"FROM {of}", MONTHLY_SQL.format(sel=sel) + (", " + extra if extra else ""))
 
 
 @register("monthly_trends", _trends_sql(""))

@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finledger.operators import budget, corrections, festivals, habits, ledger as rows, trends
+from finledger.operators import budget, corrections, festivals, habits, ingest, ledger as rows, summary, trends
 from finledger.operators._common import top_rows
 from finledger.operators.ingest import training_rows
 from finledger.plans import oracle as O
-from finledger.plans.catalog import ACCT, AS_OF_MONTH, ledger_of, register
+from finledger.plans.catalog import ACCT, AS_OF_MONTH, ledger_of, register, statements
 from finledger.plans.catalog import _anomalies_sql as catalog_anomalies_sql
 from finledger.plans.catalog import _growth_sql as catalog_growth_sql
+from finledger.plans.catalog import _trends_sql as catalog_trends_sql
 from finledger.plans.fixtures import AS_OF, CORRECTION_RULES, DAYS_AHEAD, SCENARIOS, budget_log_from_history
 from finledger.taxonomy import CATEGORY_TIPS, CURRENCY_SYMBOL, DEFAULT_FESTIVALS, DEFAULT_TIP
 
@@ -495,3 +496,89 @@ def q_seasonal_by_account(spark, sf_dir):
     "sc(category, reduction_pct) AS (VALUES " + ", ".join(f"({O._q(c)}, CAST({p} AS DOUBLE))" for c, p in SCENARIOS) + ")"))
 def q_what_if_by_account(spark, sf_dir):
     return habits.what_if(ledger_of(spark, sf_dir), habits.scenarios(spark, SCENARIOS), by=ACCT)
+
+
+# ---------------------------------------------------------------- options and further per-account forms
+
+
+@register("discretionary_recent", O.over_ledger(
+    "SELECT category, CAST(sum(amount) AS DOUBLE) AS total, count(*) AS txn_count, "
+    "CAST(sum(amount) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_amount FROM ("
+    "SELECT *, dense_rank() OVER (ORDER BY month DESC) AS age FROM ledger "
+    f"WHERE transaction_type = 'Debit' AND category IN {O.DISCRETIONARY_IN}) WHERE age <= 6 GROUP BY category"))
+def q_discretionary_recent(spark, sf_dir):
+    return habits.discretionary(ledger_of(spark, sf_dir), months=6)
+
+
+@register("budget_vs_actual_all_months", O.over_ledger(
+    _bva_sql().replace(f" AND month = '{AS_OF_MONTH}'", "").replace(f"'{AS_OF_MONTH}' AS month", "CAST(NULL AS VARCHAR) AS month"),
+    _budget_log_sql()))
+def q_budget_vs_actual_all(spark, sf_dir):
+    led = ledger_of(spark, sf_dir)
+    return budget.budget_vs_actual(led, _current(led), None)
+
+
+@register("rule_allocation_by_account", O.over_ledger(
+    "SELECT account_id, month, CAST(income AS DOUBLE) AS income, "
+    f"{O.r2('CAST(income * 0.5 AS DOUBLE)')} AS needs, {O.r2('CAST(income * 0.3 AS DOUBLE)')} AS wants, "
+    f"{O.r2('CAST(income * 0.2 AS DOUBLE)')} AS savings FROM (SELECT account_id, month, "
+    "sum(CASE WHEN transaction_type = 'Credit' THEN amount ELSE 0 END) AS income FROM ledger GROUP BY account_id, month)"))
+def q_rule_allocation_by_account(spark, sf_dir):
+    return budget.rule_allocation(ledger_of(spark, sf_dir), by=ACCT)
+
+
+def _subs_total_sql(by: str = "") -> str:
+    sel, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    return (f"SELECT {sel}count(*) AS subscriptions, CAST(sum(CAST(estimated_annual AS DECIMAL(18,2))) AS DOUBLE) AS total_annual "
+            f"FROM ({_subs_sql(by)}){group}")
+
+
+@register("subscription_total", O.over_ledger(_subs_total_sql()))
+def q_subscription_total(spark, sf_dir):
+    return habits.subscription_total(habits.subscription_audit(ledger_of(spark, sf_dir)))
+
+
+@register("subscription_total_by_account", O.over_ledger(_subs_total_sql("account_id")))
+def q_subscription_total_by_account(spark, sf_dir):
+    return habits.subscription_total(habits.subscription_audit(ledger_of(spark, sf_dir), ACCT), ACCT)
+
+
+@register("category_breakdown_by_account", O.over_ledger(
+    "SELECT account_id, category, CAST(sum(amount) AS DOUBLE) AS total FROM ledger WHERE transaction_type = 'Debit' GROUP BY account_id, category"))
+def q_category_breakdown_by_account(spark, sf_dir):
+    return summary.category_breakdown(ledger_of(spark, sf_dir), "Debit", ACCT)
+
+
+@register("category_month_by_account", O.over_ledger(
+    "SELECT account_id, month, category, CAST(sum(amount) AS DOUBLE) AS total FROM ledger "
+    "WHERE transaction_type = 'Debit' AND category IS NOT NULL GROUP BY account_id, month, category"))
+def q_category_month_by_account(spark, sf_dir):
+    return summary.category_month(ledger_of(spark, sf_dir), ACCT)
+
+
+@register("budgets_current_by_account", O.over_ledger(
+    "SELECT account_id, category, CAST(monthly_limit AS DOUBLE) AS monthly_limit FROM budgets", _budget_log_sql("account_id")))
+def q_budgets_current_by_account(spark, sf_dir):
+    return _current(ledger_of(spark, sf_dir), ACCT).select("account_id", "category", F.col("monthly_limit").cast("double").alias("monthly_limit"))
+
+
+_FILLED = (
+    "real AS (SELECT * FROM monthly WHERE regexp_matches(month, '^[0-9]{4}-(0[1-9]|1[0-2])$')), "
+    "filled AS (SELECT account_id, month, sum(income) AS income, sum(expenses) AS expenses, sum(savings) AS savings FROM ("
+    "SELECT account_id, month, income, expenses, savings FROM monthly UNION ALL "
+    "SELECT account_id, strftime(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)), '%Y-%m'), 0, 0, 0 FROM ("
+    "SELECT account_id, CAST(min(month) || '-01' AS DATE) AS lo, CAST(max(month) || '-01' AS DATE) AS hi FROM real GROUP BY account_id)) "
+    "GROUP BY account_id, month)")
+
+
+@register("monthly_trends_filled_by_account", catalog_trends_sql("account_id", _FILLED, "filled"))
+def q_monthly_trends_filled(spark, sf_dir):
+    return trends.monthly_trends(ledger_of(spark, sf_dir), ACCT, fill_gaps=True)
+
+
+@register("ledger_raw_hash", O.over_ledger(
+    "SELECT account_id, row_seq, h AS hash, " + O.dbl("amount") + " AS amount FROM (SELECT *, row_number() OVER (PARTITION BY account_id, h ORDER BY row_seq) AS rn3 FROM ("
+    "SELECT *, sha256(concat_ws('|', date, coalesce(description, ''), regexp_replace(CAST(amount AS VARCHAR), '0$', ''), transaction_type)) AS h FROM hashed)) WHERE rn3 = 1"))
+def q_ledger_raw_hash(spark, sf_dir):
+    led = ingest.build_ledger(statements(spark, sf_dir), hash_on="raw")
+    return led.select("account_id", "row_seq", "hash", F.col("amount").cast("double").alias("amount"))

@@ -1,15 +1,14 @@
 """Bank-statement CSV scan (IO1, IO11) and CSV export (IO7).
 
-Columns bind by header *name*: files are grouped by their header line and
-each group is read once (Spark binds a multi-file read by position, so one
-read of files with reordered headers would swap columns silently). Every
-column is read as a string; numbers and dates are parsed by expressions.
+Columns bind by header *name*, and any number of files with any header
+layouts is one distributed scan: Spark lists the files (nested folders too),
+every file is read without a header as text cells, and the map from a file's
+header to the statement columns is a table of its own, joined by file. No
+file is opened on the driver. Numbers and dates are parsed by expressions.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,6 @@ from finledger.operators.ledger import newest_first
 from finledger.sources.derived import STATEMENT_COLUMNS
 from finledger.taxonomy import REQUIRED_CSV_COLUMNS
 
-_CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE"}
 _CANONICAL = {
     "Date": "date_text",
     "Narration": "narration",
@@ -26,37 +24,23 @@ _CANONICAL = {
 }
 
 
-def _list_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Expand directories and globs through the Hadoop file system (metadata only)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out: list[str] = []
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        fs = hp.getFileSystem(conf)
-        statuses = fs.globStatus(hp) or []
-        for st in statuses:
-            if st.isDirectory():
-                for child in fs.listStatus(st.getPath()):
-                    name = child.getPath().getName()
-                    if child.isFile() and not name.startswith((".", "_")):
-                        out.append(child.getPath().toString())
-            else:
-                out.append(st.getPath().toString())
-    return sorted(set(out))
-
-
-def _header_line(spark: SparkSession, path: str) -> str:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    stream = hp.getFileSystem(conf).open(hp)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-    finally:
-        stream.close()
-    return (line or "").lstrip("﻿")
+def _headers(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, int]:
+    """(file, header): the trimmed column names of each file's first line, and the most columns of any."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                         F.monotonically_increasing_id().alias("id")).where("at = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "id").alias("line"))
+    # enough cells for every header; a comma inside quotes only makes it more
+    most = first.agg(F.max(F.size(F.split("line", ",")))).first()[0]
+    if most is None:
+        raise ValueError(f"no statement files under {paths}")
+    cells = F.from_csv(F.regexp_replace("line", "^\ufeff", ""), _cells(most), {"escape": '"'})
+    names = F.transform(F.array(*[cells[f"_c{i}"] for i in range(most)]), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    return first.select("file", names.alias("header")), most
+
+
+def _cells(n: int) -> str:
+    return ", ".join(f"_c{i} string" for i in range(n))
 
 
 def check_columns(columns: list[str]) -> None:
@@ -66,41 +50,48 @@ def check_columns(columns: list[str]) -> None:
 
 
 def read_statement_csv(spark: SparkSession, paths: str | list[str], account_id=None,
-                       account_column: str | None = None) -> DataFrame:
+                       account_column: str | None = None, multi_line: bool = True,
+                       strip_thousands: bool = False) -> DataFrame:
     """IO1 + IO11: statement lines from one or many CSV files, as strings.
 
     Output columns match the derived statements: account_id, source_file,
     row_seq, date_text, narration, debit_text, credit_text. ``row_seq`` keeps
-    the order within a file (each file is one split under multiLine).
-    ``account_column`` names an optional CSV column holding the account of
-    each line (multi-account exports); otherwise ``account_id`` applies to all.
+    the order within a file. ``account_column`` names an optional CSV column
+    holding the account of each line (multi-account exports); otherwise
+    ``account_id`` applies to all. ``multi_line`` allows line breaks inside
+    quotes and makes each file one task; set it to False for large files
+    without them, which are then split. ``strip_thousands`` removes commas from
+    amounts (decision D4). A repeated header line is a header, not a transaction.
     """
     if isinstance(paths, str):
         paths = [paths]
-    files = _list_files(spark, paths)
-    if not files:
-        raise ValueError(f"no statement files under {paths}")
-    groups: dict[str, list[str]] = defaultdict(list)
-    for f in files:
-        groups[_header_line(spark, f)].append(f)
-    parts = []
-    for _, group in sorted(groups.items(), key=lambda kv: kv[1][0]):
-        raw = spark.read.options(**_CSV_OPTIONS).csv(group)
-        by_trimmed = {c.strip(): c for c in reversed(raw.columns)}  # first duplicate wins
-        check_columns(list(by_trimmed))
-        parts.append(
-            raw.select(
-                (F.col(f"`{by_trimmed[account_column]}`") if account_column in by_trimmed
-                 else F.lit(account_id)).cast("long").alias("account_id"),
-                F.col("_metadata.file_path").alias("source_file"),
-                F.monotonically_increasing_id().alias("row_seq"),
-                *[F.col(f"`{by_trimmed[src]}`").cast("string").alias(dst) for src, dst in _CANONICAL.items()],
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*STATEMENT_COLUMNS)
+    headers, most = _headers(spark, paths)
+    short = headers.where(~F.forall(F.lit(REQUIRED_CSV_COLUMNS), lambda c: F.array_contains("header", c))).limit(1).collect()
+    if short:
+        check_columns(short[0].header)
+    raw = (spark.read.schema(_cells(most)).options(
+        header="false", multiLine=str(multi_line).lower(), escape='"', mode="PERMISSIVE", recursiveFileLookup="true").csv(paths))
+    raw = raw.select(F.array(*[F.col(f"_c{i}") for i in range(most)]).alias("cells"), F.col("_metadata.file_path").alias("source_file"),
+                     F.monotonically_increasing_id().alias("row_seq"))
+    j = raw.join(headers, F.col("source_file") == F.col("file"))
+
+    def cell(name: str):
+        return F.get("cells", F.array_position("header", F.lit(name)).cast("int") - 1)  # the first of two equal names
+
+    is_header = F.lit(True)
+    for name in _CANONICAL:
+        is_header = is_header & F.coalesce(F.trim(cell(name)) == name, F.lit(False))
+    j = j.where(~is_header)
+    if account_column is not None:
+        account = F.coalesce(cell(account_column), F.lit(account_id).cast("string"))
+    else:
+        account = F.lit(account_id)
+
+    def value(name: str):
+        return F.replace(cell(name), F.lit(","), F.lit("")) if strip_thousands and name.endswith("Amount") else cell(name)
+
+    return j.select(account.cast("long").alias("account_id"), "source_file", "row_seq",
+                    *[value(src).alias(dst) for src, dst in _CANONICAL.items()]).select(*STATEMENT_COLUMNS)
 
 
 def export_csv(df: DataFrame, path: str, limit: int | None = None) -> None:

@@ -141,3 +141,26 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 def test_forecast_of_one_account_equals_global(spark, csv_ledger):
     led = csv_ledger(statement("2023-07-05,KFC BUCKET,100,0", "2023-08-05,KFC BUCKET,300,0"))
     assert trends.forecast(led).first().forecast_expenses == trends.forecast(led, ("account_id",)).first().forecast_expenses
+
+
+def test_nested_folders_and_three_header_layouts(spark, tmp_path):
+    d = tmp_path / "in"
+    (d / "deep" / "er").mkdir(parents=True)
+    (d / "a.csv").write_text(statement("2023-07-04,KFC BUCKET,640,0", '2023-07-05,"A, ""B""\nC",1,0'))
+    (d / "deep" / "b.csv").write_text("﻿Credit Amount, Narration ,Extra,Date,Debit Amount,Account\n0,PIZZA NIGHT,x,2023-07-06,\"1,250.50\",7\n")
+    (d / "deep" / "er" / "c.csv").write_text("Account,Date,Narration,Debit Amount,Credit Amount\n8,2023-07-07,NYKAA BOX,5,0\n")
+    lines = read_statement_csv(spark, str(d), account_id=1, account_column="Account", strip_thousands=True)
+    got = sorted((r.account_id, r.date_text, r.narration, r.debit_text) for r in lines.collect())
+    assert got == [(1, "2023-07-04", "KFC BUCKET", "640"), (1, "2023-07-05", 'A, "B"\nC', "1"),
+                   (7, "2023-07-06", "PIZZA NIGHT", "1250.50"), (8, "2023-07-07", "NYKAA BOX", "5")]
+    split = read_statement_csv(spark, str(d / "deep"), account_id=1, multi_line=False)
+    assert sorted(r.debit_text for r in split.collect()) == ["1,250.50", "5"]
+
+
+def test_options(spark, csv_ledger):
+    led = csv_ledger(statement("2023-01-05,KFC BUCKET,100,0", "2023-04-05,KFC BUCKET,200,0", "2023-04-06,NYKAA BOX,50,0"))
+    assert [(r.month, r.expenses, r.expense_ma3) for r in trends.monthly_trends(led, fill_gaps=True).collect()] == [
+        ("2023-01", 100.0, 100.0), ("2023-02", 0.0, 50.0), ("2023-03", 0.0, 33.33), ("2023-04", 250.0, 83.33)]
+    assert {r.category: r.total for r in habits.discretionary(led, months=1).collect()} == {"Food & Dining": 200.0, "Shopping": 50.0}
+    t = spark.createDataFrame([("budget_overrun",)], "type string").select(habits.type_label()).first()[0]
+    assert t == "Budget Overrun"
