@@ -1,15 +1,15 @@
 """Quality classifier: hashed word n-gram logistic regression, FTRL-proximal.
 
 Features: A-Z lower-cased runs of word characters and runs of other printable
-ASCII characters are tokens; uni- and bigrams are hashed into 2^``bits``
-weights; a text's counts are scaled to unit length. Scores are sparse dot
+ASCII characters are tokens; uni- and bigrams, and the abstract n-gram of a word
+that repeats itself, are hashed into 2^``bits`` weights; a text's counts are scaled to unit length. Scores are sparse dot
 products put through the logistic function. Nothing but the text enters.
 
 Training: follow-the-regularised-leader updates (per-coordinate rates, L1 and
 L2) over a bounded sample of labelled rows, ``MAX_TRAIN_ROWS`` by a seeded hash
 of the id. The sample is dealt over ``PARTS`` tasks, each runs the updates over
 its rows in hash order for ``EPOCHS`` epochs, and the parts' weights are averaged
-(a classic parameter mixture). Updates weigh classes evenly. The model has
+(a classic parameter mixture). The model has
 2^bits weights at most, whatever the corpus, and that bound is what makes it fit to broadcast.
 
 Held out: rows whose crc32 of the id as text leaves 2 modulo 4 are never trained on.
@@ -55,7 +55,9 @@ def features(text: str | None, bits: int):
     h = np.fromiter(map(xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + np.uint64(0x632BE59BD9B4E019))
     pairs = pairs * np.uint64(0xC2B2AE3D27D4EB4F)
-    every = np.concatenate([h, pairs]) >> np.uint64(64 - bits)
+    # a word that follows itself, at once or after one other, is also the abstract n-gram of a repeated word
+    same = np.concatenate([np.full(int((h[d:] == h[:-d]).sum()), d, dtype=np.uint64) for d in (1, 2)]) * np.uint64(0xD6E8FEB86659FD93)
+    every = np.concatenate([h, pairs, same]) >> np.uint64(64 - bits)
     index, count = np.unique(every, return_counts=True)
     return index.astype(np.int64), count / np.sqrt(float((count.astype(np.float64) ** 2).sum()))
 
@@ -70,8 +72,6 @@ def _ftrl(rows, bits: int, epochs: int):
     for text, label in rows:
         i, x = features(text, bits)
         data.append((np.append(i, size - 1), np.append(x, 1.0), label))
-    good = sum(y for *_, y in data)
-    share = {1: len(data) / (2 * max(1, good)), 0: len(data) / (2 * max(1, len(data) - good))}
 
     def weights(i):
         zi, ni = z[i], n[i]
@@ -81,7 +81,7 @@ def _ftrl(rows, bits: int, epochs: int):
         for i, x, y in data:
             w = weights(i)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - y) * share[y] * x
+            g = (p - y) * x
             n2 = n[i] + g * g
             z[i] += g - (np.sqrt(n2) - np.sqrt(n[i])) / ALPHA * w
             n[i] = n2
