@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finledger.llm import (
-    fingerprints, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup,
+    fingerprints, license_scan, mixing, oracle, packing, quality_classifier, quality_rules, sharding, simhash_dedup,
     substring_dedup, url_filter,
 )
 from finledger.llm._common import table, written
@@ -55,19 +55,19 @@ def q_url_filters(spark, sf_dir):
     return url_filter.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "bad_score")
 
 
-@register("op4_substring_dedup")
+@register("op4_substring_dedup", oracle.SUBSTRING_DEDUP)
 def q_substring_dedup(spark, sf_dir):
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@register("op5_mixing")
+@register("op5_mixing", oracle.MIXING)
 def q_mixing(spark, sf_dir):
     keyed = mixing.keyed(table(spark, sf_dir, "documents"))
     rows = written(keyed.select("doc_id", "source", "_src", "_nosrc", "_size", "_key", "_tie"), "mix-keys")
     out = mixing.copies(rows, mixing.plan_mix(rows))
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target",
-                      (F.col("copies") * F.col("_size")).alias("taken"), "source", "copies")
+                      (F.col("copies") * F.col("_size")).alias("taken"), "source")
 
 
 @register("op6_license_scans")
@@ -75,7 +75,7 @@ def q_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("places")
 
 
-@register("op7_quality_rules")
+@register("op7_quality_rules", oracle.QUALITY_RULES)
 def q_quality_rules(spark, sf_dir):
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select(F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",

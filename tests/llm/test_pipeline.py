@@ -62,3 +62,16 @@ def test_stages_on_edge_rows(spark):
             d = written(stage(spark, d, SF_SMALL), "t")
             assert d.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, d, SF_SMALL).collect()
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF_SMALL}/documents.parquet')")
+    want = con.execute(queries.SQL[name])
+    cols = [d[0] for d in want.description]
+    got = queries.QUERIES[name](spark, SF_SMALL)
+    assert sorted(got.columns) == sorted(cols)
+    assert Counter(tuple(r) for r in got.select(*cols).collect()) == Counter(want.fetchall())
