@@ -5,6 +5,8 @@ All are built-in Spark expressions, so they run inside whole-stage codegen.
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +95,15 @@ def txn_hash(date: str | Column, processed: str | Column, amount: str | Column,
     return F.sha2(F.concat_ws("|", _c(date), _c(processed), python_float_text(amount), _c(txn_type)), 256)
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A text template with ``{name}`` places as one string column."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        parts += [values[name].cast("string")] if name else []
+    return F.concat(*parts)
+
+
 def month_of(date: str | Column) -> Column:
     """``substr(date, 1, 7)``: the month group, raw prefix for unparsed dates."""
     return F.substring(_c(date), 1, 7)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from finledger.operators._common import as_double, credit, debit, money_sum, present, r1, r2
 from finledger.operators.ledger import month_filter
 from finledger.operators.summary import monthly_totals
-from finledger.taxonomy import NEEDS_CATEGORIES
+from finledger.taxonomy import ALLOCATION_DESCRIPTIONS, NEEDS_CATEGORIES
 
 BUDGET_LOG_SCHEMA = "category string, monthly_limit decimal(18,2), event_time timestamp, op string"
 
@@ -168,7 +168,7 @@ def allocation_of(spark: SparkSession, monthly_income: float) -> DataFrame:
         r2(F.col("income") * 0.5).alias("needs"),
         r2(F.col("income") * 0.3).alias("wants"),
         r2(F.col("income") * 0.2).alias("savings"),
-        F.lit("Essentials: Rent, Groceries, Utilities, Transportation, Healthcare").alias("needs_description"),
-        F.lit("Discretionary: Dining, Shopping, Entertainment, Subscriptions").alias("wants_description"),
-        F.lit("Savings & Investments: SIP, FD, Insurance, Emergency Fund").alias("savings_description"),
+        F.lit(ALLOCATION_DESCRIPTIONS["needs"]).alias("needs_description"),
+        F.lit(ALLOCATION_DESCRIPTIONS["wants"]).alias("wants_description"),
+        F.lit(ALLOCATION_DESCRIPTIONS["savings"]).alias("savings_description"),
     )

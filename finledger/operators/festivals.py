@@ -14,9 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finledger.functions.text import cal_month_of
+from finledger.functions.text import cal_month_of, filled
 from finledger.operators._common import debit, mean_of, money_sum, present, r1, r2, salted_join
-from finledger.taxonomy import CURRENCY_SYMBOL, DEFAULT_FESTIVALS, FESTIVAL_ALERT_DAYS
+from finledger.taxonomy import CURRENCY_SYMBOL, DEFAULT_FESTIVALS, FESTIVAL_ALERT_DAYS, FESTIVAL_MESSAGES
 
 FESTIVAL_SCHEMA = "festival_id long, name string, month int, day int, duration_days int, is_active int"
 #: A calendar month read from two characters of a date lies between these, so that many months exist at most.
@@ -93,22 +93,14 @@ def festival_history(ledger: DataFrame, festivals: DataFrame, by: Sequence[str]
 
 
 def _alert_message(name: Column, days: Column, avg: Column, extra: Column, suggested: Column) -> Column:
-    """R3: "<name> is today|is tomorrow|is in N days!" plus the history clause."""
-    sym = F.lit(CURRENCY_SYMBOL)
-    when = (
-        F.when(days == 0, F.lit("is today"))
-        .when(days == 1, F.lit("is tomorrow"))
-        .otherwise(F.concat(F.lit("is in "), days.cast("string"), F.lit(" days")))
-    )
-    head = F.concat(name, F.lit(" "), when, F.lit("!"))
-    hist = F.concat(F.lit(" Based on your history, you typically spend around "), sym,
-                    F.format_number(avg, 0), F.lit(" during this period"))
-    extra_clause = F.concat(F.lit(" ("), sym, F.format_number(extra, 0), F.lit(" more than normal months). "),
-                            F.lit("Consider saving "), sym, F.format_number(suggested, 0), F.lit(" extra."))
-    return (
-        F.when(avg > 0, F.concat(head, hist, F.when(extra > 0, extra_clause).otherwise(F.lit("."))))
-        .otherwise(F.concat(head, F.lit(" Plan ahead and set aside some extra savings for festive expenses.")))
-    )
+    """When the festival is, and the history clause."""
+    m, sym = FESTIVAL_MESSAGES, F.lit(CURRENCY_SYMBOL)
+    head = (F.when(days == 0, filled(m["today"], name=name)).when(days == 1, filled(m["tomorrow"], name=name))
+            .otherwise(filled(m["later"], name=name, days=days)))
+    hist = filled(m["history"], symbol=sym, average=F.format_number(avg, 0))
+    more = filled(m["extra"], symbol=sym, extra=F.format_number(extra, 0), suggested=F.format_number(suggested, 0))
+    return F.when(avg > 0, F.concat(head, hist, F.when(extra > 0, more).otherwise(F.lit(".")))).otherwise(
+        F.concat(head, F.lit(m["no_history"])))
 
 
 def upcoming_festivals(ledger: DataFrame, festivals: DataFrame, as_of: dt.datetime,

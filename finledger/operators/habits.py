@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finledger.functions.text import filled
 from finledger.operators._common import (
     as_double,
     debit,
@@ -24,7 +25,7 @@ from finledger.operators._common import (
 )
 from finledger.operators.budget import budget_status, ratio_report, ratio_sums
 from finledger.operators.ledger import month_filter
-from finledger.taxonomy import CATEGORY_TIPS, DEFAULT_TIP, DISCRETIONARY_CATEGORIES
+from finledger.taxonomy import CATEGORY_TIPS, DEFAULT_TIP, DISCRETIONARY_CATEGORIES, SUGGESTION_MESSAGES
 
 SUGGESTION_COLUMNS = ["priority", "category", "type", "message", "potential_saving"]
 
@@ -180,13 +181,10 @@ def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Se
             F.when(over, "high").otherwise("medium").alias("priority"),
             "category",
             F.when(over, "budget_overrun").otherwise("budget_warning").alias("type"),
-            F.when(over, F.concat(
-                F.lit("You've exceeded your "), F.col("category"), F.lit(" budget by "), _fmt0(excess),
-                F.lit(" ("), F.col("utilization_pct").cast("string"),
-                F.lit("% used). Consider reducing spending here.")))
-            .otherwise(F.concat(
-                F.col("category"), F.lit(" spending is at "), F.col("utilization_pct").cast("string"),
-                F.lit("% of budget. Only "), _fmt0(F.col("remaining")), F.lit(" remaining."))).alias("message"),
+            F.when(over, filled(SUGGESTION_MESSAGES["budget_overrun"], category=F.col("category"), excess=_fmt0(excess),
+                                used=F.col("utilization_pct")))
+            .otherwise(filled(SUGGESTION_MESSAGES["budget_warning"], category=F.col("category"), used=F.col("utilization_pct"),
+                              remaining=_fmt0(F.col("remaining")))).alias("message"),
             F.when(over, excess).otherwise(null_money).alias("potential_saving"),
             F.lit(1).alias("rule_no"),
             F.col("utilization_pct").alias("seq_key"),
@@ -203,8 +201,8 @@ def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Se
     parts.append(top.select(
         *by, F.lit("medium").alias("priority"), "category",
         F.lit("discretionary_spending").alias("type"),
-        F.concat(F.col("category"), F.lit(" is one of your top discretionary expenses (total: "),
-                 _fmt0(F.col("total")), F.lit("). "), F.coalesce(F.col("tip"), F.lit(DEFAULT_TIP))).alias("message"),
+        filled(SUGGESTION_MESSAGES["discretionary_spending"], category=F.col("category"), total=_fmt0(F.col("total")),
+               tip=F.coalesce(F.col("tip"), F.lit(DEFAULT_TIP))).alias("message"),
         null_money.alias("potential_saving"),
         F.lit(2).alias("rule_no"),
         (-F.col("pos")).cast("double").alias("seq_key"),
@@ -220,9 +218,7 @@ def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Se
     parts.append(subs.select(
         *by, F.lit("medium").alias("priority"), F.lit("Subscriptions").alias("category"),
         F.lit("subscription_audit").alias("type"),
-        F.concat(F.lit("You have "), F.col("subscriptions").cast("string"),
-                 F.lit(" recurring subscriptions costing ~"), _fmt0(F.col("total_annual")),
-                 F.lit("/year. Review and cancel unused ones.")).alias("message"),
+        filled(SUGGESTION_MESSAGES["subscription_audit"], count=F.col("subscriptions"), annual=_fmt0(F.col("total_annual"))).alias("message"),
         r2(F.col("total_annual") * 0.2).alias("potential_saving"),
         F.lit(3).alias("rule_no"),
         F.lit(0.0).alias("seq_key"),
@@ -232,13 +228,11 @@ def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Se
     rules = F.array(
         F.when(F.col("wants_pct") > 35, F.struct(
             F.lit("spending_ratio").alias("type"),
-            F.concat(F.lit("Your discretionary spending ("), F.col("wants_pct").cast("string"),
-                     F.lit("%) exceeds the recommended 30%. Try to redirect some towards savings.")).alias("message"),
+            filled(SUGGESTION_MESSAGES["spending_ratio"], wants=F.col("wants_pct")).alias("message"),
             F.lit(4).alias("rule_no"))),
         F.when(F.col("savings_pct") < 15, F.struct(
             F.lit("savings_low").alias("type"),
-            F.concat(F.lit("Your savings rate ("), F.col("savings_pct").cast("string"),
-                     F.lit("%) is below the recommended 20%. Consider automating savings via SIPs or RDs.")).alias("message"),
+            filled(SUGGESTION_MESSAGES["savings_low"], savings=F.col("savings_pct")).alias("message"),
             F.lit(5).alias("rule_no"))),
     )
     checks = ratio.select(*by, F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r"))

@@ -19,7 +19,9 @@ from finledger.plans.catalog import _anomalies_sql as catalog_anomalies_sql
 from finledger.plans.catalog import _growth_sql as catalog_growth_sql
 from finledger.plans.catalog import _trends_sql as catalog_trends_sql
 from finledger.plans.fixtures import AS_OF, CORRECTION_RULES, DAYS_AHEAD, SCENARIOS, budget_log_from_history
-from finledger.taxonomy import CATEGORY_TIPS, CURRENCY_SYMBOL, DEFAULT_FESTIVALS, DEFAULT_TIP
+from finledger.taxonomy import (
+    CATEGORY_TIPS, CURRENCY_SYMBOL, DEFAULT_FESTIVALS, DEFAULT_TIP, FESTIVAL_MESSAGES, SUGGESTION_MESSAGES,
+)
 
 # ---------------------------------------------------------------- budgets
 
@@ -205,38 +207,33 @@ def _fmt0(x: str) -> str:
 
 def _suggestions_sql() -> str:
     tips = ", ".join(f"({O._q(c)}, {O._q(t)})" for c, t in sorted(CATEGORY_TIPS.items()))
-    bva = _bva_sql()
+    bva, msg = _bva_sql(), SUGGESTION_MESSAGES
     excess = O.r2("spent - budget")
     budget_rows = (
         "SELECT CASE WHEN status = 'over' THEN 'high' ELSE 'medium' END AS priority, category, "
         "CASE WHEN status = 'over' THEN 'budget_overrun' ELSE 'budget_warning' END AS type, "
-        "CASE WHEN status = 'over' THEN 'You''ve exceeded your ' || category || ' budget by ' || "
-        f"{_fmt0(excess)} || ' (' || CAST(utilization_pct AS VARCHAR) || '% used). Consider reducing spending here.' "
-        "ELSE category || ' spending is at ' || CAST(utilization_pct AS VARCHAR) || '% of budget. Only ' || "
-        f"{_fmt0('remaining')} || ' remaining.' END AS message, "
+        f"CASE WHEN status = 'over' THEN {O.filled(msg['budget_overrun'], category='category', excess=_fmt0(excess), used='utilization_pct')} "
+        f"ELSE {O.filled(msg['budget_warning'], category='category', used='utilization_pct', remaining=_fmt0('remaining'))} END AS message, "
         f"CASE WHEN status = 'over' THEN {excess} END AS potential_saving, 1 AS rule_no "
         f"FROM ({bva}) WHERE status IN ('over', 'warning')")
     disc = (
         "SELECT 'medium' AS priority, d.category, 'discretionary_spending' AS type, "
-        f"d.category || ' is one of your top discretionary expenses (total: ' || {_fmt0('d.total')} || '). ' || "
-        f"coalesce(t.tip, {O._q(DEFAULT_TIP)}) AS message, CAST(NULL AS DOUBLE) AS potential_saving, 2 AS rule_no "
+        f"{O.filled(msg['discretionary_spending'], category='d.category', total=_fmt0('d.total'), tip=f'coalesce(t.tip, {O._q(DEFAULT_TIP)})')} AS message, "
+        "CAST(NULL AS DOUBLE) AS potential_saving, 2 AS rule_no "
         f"FROM (SELECT * FROM ({_disc_sql()}) ORDER BY total DESC, category LIMIT 3) d "
         "LEFT JOIN tips t ON d.category = t.category")
     subs = (
         "SELECT 'medium' AS priority, 'Subscriptions' AS category, 'subscription_audit' AS type, "
-        "'You have ' || CAST(n AS VARCHAR) || ' recurring subscriptions costing ~' || "
-        f"{_fmt0('total_annual')} || '/year. Review and cancel unused ones.' AS message, "
+        f"{O.filled(msg['subscription_audit'], count='n', annual=_fmt0('total_annual'))} AS message, "
         f"{O.r2('CAST(total_annual AS DOUBLE) * 0.2')} AS potential_saving, 3 AS rule_no FROM ("
         f"SELECT count(*) AS n, sum(CAST(estimated_annual AS DECIMAL(18,2))) AS total_annual FROM ({_subs_sql()})) "
         "WHERE n > 0")
     ratio_inner = _ratio_sql()[len(O.PREFIX):]
     ratio = (
         "SELECT 'high' AS priority, 'Overall' AS category, 'spending_ratio' AS type, "
-        "'Your discretionary spending (' || CAST(wants_pct AS VARCHAR) || "
-        "'%) exceeds the recommended 30%. Try to redirect some towards savings.' AS message, "
+        f"{O.filled(msg['spending_ratio'], wants='wants_pct')} AS message, "
         f"CAST(NULL AS DOUBLE) AS potential_saving, 4 AS rule_no FROM ({ratio_inner}) WHERE wants_pct > 35 "
-        "UNION ALL SELECT 'high', 'Overall', 'savings_low', 'Your savings rate (' || CAST(savings_pct AS VARCHAR) || "
-        "'%) is below the recommended 20%. Consider automating savings via SIPs or RDs.', CAST(NULL AS DOUBLE), 5 "
+        f"UNION ALL SELECT 'high', 'Overall', 'savings_low', {O.filled(msg['savings_low'], savings='savings_pct')}, CAST(NULL AS DOUBLE), 5 "
         f"FROM ({ratio_inner}) WHERE savings_pct < 15")
     return O.over_ledger(
         "SELECT priority, category, type, message, potential_saving, "
@@ -294,15 +291,13 @@ def _upcoming_sql(mode: str) -> str:
     else:
         nxt = f"CASE WHEN CAST({this} AS TIMESTAMP) < {ts} THEN {nxt_y} ELSE {this} END"
         days = f"CAST(floor((epoch(CAST(nd AS TIMESTAMP)) - epoch({ts})) / 86400) AS INT)"
-    sym = CURRENCY_SYMBOL
+    m, sym = FESTIVAL_MESSAGES, O._q(CURRENCY_SYMBOL)
     msg = (
-        "name || ' ' || CASE WHEN days_until = 0 THEN 'is today' WHEN days_until = 1 THEN 'is tomorrow' "
-        "ELSE 'is in ' || CAST(days_until AS VARCHAR) || ' days' END || '!' || "
-        "CASE WHEN avg_spend > 0 THEN ' Based on your history, you typically spend around " + sym + "' || "
-        f"{_fmt0('avg_spend')} || ' during this period' || CASE WHEN extra_spend > 0 THEN ' (" + sym + "' || "
-        f"{_fmt0('extra_spend')} || ' more than normal months). Consider saving " + sym + "' || "
-        f"{_fmt0('suggested_saving')} || ' extra.' ELSE '.' END "
-        "ELSE ' Plan ahead and set aside some extra savings for festive expenses.' END")
+        f"CASE WHEN days_until = 0 THEN {O.filled(m['today'], name='name')} WHEN days_until = 1 THEN {O.filled(m['tomorrow'], name='name')} "
+        f"ELSE {O.filled(m['later'], name='name', days='days_until')} END || "
+        f"CASE WHEN avg_spend > 0 THEN {O.filled(m['history'], symbol=sym, average=_fmt0('avg_spend'))} || "
+        f"CASE WHEN extra_spend > 0 THEN {O.filled(m['extra'], symbol=sym, extra=_fmt0('extra_spend'), suggested=_fmt0('suggested_saving'))} "
+        f"ELSE '.' END ELSE {O._q(m['no_history'])} END")
     return O.over_ledger(
         "SELECT festival_id, name, strftime(nd, '%Y-%m-%d') AS date, days_until, duration_days, "
         f"avg_spend AS historical_avg_spend, suggested_saving, {msg} AS message, "

@@ -9,6 +9,8 @@ Spark side uses.
 
 from __future__ import annotations
 
+from string import Formatter
+
 from finledger.functions.text import STRIPPED
 from finledger.taxonomy import (
     ALL_SAVINGS_CATEGORIES,
@@ -51,6 +53,15 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def filled(template: str, **values: str) -> str:
+    """A text template with ``{name}`` places as one SQL string expression."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts += [_q(text)] if text else []
+        parts += [f"CAST({values[name]} AS VARCHAR)"] if name else []
+    return " || ".join(parts)
+
+
 def _in_list(values) -> str:
     return "(" + ", ".join(_q(v) for v in values) + ")"
 

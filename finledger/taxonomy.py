@@ -125,6 +125,29 @@ DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "yyyy/M/d", "d-M
 
 REQUIRED_CSV_COLUMNS = ["Date", "Narration", "Debit Amount", "Credit Amount"]
 
+# Texts shown to the user.
+SUGGESTION_MESSAGES = {
+    "budget_overrun": "You've exceeded your {category} budget by {excess} ({used}% used). Consider reducing spending here.",
+    "budget_warning": "{category} spending is at {used}% of budget. Only {remaining} remaining.",
+    "discretionary_spending": "{category} is one of your top discretionary expenses (total: {total}). {tip}",
+    "subscription_audit": "You have {count} recurring subscriptions costing ~{annual}/year. Review and cancel unused ones.",
+    "spending_ratio": "Your discretionary spending ({wants}%) exceeds the recommended 30%. Try to redirect some towards savings.",
+    "savings_low": "Your savings rate ({savings}%) is below the recommended 20%. Consider automating savings via SIPs or RDs.",
+}
+FESTIVAL_MESSAGES = {
+    "today": "{name} is today!",
+    "tomorrow": "{name} is tomorrow!",
+    "later": "{name} is in {days} days!",
+    "history": " Based on your history, you typically spend around {symbol}{average} during this period",
+    "extra": " ({symbol}{extra} more than normal months). Consider saving {symbol}{suggested} extra.",
+    "no_history": " Plan ahead and set aside some extra savings for festive expenses.",
+}
+ALLOCATION_DESCRIPTIONS = {
+    "needs": "Essentials: Rent, Groceries, Utilities, Transportation, Healthcare",
+    "wants": "Discretionary: Dining, Shopping, Entertainment, Subscriptions",
+    "savings": "Savings & Investments: SIP, FD, Insurance, Emergency Fund",
+}
+
 # ---------------------------------------------------------------------------
 # End of fixed values
 # ---------------------------------------------------------------------------
