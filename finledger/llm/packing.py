@@ -7,9 +7,7 @@ power of two, so nothing is padded. Equal lengths share a bucket; within a
 bucket sequences are numbered in a seeded shuffled order, so batches of one
 length are runs of sequence numbers.
 
-Ids are made in one pass over the texts with the tokenizer's own
-``encode``, remembered for each pre-token (byte-level BPE never merges across
-pre-tokens). Only piece lengths and numbers are shuffled for the
+Ids are made in one pass over the texts. Only piece lengths and numbers are shuffled for the
 numbering (see :func:`~finledger.llm._common.ranked`), unless the
 caller carries the ids along.
 
@@ -28,7 +26,6 @@ from finledger.llm._common import in_pieces, ranked, uniform, written
 LONGEST = 1024
 END_ID = 0
 SEED = 29
-MOST_REMEMBERED = 1 << 18   # pre-tokens whose ids a task remembers before it starts anew
 _SPECIAL = "<|"              # texts with it may hold a special token: they go through the tokenizer whole
 PIECES = "start bigint, length bigint, doc_tokens bigint, ids binary"
 
@@ -39,37 +36,43 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes stand for
+    themselves, the others for the code points from 256 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class _Encoder:
-    """Little-endian unsigned 32-bit ids of whole texts."""
+    """Little-endian unsigned 32-bit ids of whole texts, as the tokenizer of the file makes them.
+
+    In a byte-level BPE file ids rise in the order of the merges, so its vocabulary is a
+    table of ranks: tiktoken makes the same ids from it several times as fast. A text that may
+    hold a special token's string goes through the tokenizer itself.
+    """
 
     def __init__(self, path: str):
+        import json
+
         import public_tokenizers
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {x["content"] for x in spec.get("added_tokens", [])}
+        byte = _byte_of()
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.ordinary = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
+    def __call__(self, text: str) -> bytes:
         import numpy as np
 
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
         if _SPECIAL in text:
-            return self.whole(text)
-        parts, known = self.cut(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(known) > MOST_REMEMBERED:
-            known.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        for p in new:
-            known[p] = self.whole(p)
-        return b"".join(map(known.__getitem__, parts))
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.ordinary.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def lengths(n: int, longest: int = LONGEST) -> list[int]:
