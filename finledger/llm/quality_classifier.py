@@ -7,7 +7,7 @@ products put through the logistic function. Nothing but the text enters.
 
 Training: follow-the-regularised-leader updates (per-coordinate rates, L1 and
 L2) over a bounded sample of labelled rows, ``MAX_TRAIN_ROWS`` by a seeded hash
-of the id. The sample is dealt over ``PARTS`` tasks, each runs the updates over
+of the id. The sample is dealt over parts of about ``ROWS_PER_PART`` rows, each a task that runs the updates over
 its rows in hash order for ``EPOCHS`` epochs, and the parts' weights are averaged
 (a classic parameter mixture). The model has
 2^bits weights at most, whatever the corpus, and that bound is what makes it fit to broadcast.
@@ -30,7 +30,7 @@ from finledger.llm._common import LOWER_BYTES, free_name, uniform
 
 BITS = 18
 MAX_TRAIN_ROWS = 20_000
-PARTS = 4
+ROWS_PER_PART = 2_000
 EPOCHS = 3
 SEED = 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
@@ -90,13 +90,14 @@ def _ftrl(rows, bits: int, epochs: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-          bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, parts: int = PARTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+          bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, rows_per_part: int = ROWS_PER_PART, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """Labelled rows -> model (index, summed weight, parts): at most 2^bits + 1 rows; index 2^bits is the bias."""
     order = uniform(seed, F.col("_lid"))
     lab = labels.select(F.col(doc_id).alias("_lid"), F.col(label).cast("int").alias("_y")).where("_lid is not null and _y in (0, 1)")
     lab = lab.where(~is_held_out(F.col("_lid"))).dropDuplicates(["_lid"])
     # the documented bound of the sample: a top-k by hash, so it fits to broadcast
     sample = lab.withColumn("_o", order).orderBy("_o", "_lid").limit(max_rows)
+    parts = max(1, -(-min(max_rows, lab.count()) // rows_per_part))
     rows = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("_lid")).select(
         (F.floor(F.col("_o") * 1e9) % parts).cast("int").alias("part"), F.col("_o").alias("o"), F.col(text).alias("t"), F.col("_y").alias("y"))
 
