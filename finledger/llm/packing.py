@@ -49,7 +49,8 @@ class _Encoder:
 
     In a byte-level BPE file ids rise in the order of the merges, so its vocabulary is a
     table of ranks: tiktoken makes the same ids from it several times as fast. A text that may
-    hold a special token's string goes through the tokenizer itself.
+    hold a special token's string goes through the tokenizer itself, and so does one that tiktoken
+    refuses: its regex gives up (ValueError) on a run of about a million spaces.
     """
 
     def __init__(self, path: str):
@@ -70,9 +71,12 @@ class _Encoder:
     def __call__(self, text: str) -> bytes:
         import numpy as np
 
-        if _SPECIAL in text:
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.ordinary.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if _SPECIAL not in text:
+            try:
+                return self.ordinary.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:
+                pass
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def lengths(n: int, longest: int = LONGEST) -> list[int]:

@@ -201,6 +201,19 @@ def test_packing_round_trip(spark, edge, docs):
     assert [r["ids_crc32"] for r in sorted(digest, key=lambda r: r["start"])] == [zlib.crc32(bytes(r["ids"])) for r in sorted(by[10], key=lambda r: r["start"]) if r["doc_tokens"] == digest[0]["doc_tokens"]]
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, "\n" * 3_000_000, "\u00a0" * 2_000_000])
+def test_packing_of_long_runs_of_spaces(spark, run):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    text = f"before{run}after it"
+    want = Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids + [0]
+    rows = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    out = sorted(packing.pack(rows).collect(), key=lambda r: r["start"])
+    assert {r["doc_id"] for r in out} == {1, 2}
+    assert np.frombuffer(b"".join(bytes(r["ids"]) for r in out if r["doc_id"] == 1), "<u4").tolist() == want
+
+
 # ---------------------------------------------------------------- 3 url filters
 
 
