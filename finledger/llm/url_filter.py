@@ -7,16 +7,18 @@ verdict of the trees.
 Features: lengths of url, host and path, path depth, host labels, digit
 ratios, hyphens, character entropy, parameter counts, and suffix statistics (the
 smoothed share of blocked labelled urls among those whose host ends in the same one,
-two or three labels; labelled urls are scored without themselves).
+two or three labels). The trees are fitted on statistics without the url's own fold of ``FOLDS``: without the url alone they
+would tell its label, being lower for a blocked url than for an allowed one of the same suffix.
 
-Training: :func:`train` takes labelled urls (url, label), 1 for block. The
-sample is bounded by ``MAX_TRAIN_ROWS`` (by a hash of the url); suffix statistics come
-from the same sample, so their table is bounded too and fit to broadcast.
+Training: :func:`train` takes labelled urls (url, label), 1 for block. Suffix
+statistics count all distinct labelled urls; only the fit of the trees is bounded, to a
+sample of ``MAX_TRAIN_ROWS`` (by a hash of the url). Statistics are looked up for
+distinct hosts by shuffle joins, then for rows by host.
 Trees are Spark ML's, trained and applied in the JVM.
 
 Defined cases: null or unparsable urls (no ``://``) have empty host and path, match no rule
 and go to the trees like any other; repeated rows are judged each; without labels of
-both kinds every url without a rule is allowed; an empty table gives an empty result; other columns
+both kinds in the sample every url without a rule is allowed; an empty table gives an empty result; other columns
 pass through :func:`judge` whatever their names.
 """
 
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from finledger.llm._common import LOWER, UPPER, seal, text_or_empty, uniform, unseal, written
 
 MAX_TRAIN_ROWS = 20_000
-SMOOTHING = 10.0
+HOT = 1000                   # keys with over 1 / HOT of the rows are looked up by broadcast
+SMOOTHING, FOLDS = 10.0, 5
 TREES, DEPTH, SEED = 20, 4, 13
 FEATURES = ["f_url_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_hyphens",
             "f_entropy", "f_params", "f_query_len", "f_suffix1", "f_suffix2", "f_suffix3"]
@@ -105,19 +108,68 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
         "f_digits": _ratio(_without(u, "0123456789"), F.length(u)), "f_host_digits": _ratio(_without(h, "0123456789"), F.length(h)),
         "f_hyphens": _without(h, "-").cast("double"), "f_entropy": entropy,
         "f_params": F.when(q == "", 0.0).otherwise((_without(q, "&") + 1).cast("double")), "f_query_len": F.length(q).cast("double"),
-        "_s1": F.substring_index(h, ".", -1), "_s2": F.substring_index(h, ".", -2), "_s3": F.substring_index(h, ".", -3),
+        **_suffixes(h),
     }).drop("_u", "_k")
 
 
-def _with_statistics(df: DataFrame, stats: DataFrame, prior: float, own: Column | None = None) -> DataFrame:
-    """Adds f_suffix1..3: smoothed shares of blocked urls; ``own`` (0/1) leaves the row's own label out."""
+def _suffixes(host: Column) -> dict[str, Column]:
+    return {f"_s{i}": F.substring_index(host, ".", -i) for i in (1, 2, 3)}
+
+
+def _by_suffix(hosts: DataFrame, *sums: Column) -> DataFrame:
+    """(level, suffix, sums) of distinct hosts; map-side combined, so a hot suffix is a row for each task."""
+    s = _suffixes(F.col("host"))
+    suffix = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), s[f"_s{i}"].alias("suffix")) for i in (1, 2, 3)]))
+    return hosts.withColumn("_s", suffix).groupBy("_s.level", "_s.suffix").agg(*sums)
+
+
+def _look_up(df: DataFrame, key: str, found: DataFrame, rows: int) -> DataFrame:
+    """``df`` (of ``rows`` rows) with the columns of ``found``: a row for each value of ``key``, with _rows, the rows of ``df`` that have it.
+
+    A shuffle join but for the values with over 1 / ``HOT`` of the rows: they are fewer than ``HOT``, so they are
+    broadcast, and none of them fills a task.
+    """
+    often = F.col("_rows") * HOT > rows
+    hot, others = found.where(often).drop("_rows"), found.where(~often).drop("_rows")
+    rare = df.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return df.join(F.broadcast(hot), key).unionByName(rare.join(others, key, "left"))
+
+
+def _fold(seed: int) -> Column:
+    return F.floor(uniform(seed + 1, F.col("url")) * FOLDS).cast("int")
+
+
+def _statistics(every: DataFrame, seed: int) -> DataFrame:
+    """(level, suffix, n, bad, n_of, bad_of): distinct labelled urls and those to block, in all and of each fold."""
+    parts = {f"n{k}": F.when(F.col("_fold") == k, 1).otherwise(0) for k in range(FOLDS)}
+    parts |= {f"bad{k}": F.when(F.col("_fold") == k, F.col("_y")).otherwise(0) for k in range(FOLDS)}
+    hosts = with_parts(every, "url").withColumn("_fold", _fold(seed)).groupBy("host").agg(*[F.sum(c).alias(k) for k, c in parts.items()])
+    sums = _by_suffix(hosts, *[F.sum(k).alias(k) for k in parts])
+    n, bad = ([F.col(f"{x}{k}") for k in range(FOLDS)] for x in ("n", "bad"))
+    return sums.select("level", "suffix", sum(n[1:], n[0]).alias("n"), sum(bad[1:], bad[0]).alias("bad"),
+                       F.array(*n).alias("n_of"), F.array(*bad).alias("bad_of"))
+
+
+def _with_statistics(df: DataFrame, stats: DataFrame, prior: float, fold: Column | None = None) -> DataFrame:
+    """Adds f_suffix1..3: smoothed shares of blocked urls; ``fold`` leaves the row's own fold out."""
+    hosts = written(df.groupBy("host").agg(F.count(F.lit(1)).alias("_rows")), "url-hosts")
+    sums = ["n", "bad"] if fold is None else ["n", "bad", "n_of", "bad_of"]
+    size = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("_rows").alias("rows")).first()
+    none = F.array_repeat(F.lit(0).cast("long"), FOLDS)
+    wanted = _by_suffix(hosts, F.count(F.lit(1)).alias("_hosts"))
+    known = written(wanted.join(stats, ["level", "suffix"], "left"), "url-known")
+    each = hosts.withColumnRenamed("_rows", "_host_rows").withColumns(_suffixes(F.col("host")))
+    for i in (1, 2, 3):
+        s = known.where(F.col("level") == i).select(F.col("suffix").alias(f"_s{i}"), F.col("_hosts").alias("_rows"),
+                                                    *[F.col(x).alias(f"_{x}{i}") for x in sums])
+        each = written(_look_up(each, f"_s{i}", s, size["hosts"]), "url-hosts")
+    found = each.withColumnRenamed("_host_rows", "_rows").drop("_s1", "_s2", "_s3")
+    df = _look_up(df, "host", found, size["rows"] or 0)
     for i in (1, 2, 3):
-        s = stats.where(F.col("level") == i).select(F.col("suffix").alias("_x"), F.col("n").alias("_n"), F.col("bad").alias("_bad"))
-        df = df.join(F.broadcast(s), F.col(f"_s{i}") == F.col("_x"), "left")  # bounded by the training sample
-        n, bad = F.coalesce("_n", F.lit(0)), F.coalesce("_bad", F.lit(0))
-        if own is not None:
-            n, bad = F.greatest(n - 1, F.lit(0)), bad - own
-        df = df.withColumn(f"f_suffix{i}", (bad + F.lit(SMOOTHING * prior)) / (n + F.lit(SMOOTHING))).drop("_x", "_n", "_bad")
+        n, bad = F.coalesce(f"_n{i}", F.lit(0)), F.coalesce(f"_bad{i}", F.lit(0))
+        if fold is not None:
+            n, bad = n - F.get(F.coalesce(f"_n_of{i}", none), fold), bad - F.get(F.coalesce(f"_bad_of{i}", none), fold)
+        df = df.withColumn(f"f_suffix{i}", (bad + F.lit(SMOOTHING * prior)) / (n + F.lit(SMOOTHING))).drop(*[f"_{x}{i}" for x in sums])
     return df
 
 
@@ -134,7 +186,7 @@ class UrlModel:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
-        d = _with_statistics(lexical(df, url), self.stats, self.prior)
+        d = lexical(_with_statistics(df, self.stats, self.prior), url)
         d = self.trees.transform(VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(d))
         d = d.withColumn("bad_score", vector_to_array("_probability")[1])
         return d.drop(*FEATURES, "_s1", "_s2", "_s3", "_features", "_raw", "_probability", "_prediction")
@@ -142,22 +194,22 @@ class UrlModel:
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", max_rows: int = MAX_TRAIN_ROWS,
           trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> UrlModel:
-    """Labelled urls -> model, on a sample of at most ``max_rows`` distinct urls by hash order."""
+    """Labelled urls -> model: statistics of all distinct urls, trees fitted on at most ``max_rows`` of them by hash order."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    some = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("_y")).where("url is not null")
-    some = some.groupBy("url").agg(F.max("_y").alias("_y")).where("_y in (0, 1)")  # of two labels of one url the bad one holds
-    some = some.withColumn("_o", uniform(seed, F.col("url"))).orderBy("_o", "url").limit(max_rows)
+    every = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("_y")).where("url is not null")
+    every = every.groupBy("url").agg(F.max("_y").alias("_y")).where("_y in (0, 1)")  # of two labels of one url the bad one holds
+    every = written(every, "url-labels")
+    some = every.withColumn("_o", uniform(seed, F.col("url"))).orderBy("_o", "url").limit(max_rows)
     rows = written(lexical(with_parts(some, "url"), "url").drop("_o"), "url-sample")
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("bad")).first()
     if not n["n"] or not n["bad"] or n["bad"] == n["n"]:
         return UrlModel(None, 0.0, None)
-    prior = n["bad"] / n["n"]
-    suffix = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"_s{i}").alias("suffix")) for i in (1, 2, 3)]))
-    stats = rows.select(suffix.alias("s"), "_y").groupBy("s.level", "s.suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("bad"))
-    stats = written(stats, "url-suffixes")
-    train_rows = _with_statistics(rows, stats, prior, F.col("_y"))
+    stats = written(_statistics(every, seed), "url-suffixes")
+    whole = every.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("bad")).first()
+    prior = whole["bad"] / whole["n"]
+    train_rows = _with_statistics(rows, stats, prior, _fold(seed))
     train_rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(train_rows).select("_features", F.col("_y").cast("double").alias("_label"))
     gbt = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed, predictionCol="_prediction")
     gbt = gbt.setProbabilityCol("_probability").setRawPredictionCol("_raw")

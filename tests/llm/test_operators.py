@@ -262,6 +262,26 @@ def test_url_features(spark):
     assert (d[0]["f_depth"], d[0]["f_labels"], d[0]["f_params"], d[0]["f_hyphens"], d[0]["_s2"]) == (2, 3, 2, 1, "c1.org")
 
 
+def test_url_statistics_cover_all_labelled_urls(spark):
+    """Far more hosts and urls than the sample: statistics hold all of them, and hosts outside the sample are judged by theirs."""
+    urls = [f"http://{'casino' if i % 2 else 'garden'}-win{i}.com/{k}" for i in range(1000, 1700) for k in range(3)]
+    urls += [f"http://www.garden-win.com/{k}" for k in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    model = url_filter.train(url_filter.labels_from_rules(pages, {}, queries.BAD_HOST_WORDS), max_rows=200)
+    want = defaultdict(lambda: [0, 0])
+    for u in urls:
+        labels = brute_url(u)[0].split(".")
+        for level in (1, 2, 3):
+            at = want[level, ".".join(labels[-level:])]
+            at[0] += 1
+            at[1] += "casino" in u
+    assert {(r["level"], r["suffix"]): [r["n"], r["bad"]] for r in model.stats.collect()} == dict(want)
+    assert model.prior == pytest.approx(sum("casino" in u for u in urls) / len(urls))
+    out = url_filter.judge(pages, model, {}).collect()
+    assert sorted(r["page_id"] for r in out) == list(range(len(urls)))
+    assert all(r["verdict"] == ("block" if "casino" in r["url"] else "allow") for r in out)
+
+
 # ---------------------------------------------------------------- 4 substring dedup
 
 
