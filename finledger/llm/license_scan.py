@@ -8,7 +8,8 @@ posting at template position q votes for the template starting at p - q
 (postings intersect by relative position). Alignments with enough votes are
 verified: each mandatory key phrase must stand at its place, and the share of the
 template's IDF weight that matches at its place must reach the template's
-minimum. Short phrase templates are mandatory as a whole, so every place where
+minimum; behind the name of a Creative Commons licence no further part of a name may stand
+(``cc by nc sa`` is no ``cc by nc``). Short phrase templates are mandatory as a whole, so every place where
 their words stand consecutively is found.
 
 Words: A-Z lower-cased, then runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
@@ -51,6 +52,40 @@ NOTICES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
 ]
+NOTICES += [
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+     "this permission notice shall be included in all copies"),
+    ("apache", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license",
+     "each contributor hereby grants to you a perpetual worldwide"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+     "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+     "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+     "may be used to endorse or promote products derived from this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+     "permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted",
+     "permission to use copy modify and distribute this software for any purpose with or without fee"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "dedicated the work to the public domain"),
+]
+# Names that are found as a whole.
+NAMES = [
+    ("mpl", "mozilla public license"), ("lgpl", "gnu lesser general public license"), ("agpl", "gnu affero general public license"),
+    ("epl", "eclipse public license"), ("boost", "boost software license"), ("isc", "isc license"),
+    ("unlicense", "unlicense org"), ("cc0", "cc0 1 0"), ("cc0", "creativecommons org publicdomain zero"),
+    *[("cc-by", f"cc by {version}") for version in ("1 0", "2 0", "2 5", "3 0", "4 0")],
+]
+for _kind in ("by", "by nc", "by sa", "by nd", "by nc sa", "by nc nd"):
+    _label = "cc-" + _kind.replace(" ", "-")
+    _long = " ".join({"by": "attribution", "nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}[x] for x in _kind.split())
+    NAMES += [(_label, f"creative commons {_long}"), (_label, f"creativecommons org licenses {_kind}")]
+    if _kind != "by":  # "cc by" alone may be prose
+        NAMES.append((_label, f"cc {_kind}"))
+NOTICES += [(label, name, name) for label, name in NAMES]
+#: Parts of the names of Creative Commons licences.
+_PARTS = frozenset([b"nc", b"sa", b"nd", b"noncommercial", b"sharealike", b"noderivatives", b"noderivs"])
 LEAST_SHARE = 0.8
 
 
@@ -61,17 +96,22 @@ class Template:
     base: bool
     key: tuple[int, int]      # mandatory phrase: from, to
     least: float              # share of IDF weight that must match
+    barred: frozenset[bytes] = frozenset()   # words that must not follow the phrase
 
 
-def templates() -> list[Template]:
+def templates(notices: list[tuple[str, str, str]] | None = None) -> list[Template]:
+    """The base phrases and the notices (label, wording, mandatory phrase in it), ``NOTICES`` unless given."""
     out = []
     for label, phrase in PHRASES:
         w = tuple(phrase.encode().split())
         out.append(Template(label, w, True, (0, len(w)), 1.0))
-    for label, notice, key in NOTICES:
-        w, k = tuple(notice.encode().split()), tuple(key.encode().split())
-        at = next(i for i in range(len(w)) if w[i:i + len(k)] == k)
-        out.append(Template(label, w, False, (at, at + len(k)), LEAST_SHARE))
+    for label, notice, key in NOTICES if notices is None else notices:
+        w, k = tuple(_words(notice)), tuple(_words(key))
+        at = next((i for i in range(len(w)) if w[i:i + len(k)] == k), None)
+        if not k or at is None:
+            raise ValueError(f"the notice of {label!r} does not hold its phrase {key!r}")
+        barred = _PARTS if k[0] in (b"cc", b"creative", b"creativecommons") else frozenset()
+        out.append(Template(label, w, False, (at, at + len(k)), LEAST_SHARE, barred))
     return out
 
 
@@ -147,16 +187,22 @@ class Index:
             lo, hi = t.key
             if start + lo < 0 or tuple(words[start + lo:start + hi]) != t.words[lo:hi]:
                 continue
+            if t.barred and start + hi < len(words) and words[start + hi] in t.barred:
+                continue
             share = sum(self.idf[w] for q, w in enumerate(t.words) if 0 <= start + q < len(words) and words[start + q] == w) / self.weight[i]
             if share >= t.least - 1e-9:
                 out.append((i, start, min(1.0, share)))
         return out
 
 
-def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, anchors: int = ANCHORS) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, anchors: int = ANCHORS,
+         notices: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """The input's columns (or ``keep``) with n_words, places (template label, base, start, share), and what they sum up to:
-    n_base, first_word, last_word, base_labels, labels, score (the best share; 0 without a licence)."""
-    found = templates()
+    n_base, first_word, last_word, base_labels, labels, score (the best share; 0 without a licence).
+
+    ``notices`` (label, wording, mandatory phrase) take the place of ``NOTICES``; the base phrases always count.
+    """
+    found = templates(notices)
     n, df = document_frequencies(docs, text, sorted({w for t in found for w in t.words}))
     index = Index(found, n, df, anchors)
     keep = docs.columns if keep is None else keep

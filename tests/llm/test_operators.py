@@ -397,6 +397,37 @@ def test_licences(spark, edge, docs):
     assert license_scan.scan(both.where("false")).count() == 0
 
 
+LICENCES = [
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "isc"),
+    ("CC0 1.0 Universal", "cc0"), ("see https://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
+    ("under CC BY 4.0 since May", "cc-by"), ("under CC BY 3.0", "cc-by"), ("http://creativecommons.org/licenses/by/2.5/", "cc-by"),
+    ("all of it is CC BY-NC", "cc-by-nc"), ("Licensed under CC BY-NC 3.0.", "cc-by-nc"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+    ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"), ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "cc-by-nc-nd"),
+    ("Creative Commons Attribution 4.0 International", "cc-by"), ("sent to CC by mail", ""),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
+    ("Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, "
+     "no-charge, royalty-free, irrevocable copyright license to reproduce", "apache"),
+    ("under the GNU Lesser General Public License", "gpl,lgpl"),
+]
+
+
+def test_common_licences(spark, docs):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LICENCES)], "doc_id bigint, text string")
+    both = rows.union(docs.select("doc_id", "text").limit(50).withColumn("doc_id", F.col("doc_id") + 1000))
+    out = {r["doc_id"]: r["labels"] for r in license_scan.scan(both).collect()}
+    assert [(t, out[i]) for i, (t, _) in enumerate(LICENCES)] == LICENCES
+
+
+def test_licences_of_the_caller(spark):
+    rows = spark.createDataFrame([("Use is granted under the Acme Open Terms, version 7. MIT license",), ("CC0 1.0",)], "text string")
+    out = license_scan.scan(rows, notices=[("acme", "granted under the Acme Open Terms, version 7", "Acme Open Terms")]).collect()
+    assert [(r["labels"], r["base_labels"]) for r in out] == [("acme,mit", "mit"), ("", "")]
+    with pytest.raises(ValueError):
+        license_scan.scan(rows, notices=[("acme", "granted", "Acme Open Terms")])
+
+
 def test_licence_columns(clashing):
     out = license_scan.scan(clashing)
     assert {r["score"] for r in out.collect()} == {"own score"} and "_score" in out.columns
