@@ -1,8 +1,8 @@
 """Sharding (native): proportional stratified interleaving.
 
 Rows are ranked within their source in a seeded shuffled order; the fractional
-rank ``(rank - 0.5) / rows of the source`` spreads each source evenly over
-[0, 1). All rows sorted by it are cut into equal runs: any run, hence every
+rank ``(rank - u) / rows of the source``, with a seeded phase u in (0, 1) for each
+source, spreads each source evenly over [0, 1) and many tiny sources evenly too. All rows sorted by it are cut into equal runs: any run, hence every
 shard, holds the sources in the proportions of the whole. The law is
 ``rows``: shard sizes are at most one row apart.
 
@@ -36,7 +36,7 @@ def narrow_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
         (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
 
 
-def interleave(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+def interleave(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds position (0-based, over all rows), shard and slot to written rows of :func:`narrow_rows`."""
     n = rows.count()
     order = ["_u", "_id", "_tie", "size", "text_crc32"]
@@ -44,7 +44,7 @@ def interleave(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     per = written(rows.groupBy("_src", "_nosrc").agg(F.count(F.lit(1)).alias("_rows")), "shard-sources")
     within = within.join(per.select(F.col("_src").alias("_ps"), F.col("_nosrc").alias("_pn"), "_rows"),
                          (F.col("_src") == F.col("_ps")) & (F.col("_nosrc") == F.col("_pn"))).drop("_ps", "_pn")
-    within = within.withColumn("_f", (F.col("_rank") - F.lit(0.5)) / F.col("_rows"))
+    within = within.withColumn("_f", (F.col("_rank") - uniform(seed, F.col("_src"), F.col("_nosrc"))) / F.col("_rows"))
     within = written(within, "shard-ranks")
     placed = ranked(within, n, [], F.col("_f"), ["_f", "_nosrc", "_src", "_rank"], "_pos")
     pos = F.col("_pos") - 1
@@ -58,6 +58,6 @@ def deal(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
          shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One narrow row for each document: its id, source, size, text_crc32, position, shard and slot."""
     rows = written(narrow_rows(docs, doc_id, source, text, seed), "shard-rows")
-    out = interleave(rows, shards)
+    out = interleave(rows, shards, seed)
     return out.select(F.col("_id").alias(doc_id), F.when(~F.col("_nosrc"), F.col("_src")).alias(source),
                       "size", "text_crc32", "position", "shard", "slot")

@@ -589,3 +589,14 @@ def test_sharding(spark, edge, docs):
     assert Counter(map(str, out)) == Counter(map(str, again))
     assert sharding.deal(edge.where("false")).count() == 0
     assert Counter(r["shard"] for r in sharding.deal(edge.limit(3)).collect()).most_common(1)[0][1] == 1
+
+
+def test_sharding_of_tiny_sources(spark):
+    """Thousands of sources of one row stand in every shard alike, as does one large source."""
+    rows = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, F.lit("large")).otherwise(F.concat(F.lit("s"), "id")).alias("source"), F.lit("x").alias("text"))
+    out = sharding.deal(rows).collect()
+    assert Counter(r["shard"] for r in out) == {s: 750 for s in range(8)}
+    tiny = Counter(r["shard"] for r in out if r["source"] != "large")
+    assert all(180 <= tiny[s] <= 320 for s in range(8))   # 250 each, binomial
+    assert sorted(r["position"] for r in out) == list(range(6000))
