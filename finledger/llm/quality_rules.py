@@ -7,8 +7,9 @@ the one with the smallest id that carries them; a document that keeps less
 than ``min_kept`` of its words is depleted and rejected.
 
 Copies: documents with equal texts count once for a line, so a group of exact
-copies does not make its own lines frequent. The first carrier keeps its
-lines, so no passage disappears from the corpus.
+copies does not make its own lines frequent; more than ``max_docs`` near copies do.
+The first carrier keeps its lines. It is the smallest id of any document, also of one
+that is rejected (by the base rule, or depleted); then the line goes with it.
 
 Defined cases: null text = empty text (no lines, no words; fails the base
 rule); null host is a host of its own; repeated rows get equal verdicts; rows

@@ -455,6 +455,23 @@ def test_quality_rules(spark, edge, docs, max_docs):
         assert 200 in texts and 201 not in texts
 
 
+def test_first_carrier_may_be_rejected(spark):
+    """A frequent line stays in its smallest id alone: if that document fails the base rule, the line leaves the corpus with it."""
+    def own(i):
+        return " ".join(f"own{'abcdefghijklmnopqrstuvwxyz'[i]}{'x' * j}" for j in range(60))
+
+    line = "a passage that all of them carry"
+    rows = [(1, line, "h"), *[(i, f"{line}\n{own(i)}", "h") for i in range(2, 25)]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    judged = {r["_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert judged[1]["base_failed"] and judged[1]["n_line_words"] == 0 and not judged[1]["kept"]
+    assert all(judged[i]["kept"] and judged[i]["n_line_words"] == 7 for i in range(2, 25))
+    assert {r["doc_id"]: r["text"] for r in quality_rules.clean(docs).collect()} == {i: own(i) for i in range(2, 25)}
+    # without the short document the next one is the first carrier and keeps the line
+    rest = {r["doc_id"]: r["text"] for r in quality_rules.clean(docs.where("doc_id > 1")).collect()}
+    assert [i for i, t in rest.items() if line in t] == [2] and len(rest) == 23
+
+
 def test_quality_rules_columns(clashing):
     out = quality_rules.clean(clashing)
     assert out.columns == clashing.columns and {r["n_words"] for r in out.collect()} <= {"own n_words"}
