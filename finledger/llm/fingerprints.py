@@ -19,6 +19,7 @@ an empty table gives an empty result; other columns, whatever their names, pass
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,25 +99,47 @@ def _range_of(id_: Column, cuts: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(c, at + s - 1) < id_, F.lit(False)), at + s).otherwise(at))
 
 
+def _cuts(quantiles: list[int], ranges: int, nulls: int, rows: int) -> tuple[list[int], list[int]]:
+    """The distinct cut points, and for each range into how many parts its last id is split (of the last range: null ids).
+
+    An id that is several quantiles in a row has that many shares of the rows.
+    """
+    times = Counter(quantiles)
+    cuts = sorted(times)
+    return cuts, [*[times[c] for c in cuts], max(1, -(-ranges * nulls // max(1, rows)))]
+
+
+def _part_of(id_: Column, tie: Column, range_: Column, cuts: list[int], parts: list[int]) -> Column:
+    """The row's range with the part of it, in the order of ids and ties: 0 for ids before the range's last one, then by tie."""
+    n, most = F.get(F.lit(parts), range_), max(parts)
+    part = F.floor((tie.cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)) * n).cast("int")
+    hot = (n > 1) & (id_ == F.get(F.lit([*cuts, _NULL_ID]), range_))
+    return range_ * F.lit(most + 1) + F.when(hot, F.least(part, n - 1) + 1).otherwise(0)
+
+
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Adds fingerprint, and of the next document by ascending id: next_text and next_fingerprint.
 
-    Rows are dealt once by ranges of ids (cut points are quantiles); the first
+    Rows are dealt once by ranges of ids (cut points are quantiles), an id of many rows
+    by ranges of its ties; the first
     row of each range also goes, marked, to the end of the range before it,
     so every window is local and no task sees more than its range.
     """
     t = text_or_empty(text)
     d = seal(docs, _doc=doc_id, _text=text)
     d = d.withColumns({"_id": F.coalesce("_doc", F.lit(_NULL_ID)), "_tie": text_tie(text_or_empty("_text"))})
-    size = docs.agg(F.sum(F.octet_length(t)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    size = docs.agg(F.sum(F.octet_length(t)).alias("b"), F.count(F.lit(1)).alias("n"),
+                    F.count_if(F.col(doc_id).isNull()).alias("nulls")).first()
     total, n = size["b"] or 0, size["n"]
     ranges = max(1, min(math.isqrt(n), max(-(-total // _RANGE_BYTES), min(256, -(-total // (256 << 10))))))
-    cuts = []
+    quantiles = []
     if ranges > 1:
         share = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(docs.agg(F.percentile_approx(doc_id, share, max(10_000, 10 * ranges)).alias("q")).first()["q"] or []))
+        quantiles = docs.agg(F.percentile_approx(doc_id, share, max(10_000, 10 * ranges)).alias("q")).first()["q"] or []
+    cuts, parts = _cuts(quantiles, ranges, size["nulls"], n)
     d = d.withColumn("_range", _range_of(F.col("_id"), cuts))
-    # the first row of each range and the range before it (of the first range: the last); at most len(cuts) + 1 rows
+    d = d.withColumn("_range", _part_of(F.col("_id"), F.col("_tie"), F.col("_range"), cuts, parts))
+    # the first row of each range and the range before it (of the first range: the last); about twice ``ranges`` rows at most
     firsts = d.groupBy("_range").agg(F.min(F.struct("_id", "_tie")).alias("f"))
     order = Window.orderBy("_range")
     last = F.max("_range").over(Window.partitionBy())

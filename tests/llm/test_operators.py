@@ -586,6 +586,24 @@ def test_fingerprint_ranges(spark, docs, clashing, edge):
     assert fingerprints.with_next(edge.where("doc_id = 1")).first()["next_text"] == ROWS[0][1]
 
 
+def test_fingerprint_ranges_split_a_hot_id(spark, monkeypatch):
+    """A third of the rows without id, a third of one id: no range holds many of them, and the order stays exact."""
+    monkeypatch.setattr(fingerprints, "_RANGE_BYTES", 2000)
+    rows = spark.range(1200).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 500).otherwise(F.col("id")).alias("doc_id"),
+        F.concat(F.lit("some text of some length "), "id").alias("text"))
+    dealt = []
+    repartition = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda df, *a: dealt.append(df) or repartition(df, *a))
+    out = fingerprints.with_next(rows).select("doc_id", "text", "next_text").collect()
+    (last,) = [df for df in dealt if "_r" in df.columns]
+    assert max(r["count"] for r in last.groupBy("_r").count().collect()) < 150
+    tie = {r["text"]: r["t"] for r in rows.select("text", F.xxhash64("text").alias("t")).collect()}
+    want = sorted(((d if d is not None else math.inf, tie[t], t) for d, t in rows_of(rows)))
+    after = {a[2]: b[2] for a, b in zip(want, want[1:] + want[:1])}
+    assert len(out) == 1200 and {r["text"]: r["next_text"] for r in out} == after
+
+
 # ---------------------------------------------------------------- 10 sharding
 
 
