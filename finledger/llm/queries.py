@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finledger.llm import (
-    fingerprints, license_scan, mixing, oracle, packing, quality_classifier, quality_rules, sharding, simhash_dedup,
-    substring_dedup, url_filter,
+    conversation_trie, fingerprints, license_scan, mixing, oracle, packing, piece_encoding, quality_classifier, quality_rules,
+    sharding, simhash_dedup, substring_dedup, url_filter, whitening,
 )
 from finledger.llm._common import table, written
 
@@ -107,3 +107,22 @@ def q_sharding(spark, sf_dir):
     out = sharding.deal(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "source", "position")
+
+
+@register("op11_conversation_trie")
+def q_conversation_trie(spark, sf_dir):
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@register("op12_embedding_whitening")
+def q_embedding_whitening(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", *whitening.ADDED)
+
+
+@register("op13_piece_encoding")
+def q_piece_encoding(spark, sf_dir):
+    ids = piece_encoding.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return piece_encoding.decode(ids).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
