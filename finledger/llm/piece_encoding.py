@@ -38,8 +38,9 @@ from finledger.llm._common import free_name, in_pieces
 
 MARK = "▁"           # stands for a space inside pieces
 _BATCH = 4 << 20          # characters (encoding) or ids (decoding) of one batch
-_MEMORY = 200_000         # remembered words and pairs, each
+_MEMORY = 300_000         # remembered words and pairs, each
 _SHORT = 64               # longer words are not remembered
+_NONE: dict[int, bool] = {}
 
 
 def model_path() -> str:
@@ -52,7 +53,6 @@ class Pieces:
     """A merge-type model as tables. The library reads the file and normalises; it never encodes or decodes here."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -79,106 +79,137 @@ class Pieces:
         self.prefixed = sp.normalize("a").startswith(MARK)     # texts get a space in front, which decoding takes away
         self.starts_marked = {i for p, i in self.ids.items() if p.startswith(MARK)}
         self.in_words = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for p in self.ids:
-            self.automaton.add_word(p, len(p))
-        self.automaton.make_automaton()
-        self.whole: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # tokens are numbers: the ids of pieces, and from there on characters that are no pieces
+        self.text_of = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        self.size = [len(p) for p in self.text_of]
+        self.n_pieces = len(self.text_of)
+        self.characters: dict[str, int] = {}
+        self.shorter_of: dict[int, int] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        self._automaton = None
+
+    @property
+    def automaton(self):
+        """Of the pieces that stand: merging their characters gives them. Others never appear in a result."""
+        if self._automaton is None:
+            import ahocorasick
+
+            self.standing = {p for p in self.ids if self.merged(p) == [p]}
+            self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for p in self.standing:
+                self._automaton.add_word(p, self.ids[p])
+            self._automaton.make_automaton()
+        return self._automaton
 
     def merged(self, text: str) -> list[str]:
         """Plain merging of a short text: the best pair first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
+        parts, score = list(text), self.score.get
+        pairs = [score(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
             best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
+            for i, s in enumerate(pairs):
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if best is None:
-                break
+                return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def stands(self, piece: str) -> bool:
-        """Whether merging the piece's characters gives the piece: others never appear in a result."""
-        if len(piece) == 1:
-            return True
-        known = self.whole.get(piece)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at])
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1])
+
+    def character(self, c: str) -> int:
+        """The token of one character."""
+        i = self.ids.get(c)
+        if i is None:
+            i = self.characters.get(c)
+        if i is None:
+            i = self.characters[c] = len(self.text_of)
+            self.text_of.append(c)
+            self.size.append(1)
+        return i
+
+    def shorter(self, token: int) -> int:
+        """The longest proper prefix that stands; -1 for a character."""
+        known = self.shorter_of.get(token)
         if known is None:
-            known = self.whole[piece] = piece in self.ids and self.merged(piece) == [piece]
+            text = self.text_of[token]
+            n = next((n for n in range(len(text) - 1, 1, -1) if text[:n] in self.standing), 1)
+            known = self.shorter_of[token] = -1 if len(text) == 1 else self.ids[text[:n]] if n > 1 else self.character(text[0])
         return known
 
-    def shorter(self, piece: str) -> str | None:
-        """The longest proper prefix that stands."""
-        for n in range(len(piece) - 1, 0, -1):
-            if self.stands(piece[:n]):
-                return piece[:n]
-        return None
-
-    def compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= _MEMORY:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+    def _fits(self, a: int, b: int) -> bool:
+        """Whether re-merging two tokens gives the same two."""
+        if self.n_pairs >= _MEMORY:
+            self.pairs.clear()
+            self.n_pairs = 0
+        x, y = self.text_of[a], self.text_of[b]
+        known = self.merged(x + y) == [x, y]
+        self.pairs.setdefault(a, {})[b] = known
+        self.n_pairs += 1
         return known
 
-    def longest(self, text: str) -> list[int]:
-        """The length of the longest piece at each position (1 where there is none)."""
-        out = [1] * len(text)
-        for last, n in self.automaton.iter(text):
-            if n > out[last - n + 1]:
-                out[last - n + 1] = n
-        return out
-
-    def split(self, text: str) -> list[str]:
-        """The pieces of a normalised stretch, by backtracking."""
-        longest, failed = self.longest(text), bytearray(len(text) // 8 + 1)
-        out: list[str] = []
-        at = 0
-
-        def piece_at(i: int) -> str:
-            p = text[i:i + longest[i]]
-            return p if self.stands(p) else self.shorter(p)
-
-        piece = piece_at(0) if text else ""
-        while at < len(text):
-            last = out[-1] if out else None
-            while piece is not None:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.compatible(last, piece)):
-                    break
-                piece = self.shorter(piece)
-            if piece is not None:
-                out.append(piece)
-                at = end
-                piece = piece_at(at) if at < len(text) else None
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                out.pop()          # a first piece of one character always fits: there is a last one here
-                at -= len(last)
-                piece = self.shorter(last)
+    def split(self, text: str) -> list[int]:
+        """The tokens of a normalised stretch, by backtracking."""
+        n, size, pairs, shorter_of = len(text), self.size, self.pairs, self.shorter_of
+        longest = [-1] * n
+        for end, i in self.automaton.iter(text):   # ends ascend: the longest piece of a start comes last
+            longest[end + 1 - size[i]] = i
+        failed = None
+        out: list[int] = []
+        at, last = 0, -1
+        while at < n:
+            piece = longest[at]
+            if piece < 0:
+                piece = self.character(text[at])
+            after = pairs.get(last, _NONE)
+            while True:
+                end = at + size[piece]
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    if last < 0:
+                        break
+                    fits = after.get(piece)
+                    if fits is None:
+                        fits = self._fits(last, piece)
+                        after = pairs.get(last, _NONE)
+                    if fits:
+                        break
+                piece = shorter_of[piece] if piece in shorter_of else self.shorter(piece)
+                while piece < 0:
+                    # no prefix fits here, nor will it later: give up the token before (a first one of one character always fits)
+                    if failed is None:
+                        failed = bytearray((n >> 3) + 1)
+                    failed[at >> 3] |= 1 << (at & 7)
+                    gone = out.pop()
+                    at -= size[gone]
+                    last = out[-1] if out else -1
+                    after = pairs.get(last, _NONE)
+                    piece = self.shorter(gone)
+            out.append(piece)
+            at, last = end, piece
         return out
 
     def ids_of(self, stretch: str) -> bytes:
         from array import array
 
-        out = array("i")
-        for p in self.split(stretch):
-            i = self.ids.get(p)
-            out.extend([i] if i is not None else [self.byte_ids[b] for b in p.encode()])
-        return out.tobytes()
+        out, n = self.split(stretch), self.n_pieces
+        if max(out, default=0) >= n:
+            out = [x for i in out for x in ((i,) if i < n else map(self.byte_ids.__getitem__, self.text_of[i].encode()))]
+        return array("i", out).tobytes()
 
-    def word_ids(self, word: str) -> bytes:
-        known = self.words.get(word)
+    def _word_ids(self, word: str) -> bytes:
+        """Ids of a word that the newer memory lacks. Two memories: what is used again moves to the newer one."""
+        known = self.older_words.get(word)
         if known is None:
             known = self.ids_of(word)
-            if len(word) <= _SHORT:
-                if len(self.words) >= _MEMORY:
-                    self.words.clear()
-                self.words[word] = known
+        if len(word) <= _SHORT:
+            if len(self.words) >= _MEMORY // 2:
+                self.words, self.older_words = {}, self.words
+            self.words[word] = known
         return known
 
     def encode(self, text: str) -> bytes:
@@ -187,7 +218,7 @@ class Pieces:
 
         text = self.normalize(text)
         stretches = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.in_words else [text] if text else []
-        return b"".join(map(self.word_ids, stretches))
+        return b"".join([self.words.get(w) or self._word_ids(w) for w in stretches])
 
     def decode(self, ids: list[int]) -> str:
         import codecs
@@ -216,6 +247,17 @@ class Pieces:
         return parts
 
 
+def _loaded(path: str) -> Pieces:
+    """The model of a Python worker: its memories serve all tasks that the worker runs."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_piece_models", types.ModuleType("_piece_models")).__dict__.setdefault("by_path", {})
+    if path not in kept:
+        kept[path] = Pieces(path)
+    return kept[path]
+
+
 def _per_batch(df: DataFrame, column: str, added: StructField, size, convert) -> DataFrame:
     """Adds a column made from another by ``convert(model)(values) -> Arrow array``, a bounded batch at a time."""
     name = free_name(added.name, df.columns)
@@ -244,7 +286,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, end_id
         import numpy as np
         import pyarrow as pa
 
-        pieces = Pieces(path)
+        pieces = _loaded(path)
         end = np.int32(pieces.end).tobytes() if end_id else b""
 
         def make(texts):
@@ -263,7 +305,7 @@ def decode(df: DataFrame, ids: str = "ids", model: str | None = None, out: str =
     def convert():
         import pyarrow as pa
 
-        pieces = Pieces(path)
+        pieces = _loaded(path)
         return lambda rows: pa.array([None if r is None else pieces.decode(r) for r in rows.to_pylist()], pa.string())
 
     return _per_batch(df, ids, StructField(out, StringType()), lambda r: len(r) if r.is_valid else 0, convert)
