@@ -38,7 +38,8 @@ from finledger.llm._common import free_name, in_pieces
 
 MARK = "▁"           # stands for a space inside pieces
 _BATCH = 4 << 20          # characters (encoding) or ids (decoding) of one batch
-_MEMORY = 300_000         # remembered words and pairs, each
+_WORDS = 1_000_000        # remembered words (about 230 bytes each)
+_PAIRS = 500_000          # remembered pairs of tokens
 _SHORT = 64               # longer words are not remembered
 _NONE: dict[int, bool] = {}
 
@@ -144,7 +145,7 @@ class Pieces:
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether re-merging two tokens gives the same two."""
-        if self.n_pairs >= _MEMORY:
+        if self.n_pairs >= _PAIRS:
             self.pairs.clear()
             self.n_pairs = 0
         x, y = self.text_of[a], self.text_of[b]
@@ -207,7 +208,7 @@ class Pieces:
         if known is None:
             known = self.ids_of(word)
         if len(word) <= _SHORT:
-            if len(self.words) >= _MEMORY // 2:
+            if len(self.words) >= _WORDS // 2:
                 self.words, self.older_words = {}, self.words
             self.words[word] = known
         return known

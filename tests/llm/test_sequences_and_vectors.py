@@ -241,10 +241,12 @@ def test_decoding_any_ids_equals_the_library(library, pieces):
         assert pieces.decode(ids) == library.decode(ids), ids
 
 
-def test_bounded_memories(library, pieces, monkeypatch):
-    monkeypatch.setattr(pe, "_MEMORY", 5)
+def test_bounded_memories(library, monkeypatch):
+    monkeypatch.setattr(pe, "_WORDS", 6)
+    monkeypatch.setattr(pe, "_PAIRS", 5)
+    pieces = pe.Pieces(pe.model_path())
     text = "the bounded memory is cleared again and again without a change of any id"
-    assert np.frombuffer(pieces.encode(text), dtype=np.int32).tolist() == library.encode(text) and len(pieces.words) <= 6
+    assert np.frombuffer(pieces.encode(text), dtype=np.int32).tolist() == library.encode(text) and len(pieces.words) + len(pieces.older_words) <= 6 and pieces.n_pairs <= 5
 
 
 def test_piece_query_and_odd_rows(spark, library):
