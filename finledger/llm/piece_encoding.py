@@ -84,6 +84,7 @@ class Pieces:
         self.text_of = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.size = [len(p) for p in self.text_of]
         self.n_pieces = len(self.text_of)
+        self.code = "H" if self.n_pieces <= 1 << 16 else "I"
         self.characters: dict[str, int] = {}
         self.shorter_of: dict[int, int] = {}
         self.pairs: dict[int, dict[int, bool]] = {}
@@ -200,13 +201,13 @@ class Pieces:
         out, n = self.split(stretch), self.n_pieces
         if max(out, default=0) >= n:
             out = [x for i in out for x in ((i,) if i < n else map(self.byte_ids.__getitem__, self.text_of[i].encode()))]
-        return array("i", out).tobytes()
+        return array(self.code, out).tobytes()
 
     def _word_ids(self, word: str) -> bytes:
-        """Ids of a word that the newer memory lacks. Two memories: what is used again moves to the newer one."""
+        """Ids of the space mark and a word that the newer memory lacks. Two memories: what is used again moves to the newer one."""
         known = self.older_words.get(word)
         if known is None:
-            known = self.ids_of(word)
+            known = self.ids_of(MARK + word)
         if len(word) <= _SHORT:
             if len(self.words) >= _WORDS // 2:
                 self.words, self.older_words = {}, self.words
@@ -214,12 +215,20 @@ class Pieces:
         return known
 
     def encode(self, text: str) -> bytes:
-        """Native 32-bit ids without the end id."""
+        """Ids without the end id, as native numbers of :attr:`code`."""
         import re
 
         text = self.normalize(text)
-        stretches = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.in_words else [text] if text else []
-        return b"".join([self.words.get(w) or self._word_ids(w) for w in stretches])
+        if not self.in_words:
+            return self.ids_of(text)
+        if MARK + MARK in text:
+            stretches = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text)
+            first = "" if text[0] == MARK else stretches.pop(0)
+            words = [s[1:] for s in stretches]
+        else:
+            first, *words = text.split(MARK)
+        known = self.words
+        return self.ids_of(first) + b"".join([known.get(w) or self._word_ids(w) for w in words])
 
     def decode(self, ids: list[int]) -> str:
         import codecs
@@ -259,28 +268,34 @@ def _loaded(path: str) -> Pieces:
     return kept[path]
 
 
-def _per_batch(df: DataFrame, column: str, added: StructField, size, convert) -> DataFrame:
-    """Adds a column made from another by ``convert(model)(values) -> Arrow array``, a bounded batch at a time."""
-    name = free_name(added.name, df.columns)
-    names = [f"c{i}" for i in range(len(df.columns))]
-    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema.fields)] + [StructField("added", added.dataType)])
-    at = df.columns.index(column)
+def _per_batch(df: DataFrame, column: str, added: list[StructField], size, convert, keep: list[str] | None) -> DataFrame:
+    """The kept columns and those that ``convert()`` makes of another: values -> an Arrow array for each, a bounded batch at a time."""
+    kept = df.columns if keep is None else keep
+    names = [f"c{i}" for i in range(len(kept))]
+    taken = list(kept)
+    for f in added:
+        taken.append(free_name(f.name, taken))
+    made = [f"made{i}" for i in range(len(added))]
+    fields = [StructField(n, df.schema[c].dataType) for n, c in zip(names, kept)]
+    schema = StructType([*fields, *[StructField(n, f.dataType) for n, f in zip(made, added)]])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         make = convert()
         for b in batches:
-            for some in in_pieces(range(b.num_rows), lambda i: size(b.column(at)[i]), _BATCH):
+            for some in in_pieces(range(b.num_rows), lambda i: size(b.column(0)[i]), _BATCH):
                 part = b.slice(some[0], len(some))
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(at))], [*names, "added"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *make(part.column(0))], [*names, *made])
 
-    out = df.toDF(*names).mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)], F.col("added").alias(name))
+    rows = df.select(F.col(f"`{column}`").alias("value"), *[F.col(f"`{c}`").alias(n) for n, c in zip(names, kept)])
+    return rows.mapInArrow(run, schema).toDF(*taken)
 
 
-def encode(docs: DataFrame, text: str = "text", model: str | None = None, end_id: bool = True, out: str = "ids") -> DataFrame:
-    """Adds ``out``: the ids of the whole text as the model's library gives them, and the end id."""
+def encode(docs: DataFrame, text: str = "text", model: str | None = None, end_id: bool = True, out: str = "ids",
+           decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``out``: the ids of the whole text as the model's library gives them, and the end id; with ``decoded`` also the text
+    that those ids decode to. ``keep`` names the columns that stay (default: all)."""
     path = model or model_path()
 
     def convert():
@@ -288,18 +303,24 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, end_id
         import pyarrow as pa
 
         pieces = _loaded(path)
-        end = np.int32(pieces.end).tobytes() if end_id else b""
+        number = np.dtype(pieces.code)
+        end = number.type(pieces.end).tobytes() if end_id else b""
 
         def make(texts):
             rows = [pieces.encode(t.as_py() or "") + end for t in texts]
-            offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
+            offsets = np.cumsum([0, *(len(r) // number.itemsize for r in rows)], dtype=np.int32)
+            ids = np.frombuffer(b"".join(rows), dtype=number).astype(np.int32)
+            columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+            if decoded:
+                columns.append(pa.array([pieces.decode(np.frombuffer(r, dtype=number).tolist()) for r in rows], pa.string()))
+            return columns
         return make
 
-    return _per_batch(docs, text, StructField(out, ArrayType(IntegerType())), lambda t: len(t.as_py() or ""), convert)
+    added = [StructField(out, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]
+    return _per_batch(docs, text, added, lambda t: len(t.as_py() or ""), convert, keep)
 
 
-def decode(df: DataFrame, ids: str = "ids", model: str | None = None, out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ids: str = "ids", model: str | None = None, out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Adds ``out``: the text of the ids."""
     path = model or model_path()
 
@@ -307,6 +328,6 @@ def decode(df: DataFrame, ids: str = "ids", model: str | None = None, out: str =
         import pyarrow as pa
 
         pieces = _loaded(path)
-        return lambda rows: pa.array([None if r is None else pieces.decode(r) for r in rows.to_pylist()], pa.string())
+        return lambda rows: [pa.array([None if r is None else pieces.decode(r) for r in rows.to_pylist()], pa.string())]
 
-    return _per_batch(df, ids, StructField(out, StringType()), lambda r: len(r) if r.is_valid else 0, convert)
+    return _per_batch(df, ids, [StructField(out, StringType())], lambda r: len(r) if r.is_valid else 0, convert, keep)

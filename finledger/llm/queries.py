@@ -122,7 +122,7 @@ def q_embedding_whitening(spark, sf_dir):
 
 @register("op13_piece_encoding")
 def q_piece_encoding(spark, sf_dir):
-    ids = piece_encoding.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return piece_encoding.decode(ids).select(
+    out = piece_encoding.encode(table(spark, sf_dir, "documents"), decoded="decoded", keep=["doc_id"])
+    return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -221,7 +221,7 @@ def test_pieces_equal_the_library(library, pieces):
     for whole in (False, True):
         pieces.in_words = not whole
         for t in texts[:None if not whole else 1000]:
-            ids = np.frombuffer(pieces.encode(t), dtype=np.int32).tolist()
+            ids = np.frombuffer(pieces.encode(t), dtype=pieces.code).tolist()
             assert ids == library.encode(t), t[:100]
             assert pieces.decode([*ids, pieces.end]) == library.decode([*ids, pieces.end]), t[:100]
     pieces.in_words = True
@@ -246,7 +246,7 @@ def test_bounded_memories(library, monkeypatch):
     monkeypatch.setattr(pe, "_PAIRS", 5)
     pieces = pe.Pieces(pe.model_path())
     text = "the bounded memory is cleared again and again without a change of any id"
-    assert np.frombuffer(pieces.encode(text), dtype=np.int32).tolist() == library.encode(text) and len(pieces.words) + len(pieces.older_words) <= 6 and pieces.n_pairs <= 5
+    assert np.frombuffer(pieces.encode(text), dtype=pieces.code).tolist() == library.encode(text) and len(pieces.words) + len(pieces.older_words) <= 6 and pieces.n_pairs <= 5
 
 
 def test_piece_query_and_odd_rows(spark, library):
