@@ -25,7 +25,7 @@ from finledger.operators import budget, corrections, festivals, habits, ingest,
 from finledger.plans.fixtures import AS_OF, CORRECTION_RULES, SCENARIOS, budget_log_from_history  # noqa: E402
 from finledger.session import fresh_dir, local_session, prepare_session  # noqa: E402
 from finledger.sources.csv import export_csv, read_statement_csv  # noqa: E402
-from finledger.sources.store import LEDGER_SCHEMA, append_new, read_ledger, write_batch  # noqa: E402
+from finledger.sources.store import append_new, read_ledger, write_batch  # noqa: E402
 from finledger.sources.derived import (  # noqa: E402
     derive_statements,
     lineitem_statements,
@@ -97,8 +97,7 @@ def main() -> None:
         p = new_path("stream")
         src = spark.readStream.schema(spark.read.parquet(csv_source).schema).parquet(csv_source)
         st.start_ingest(src, f"{p}/ledger", f"{p}/ck").awaitTermination()
-        days = spark.readStream.schema(LEDGER_SCHEMA).parquet(f"{p}/ledger")
-        st.start_daily_totals(days, f"{p}/days", f"{p}/ck2").awaitTermination()
+        st.start_daily_totals(spark, f"{p}/ledger", f"{p}/days", f"{p}/ck2").awaitTermination()
         sink(st.daily_totals(spark, f"{p}/days"))
 
     csv_source = new_path("lines")

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from finledger.operators import corrections, ingest, ml
 from finledger.plans import oracle as O
-from finledger.plans.catalog import LEDGER_SELECT, ledger_of, register, statements
+from finledger.plans.catalog import AS_OF_MONTH, LEDGER_SELECT, ledger_of, register, statements
 from finledger.plans.fixtures import CORRECTION_RULES
 from finledger.session import fresh_dir, prepare_session
 from finledger.sources.csv import export_csv, read_statement_csv
 from finledger.sources.derived import derive_statements
-from finledger.sources.store import LEDGER_SCHEMA, append_new, read_ledger, snapshot
+from finledger.sources import store
+from finledger.sources.store import append_new, read_ledger, snapshot
 from finledger.streaming import ingest_stream as st
 
 SPLIT_DATE = "1998-01-01"   # statements are uploaded in two periods
@@ -118,8 +119,7 @@ def _daily(spark, sf_dir):
     tx = ingest.prepare_transactions(statements(spark, sf_dir))
     for upload in (tx.where(F.col("date") >= SPLIT_DATE), tx):
         append_new(spark, upload, f"{base}/ledger")
-        src = spark.readStream.schema(LEDGER_SCHEMA).parquet(f"{base}/ledger")
-        st.start_daily_totals(src, f"{base}/days", f"{base}/_checkpoint").awaitTermination()
+        st.start_daily_totals(spark, f"{base}/ledger", f"{base}/days", f"{base}/_checkpoint").awaitTermination()
     return st.daily_totals(spark, f"{base}/days")
 
 
@@ -130,6 +130,27 @@ def q_stream_daily(spark, sf_dir):
     return _daily(spark, sf_dir).select("day", F.col("total").cast("double").alias("total"))
 
 
+@register("stream_daily_replayed", O.over_ledger(
+    f"SELECT {_DAY} AS day, CAST(sum(amount) AS DOUBLE) AS total FROM ledger "
+    f"WHERE transaction_type = 'Debit' AND {_DAY} IS NOT NULL GROUP BY 1"))
+def q_stream_daily_replayed(spark, sf_dir):
+    """Daily totals of a ledger of which one batch is written again, before and after the store is compacted."""
+    base = fresh_dir(spark, "stream-replayed")
+    tx = ingest.prepare_transactions(statements(spark, sf_dir))
+
+    def update():
+        st.start_daily_totals(spark, f"{base}/ledger", f"{base}/days", f"{base}/_checkpoint").awaitTermination()
+
+    append_new(spark, tx.where(F.col("date") >= SPLIT_DATE), f"{base}/ledger", 0, writer="bank")
+    for step in ("first", "again", "merged", "after"):
+        if step == "merged":
+            store.compact(spark, f"{base}/ledger")
+        else:
+            append_new(spark, tx, f"{base}/ledger", 1, writer="bank")
+        update()
+    return st.daily_totals(spark, f"{base}/days").select("day", F.col("total").cast("double").alias("total"))
+
+
 @register("stream_monthly", O.over_ledger(
     f"SELECT strftime({_DAY}, '%Y-%m') AS month, CAST(sum(amount) AS DOUBLE) AS total FROM ledger "
     f"WHERE transaction_type = 'Debit' AND {_DAY} IS NOT NULL GROUP BY 1"))
@@ -192,7 +213,7 @@ def q_ingest_incremental(spark, sf_dir):
     f"(SELECT count(*) FROM ledger WHERE category IS NULL AND NOT (date < '{SPLIT_DATE}')) AS uncategorized"))
 def q_ingest_incremental_report(spark, sf_dir):
     lines, path = _stored_first_period(spark, sf_dir)
-    return ingest.ingest_report(lines, read_ledger(spark, path))
+    return ingest.ingest_report(lines, store.known_keys(spark, path, ingest.prepare_transactions(lines)))
 
 
 @register("ingest_two_uploads", O.over_ledger(LEDGER_SELECT))
@@ -205,6 +226,29 @@ def q_ingest_two_uploads(spark, sf_dir):
     return _ledger_rows(read_ledger(spark, path))
 
 
+@register("ingest_odd_dates_twice", O.over_ledger(LEDGER_SELECT))
+def q_ingest_odd_dates_twice(spark, sf_dir):
+    """Everything, then once more only dates that no format parses (times among them) with a period that does not cover their months."""
+    path = f"{fresh_dir(spark, 'odd-dates')}/ledger"
+    tx = ingest.prepare_transactions(statements(spark, sf_dir))
+    odd = tx.where(F.col("txn_date").isNull() | (F.col("month") == AS_OF_MONTH))
+    for upload in (odd, tx, odd):
+        append_new(spark, upload, path)
+    return _ledger_rows(read_ledger(spark, path))
+
+
+@register("ingest_compacted", O.over_ledger(LEDGER_SELECT))
+def q_ingest_compacted(spark, sf_dir):
+    """Uploads by thirds, merged in between; everything once more finds every stored key."""
+    path = f"{fresh_dir(spark, 'compacted')}/ledger"
+    tx = ingest.prepare_transactions(statements(spark, sf_dir))
+    for i in range(3):
+        append_new(spark, tx.where(F.pmod("account_id", F.lit(3)) == i), path)
+        store.compact(spark, path)
+    append_new(spark, tx, path)
+    return _ledger_rows(read_ledger(spark, path))
+
+
 @register("ingest_no_account", O.over_ledger(
     "SELECT account_id, row_seq, date, " + O.dbl("amount") + " AS amount, category, hash FROM ("
     "SELECT * REPLACE (CAST(NULL AS BIGINT) AS account_id), row_number() OVER (PARTITION BY hash ORDER BY row_seq) AS rn2 FROM hashed) "

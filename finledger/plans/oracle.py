@@ -30,7 +30,7 @@ tmpl(idx, narration, is_credit) AS (VALUES
 base AS (SELECT o_custkey AS account_id, o_orderkey AS row_seq, CAST(o_orderkey % 26 AS INT) AS idx,
    CAST(CAST(o_orderdate AS DATE) AS STRING) AS iso, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS amt FROM orders),
 raw0 AS (SELECT b.account_id, b.row_seq,
-   CASE b.row_seq % 7 WHEN 0 THEN iso
+   CASE WHEN b.row_seq % 91 = 0 THEN iso||' 10:00:00' ELSE CASE b.row_seq % 7 WHEN 0 THEN iso
      WHEN 1 THEN substr(iso,9,2)||'-'||substr(iso,6,2)||'-'||substr(iso,1,4)
      WHEN 2 THEN substr(iso,9,2)||'/'||substr(iso,6,2)||'/'||substr(iso,1,4)
      WHEN 3 THEN substr(iso,6,2)||'/'||substr(iso,9,2)||'/'||substr(iso,1,4)
@@ -38,7 +38,7 @@ raw0 AS (SELECT b.account_id, b.row_seq,
      WHEN 5 THEN substr(iso,9,2)||'-'||substr('JanFebMarAprMayJunJulAugSepOctNovDec',(CAST(substr(iso,6,2) AS INT)-1)*3+1,3)||'-'||substr(iso,1,4)
      ELSE CASE WHEN b.row_seq % 196 = 6 THEN ' ' WHEN b.row_seq % 14 = 6 THEN 'bad date'
        WHEN b.row_seq % 28 = 13 THEN chr(9)||iso||' '||chr(9)
-       ELSE substr(iso,1,4)||'/'||CAST(CAST(substr(iso,6,2) AS INT) AS STRING)||'/?'||substr(iso,9,2) END END AS date_text,
+       ELSE substr(iso,1,4)||'/'||CAST(CAST(substr(iso,6,2) AS INT) AS STRING)||'/?'||substr(iso,9,2) END END END AS date_text,
    CASE WHEN t.idx = 18 OR t.idx = 5 THEN t.narration ELSE t.narration||'-'||lpad(CAST(b.row_seq AS STRING),8,'0')||CASE WHEN b.row_seq % 61 = 0 THEN '|500.0' ELSE '' END END AS narration,
    CASE WHEN b.row_seq % 97 = 0 THEN 'abc' WHEN t.is_credit = 1 THEN '0' ELSE amt END AS debit_text,
    CASE WHEN t.is_credit = 1 AND b.row_seq % 97 <> 0 THEN amt ELSE '0' END AS credit_text

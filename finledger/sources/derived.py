@@ -3,7 +3,7 @@
 The test data has no bank ledger, so statement rows are derived from
 ``orders`` (and, for volume, ``lineitem``): every order becomes one statement
 line of one account (``o_custkey``). Dates come in the six accepted text
-formats plus junk, narrations come from 26 templates, a few amounts are
+formats plus junk and times, narrations come from 26 templates, a few amounts are
 unparsable, and every 50th line is re-sent once, so all the ingest traps are
 exercised at any scale. Pure column expressions plus one generator: a single
 scan, no join, no shuffle.
@@ -32,6 +32,7 @@ RESEND_EVERY = 50          # every 50th line appears twice
 RESEND_OFFSET = 1_000_000_000
 SEPARATOR_EVERY = 61       # narrations that hold the separator of the hash text
 BAD_AMOUNT_EVERY = 97      # unparsable debit text, row dropped
+TIMED_EVERY = 91           # dates with a time: no accepted format, but a month like any other
 
 
 STATEMENT_COLUMNS = ["account_id", "source_file", "row_seq", "date_text", "narration", "debit_text", "credit_text"]
@@ -42,7 +43,8 @@ def _date_text(seq: Column, iso: Column) -> Column:
     abbr = F.substring(F.lit(MONTH_ABBR), (mon.cast("int") - 1) * 3 + 1, 3)
     k = seq % 7
     return (
-        F.when(k == 0, iso)
+        F.when(seq % TIMED_EVERY == 0, F.concat(iso, F.lit(" 10:00:00")))
+        .when(k == 0, iso)
         .when(k == 1, F.concat_ws("-", day, mon, year))
         .when(k == 2, F.concat_ws("/", day, mon, year))
         .when(k == 3, F.concat_ws("/", mon, day, year))

@@ -1,13 +1,17 @@
 """Ledger storage (IO3 append, IO4 training bag, IO8 snapshot, M5 uniqueness).
 
-Layout: ``<path>/writer=<w>/batch=<n>/month=<yyyy-mm>/part-*.parquet``. Every
-upload is a writer of its own; a stream is one writer, named once in its
-checkpoint, with a batch for each micro-batch. A batch is written in overwrite
-mode after an anti-join against every other folder (of its own writer: the
-earlier ones), so re-running a batch rewrites the same rows, and no writer can
-touch the rows of another. Two uploads that run at the same moment do not see
-each other; run uploads of one ledger one after another. Paths are given by the
-caller or lie under the cluster's shared checkpoint folder.
+Three folders under the ledger's path:
+
+* ``rows/version=<v>/month=<yyyy-mm>/``: the transactions of one batch, or of many after a compaction;
+* ``keys/version=<v>/bucket=<b>/``: the key index, (account, hash) of the same rows. The bucket is a hash of the month text at the
+  head of the hashed text, so equal keys share a bucket whatever their date looks like, and a batch looks up only the
+  buckets of its own months, of two narrow columns;
+* ``manifest/``: the commit log (:mod:`finledger.sources.manifest`). Rows count from the moment their version is committed.
+
+Every upload is a writer of its own; a stream is one writer, named once in its checkpoint, with a batch for each
+micro-batch. A batch is checked against all other batches (of its own writer: the earlier ones), so a replayed batch
+gives the same rows again, as a new version that replaces its older one. Two uploads at the same moment cannot both commit from the
+same state: the later one looks its keys up again. Paths are given by the caller or lie under the cluster's shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -15,29 +19,31 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from finledger.functions.text import month_of
 from finledger.operators.ingest import ACCOUNT_KEY, LEDGER_COLUMNS, new_rows, training_rows
+from finledger.sources import manifest
+from finledger.sources.manifest import State, Version
 
 LEDGER_SCHEMA = (
     "account_id long, source_file string, row_seq long, date string, month string, txn_date date, "
     "description string, processed string, amount decimal(18,2), transaction_type string, "
     "category string, is_saving int, hash string, uploaded_at timestamp, writer string, batch long"
 )
-#: Month folder of rows whose date is null or blank (an empty folder name would read back as null).
-NO_MONTH = "none"
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
+_KEY_SCHEMA = "account_id long, hash binary, writer string, batch long, bucket int"
+#: Month folder of rows with a blank date (an empty folder name would read back as null); longer than any month text.
+NO_MONTH = "no-month"
+KEY_BUCKETS = 64
+_ATTEMPTS = 20
+#: Versions of fewer rows are merged by a compaction.
+SMALL_ROWS = 10_000_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, hp = _fs(spark, path)
+    fs, hp = manifest.files(spark, path)
     return fs.exists(hp)
 
 
@@ -55,71 +61,161 @@ def stream_writer(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("writer string").parquet(path).first().writer
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int = 0, writer: str | None = None) -> None:
-    """Write one batch folder, partitioned by month.
+# ---------------------------------------------------------------- versions
 
-    ``rebalance`` over the session's shuffle partitions spreads the write
-    tasks by month, and AQE still splits a month holding a third of all rows
-    over many tasks instead of one.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    month = F.when(F.coalesce(F.col("month"), F.lit("")) == "", F.lit(NO_MONTH)).otherwise(F.col("month"))
-    (rows.select(*LEDGER_COLUMNS, F.current_timestamp().alias("uploaded_at"))
-     .withColumn("month", month)
-     .hint("rebalance", n, "month")
-     .write.mode("overwrite").partitionBy("month")
-     .parquet(f"{path.rstrip('/')}/writer={writer or new_writer()}/batch={batch_id}"))
 
+def key_bucket() -> Column:
+    """The index bucket of a row: the month text up to the first separator of the hashed text, so it follows from the hash."""
+    head = F.substring_index(F.coalesce("date", F.lit("")), "|", 1)
+    return F.pmod(F.xxhash64(month_of(head)), F.lit(KEY_BUCKETS)).cast("int")
 
-def read_stored(spark: SparkSession, path: str, writer: str | None = None, before_batch: int | None = None) -> DataFrame | None:
-    """The stored ledger; with ``writer`` and ``before_batch`` without that writer's batches from ``before_batch`` on."""
-    if not exists(spark, path):
+
+def _spread_write(df: DataFrame, column: str, path: str) -> None:
+    """One folder for each value. ``rebalance`` spreads the write tasks by it, and AQE still
+    splits a value that a third of all rows have over many tasks instead of one."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.hint("rebalance", n, column).write.mode("overwrite").partitionBy(column).parquet(path)
+
+
+def _write_version(spark: SparkSession, rows: DataFrame, path: str, batches: tuple) -> Version:
+    """Rows (with uploaded_at, writer and batch) and their keys as a version that nobody reads before it is committed."""
+    name = uuid.uuid4().hex[:16]
+    month = F.when(F.col("month") == "", F.lit(NO_MONTH)).otherwise(F.col("month"))
+    _spread_write(rows.withColumn("month", month), "month", f"{path}/rows/version={name}")
+    stored = scan(spark, path, "rows", [Version(name)], LEDGER_SCHEMA)
+    keys = stored.select("account_id", F.unhex("hash").alias("hash"), "writer", "batch", key_bucket().alias("bucket"))
+    _spread_write(keys, "bucket", f"{path}/keys/version={name}")
+    return Version(name, batches, stored.count())
+
+
+def scan(spark: SparkSession, path: str, kind: str, versions: list[Version], schema: str) -> DataFrame:
+    """The rows of some versions, without those that newer versions hold."""
+    fields = StructType.fromDDL(schema)
+    if not versions:
+        return spark.createDataFrame([], fields)
+    root = f"{path.rstrip('/')}/{kind}"
+    df = spark.read.schema(f"{schema}, version string").option("basePath", root).parquet(*[f"{root}/version={v.name}" for v in versions])
+    for v in versions:
+        for writer, batch in v.gone:
+            df = df.where(~((F.col("version") == v.name) & (F.col("writer") == writer) & (F.col("batch") == batch)))
+    return df.select(*fields.names)
+
+
+def _displayed(stored: DataFrame) -> DataFrame:
+    """Rows as they were ingested. The folder of blank dates is a branch of its own, so a
+    filter on ``month`` stays a filter on the partition column (and leaves that branch out)."""
+    blank = stored.where(F.col("month") == NO_MONTH).withColumn("month", F.lit(""))
+    return stored.where(F.col("month").isNull() | (F.col("month") != NO_MONTH)).unionByName(blank.select(stored.columns))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored ledger for queries; None before the first commit."""
+    now = manifest.state(spark, path)
+    return _displayed(scan(spark, path, "rows", list(now.live), LEDGER_SCHEMA)) if now.seq else None
+
+
+def read_versions(spark: SparkSession, path: str, versions: list[Version]) -> DataFrame:
+    return _displayed(scan(spark, path, "rows", versions, LEDGER_SCHEMA))
+
+
+def known_keys(spark: SparkSession, path: str, tx: DataFrame, now: State | None = None, writer: str | None = None,
+               before_batch: int | None = None) -> DataFrame | None:
+    """(account_id, hash) of the stored rows that can equal a row of ``tx``: the index buckets of its months (at most
+    ``KEY_BUCKETS`` numbers reach the driver). With ``writer`` and ``before_batch`` without that writer's batches from there on."""
+    now = now or manifest.state(spark, path)
+    if not now.live:
         return None
-    df = spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    touched = [r[0] for r in tx.select(key_bucket()).distinct().collect()]
+    keys = scan(spark, path, "keys", list(now.live), _KEY_SCHEMA).where(F.col("bucket").isin(touched))
     if before_batch is not None:
-        df = df.where((F.col("writer") != writer) | (F.col("batch") < before_batch))
-    return df
+        keys = keys.where((F.col("writer") != writer) | (F.col("batch") < before_batch))
+    return keys.select("account_id", F.lower(F.hex("hash")).alias("hash"))
 
 
-def with_months(stored: DataFrame) -> DataFrame:
-    """Rows as they were ingested: the month of a null or blank date is that of its text."""
-    return stored.withColumn("month", F.when(F.col("month") == NO_MONTH, month_of("date")).otherwise(F.col("month")))
+# ---------------------------------------------------------------- writing
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored ledger for queries."""
-    df = read_stored(spark, path)
-    return None if df is None else with_months(df)
+def _stamped(rows: DataFrame, writer: str, batch_id: int) -> DataFrame:
+    return rows.select(*LEDGER_COLUMNS, F.current_timestamp().alias("uploaded_at"), F.lit(writer).alias("writer"), F.lit(batch_id).cast("long").alias("batch"))
 
 
-def _in_months_of(stored: DataFrame, tx: DataFrame) -> DataFrame:
-    """The stored partitions that can hold a copy of a row of ``tx``: the hash contains the date, so real months
-    outside the batch's range cannot; months of unparsed dates are all kept. Two values reach the driver."""
-    r = tx.where(F.col("txn_date").isNotNull()).agg(F.min("month").alias("lo"), F.max("month").alias("hi")).first()
-    odd = ~F.col("month").rlike(r"^\d{4}-\d{2}$")
-    return stored.where(odd if r.lo is None else odd | F.col("month").between(r.lo, r.hi))
+def _commit_batch(spark, rows: DataFrame, path: str, now: State, writer: str, batch_id: int) -> Version | None:
+    version = _write_version(spark, _stamped(rows, writer, batch_id), path, ((writer, batch_id, batch_id),))
+    live = manifest.after_batch(now, version, writer, batch_id)
+    done = manifest.commit(spark, path, now, live, kind="batch", writer=writer, batch=batch_id, version=version.name)
+    return version if done else None
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int = 0, writer: str | None = None) -> None:
+    """Store de-duplicated rows as one batch, without a look at what is stored."""
+    spark, writer = rows.sparkSession, writer or new_writer()
+    path = path.rstrip("/")
+    version = _write_version(spark, _stamped(rows, writer, batch_id), path, ((writer, batch_id, batch_id),))
+    for _ in range(_ATTEMPTS):
+        now = manifest.state(spark, path)
+        live = manifest.after_batch(now, version, writer, batch_id)
+        if manifest.commit(spark, path, now, live, kind="batch", writer=writer, batch=batch_id, version=version.name):
+            return
+    raise RuntimeError(f"other writers kept committing to {path}")
 
 
 def append_new(spark: SparkSession, transactions: DataFrame, path: str, batch_id: int = 0,
                key=ACCOUNT_KEY, writer: str | None = None) -> DataFrame:
     """IO3: store the first copies of transactions whose (key, hash) is not stored yet.
 
-    Without ``writer`` the call is an upload of its own. Returns the rows of
-    this batch as written (read back from storage).
+    ``key`` is ``("account_id",)``, or empty for one ledger without accounts. Without ``writer`` the call is an upload of its own. Returns
+    the rows of this batch as written (read back from storage).
     """
-    writer = writer or new_writer()
-    stored = read_stored(spark, path, writer, batch_id)
-    if stored is None:
-        write_batch(new_rows(transactions, None, key), path, batch_id, writer)
-    else:
-        tx = transactions.persist()
-        try:
-            stored = _in_months_of(stored, tx).select(*key, "hash")
-            write_batch(new_rows(tx, stored, key), path, batch_id, writer)
-        finally:
+    if not set(key) <= {"account_id"}:
+        raise ValueError(f"the index holds account_id and hash, not {key}")
+    writer, path, tx = writer or new_writer(), path.rstrip("/"), None
+    try:
+        for _ in range(_ATTEMPTS):
+            now = manifest.state(spark, path)
+            if not now.live:
+                rows = new_rows(transactions, None, key)
+            else:
+                tx = tx if tx is not None else transactions.persist()
+                rows = new_rows(tx, known_keys(spark, path, tx, now, writer, batch_id), key)
+            version = _commit_batch(spark, rows, path, now, writer, batch_id)
+            if version is not None:
+                return read_versions(spark, path, [version])
+    finally:
+        if tx is not None:
             tx.unpersist()
-    return with_months(spark.read.schema(LEDGER_SCHEMA).parquet(path)
-                       .where((F.col("writer") == writer) & (F.col("batch") == batch_id)))
+    raise RuntimeError(f"other writers kept committing to {path}")
+
+
+def compact(spark: SparkSession, path: str, small_rows: int = SMALL_ROWS) -> Version | None:
+    """Merge the versions of fewer than ``small_rows`` rows (and those with replaced batches) into one: a file or a few for each month
+    instead of one for each batch and month. Readers switch to it through the manifest; rows keep their
+    writer and batch, so replays stay exact. None if there is nothing to merge, or another commit came first (nothing changes then)."""
+    path = path.rstrip("/")
+    now = manifest.state(spark, path)
+    old = [v for v in now.live if v.rows < small_rows or v.gone]
+    if len(old) < 2:
+        return None
+    batches = manifest.ranges(old)
+    gone = tuple(sorted({g for v in old for g in v.gone if not any(o.holds(*g) for o in old)}))
+    version = _write_version(spark, _displayed(scan(spark, path, "rows", old, LEDGER_SCHEMA)), path, batches)
+    version = Version(version.name, version.batches, version.rows, gone)
+    live = [*[v for v in now.live if v not in old], version]
+    done = manifest.commit(spark, path, now, live, kind="compaction", version=version.name, merged=[v.name for v in old])
+    return version if done else None
+
+
+def vacuum(spark: SparkSession, path: str, older_than_hours: float = 24.0) -> int:
+    """Delete version folders that no reader needs: not live, and untouched for so long that no batch can still be writing them."""
+    path, live, n = path.rstrip("/"), {v.name for v in manifest.state(spark, path).live}, 0
+    limit = (dt.datetime.now().timestamp() - 3600 * older_than_hours) * 1000
+    for kind in ("rows", "keys"):
+        fs, hp = manifest.files(spark, f"{path}/{kind}")
+        for status in fs.listStatus(hp) if fs.exists(hp) else []:
+            name = status.getPath().getName()
+            if name.startswith("version=") and name[8:] not in live and status.getModificationTime() < limit:
+                fs.delete(status.getPath(), True)
+                n += 1
+    return n
 
 
 def append_training(inserted: DataFrame, path: str, batch_id: int = 0, writer: str | None = None) -> None:

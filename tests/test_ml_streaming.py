@@ -95,13 +95,12 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_stream_daily_totals(spark, tmp_path):
-    from finledger.sources.store import LEDGER_SCHEMA, append_new
+    from finledger.sources.store import append_new
     ledger_path = str(tmp_path / "ledger")
     path = write_csv(tmp_path, "a", AUTUMN)
     append_new(spark, ingest.prepare_transactions(read_statement_csv(spark, path, account_id=1)), ledger_path)
     out = str(tmp_path / "daily")
-    src = spark.readStream.schema(LEDGER_SCHEMA).parquet(ledger_path)
-    st.start_daily_totals(src, out, str(tmp_path / "ck")).awaitTermination()
+    st.start_daily_totals(spark, ledger_path, out, str(tmp_path / "ck")).awaitTermination()
     daily = st.daily_totals(spark, out)
     assert daily.agg(F.sum("total")).first()[0] == 25850
     months = {r.month: float(r.total) for r in st.month_rollup(daily).collect()}

@@ -75,8 +75,7 @@ def test_late_statements_count_in_daily_totals(spark, tmp_path):
     path, days = str(tmp_path / "ledger"), str(tmp_path / "days")
     for name, line in (("a", "2023-06-05,KFC BUCKET,640,0"), ("b", "2023-01-02,PIZZA NIGHT,300,0"), ("c", "2023-06-05,NYKAA BOX,60,0")):
         _upload(spark, tmp_path, path, name, line, account_id=1)
-        src = spark.readStream.schema(read_ledger(spark, path).schema).parquet(path)
-        st.start_daily_totals(src, days, str(tmp_path / "ck")).awaitTermination()
+        st.start_daily_totals(spark, path, days, str(tmp_path / "ck")).awaitTermination()
     got = {str(r.day): float(r.total) for r in st.daily_totals(spark, days).collect()}
     assert got == {"2023-06-05": 700.0, "2023-01-02": 300.0}
 
