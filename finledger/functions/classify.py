@@ -1,13 +1,16 @@
 """Keyword labelling and transaction classification as column expressions.
 
-The ordered keyword dictionary folds into one CASE chain with one branch per
-category (25 branches). Each branch is an OR of substring tests, so the first
-category in dictionary order with any hit wins, exactly like the nested loop it
-replaces, and it all stays inside whole-stage codegen.
+The ordered keyword dictionary is one trie-shaped regular expression, evaluated once for each text: a look-ahead at
+every position finds the longest keyword that starts there. All other keywords that start there are prefixes of it, so each keyword stands for the
+first category, in dictionary order, of its own prefixes; the first category of all positions wins, exactly like the nested
+loop it replaces. It all stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
+import functools
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,29 +30,61 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _hit(text: Column, keyword: str, mode: str) -> Column:
-    if mode == "substring":
-        return text.contains(keyword)
-    if mode == "word":  # optional stricter matching (decision D2)
-        return text.rlike(r"(?U)(^|\W)" + _quote(keyword) + r"($|\W)")
-    raise ValueError(f"unknown keyword mode {mode!r}")
-
-
 def _quote(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in s)
 
 
+def _trie_pattern(words: list[str]) -> str:
+    """A pattern that matches the longest of some words; common beginnings are written once."""
+    starts: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            starts.setdefault(w[0], []).append(w[1:])
+    branches = []
+    for first, rests in starts.items():
+        common = os.path.commonprefix(rests)
+        branches.append(_quote(first + common) + _trie_pattern([r[len(common):] for r in rests]))
+    if not branches:
+        return ""
+    if len(branches) == 1 and "" not in words:
+        return branches[0]
+    return "(?:" + "|".join(branches) + ")" + ("?+" if "" in words else "")
+
+
+@functools.cache
+def _keyword_table() -> tuple[str, list[str], list[int], list[str]]:
+    """The pattern, the keywords, of each keyword the number of the first category among its prefixes, and the categories."""
+    categories, number = [], {}
+    for i, (_, _, category, keywords) in enumerate(ordered_categories()):
+        categories.append(category)
+        for k in keywords:
+            number.setdefault(k, i)
+    words = sorted(number)
+    best = [min(n for k, n in number.items() if w.startswith(k)) for w in words]
+    firsts = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{firsts}])(?=({_trie_pattern(words)}))", words, best, categories
+
+
+def _word_category(text: Column) -> Column:
+    """Stricter matching (decision D2): a keyword must stand between characters that are none of words."""
+    expr = F
+    for _, _, category, keywords in ordered_categories():
+        hit = text.rlike(r"(?U)(^|\W)(" + "|".join(map(_quote, keywords)) + r")($|\W)")
+        expr = expr.when(hit, F.lit(category))
+    return expr
+
+
 def keyword_category(processed: str | Column, mode: str = "substring") -> Column:
     """Category of the first keyword hit in priority order, or null."""
     text = _c(processed)
-    expr = None
-    for _, _, cat, kws in ordered_categories():
-        cond = None
-        for kw in kws:
-            h = _hit(text, kw, mode)
-            cond = h if cond is None else (cond | h)
-        expr = F.when(cond, F.lit(cat)) if expr is None else expr.when(cond, F.lit(cat))
-    return expr
+    if mode == "word":
+        return _word_category(text)
+    if mode != "substring":
+        raise ValueError(f"unknown keyword mode {mode!r}")
+    pattern, words, best, categories = _keyword_table()
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    first = F.array_min(F.transform(hits, lambda h: F.get(F.lit(best), (F.array_position(F.lit(words), h) - 1).cast("int"))))
+    return F.get(F.lit(categories), first)
 
 
 def label_group_of(category: str | Column) -> Column:

@@ -3,7 +3,7 @@
 Columns bind by header *name*, and any number of files with any header
 layouts is one distributed scan: Spark lists the files (nested folders too),
 every file is read without a header as text cells, and the map from a file's
-header to the statement columns is a table of its own, joined by file. No
+header to the statement columns is a small table, written by one job before and joined by file. No
 file is opened on the driver. Numbers and dates are parsed by expressions.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finledger.operators.ledger import newest_first
+from finledger.session import fresh_dir
 from finledger.sources.derived import STATEMENT_COLUMNS
 from finledger.taxonomy import REQUIRED_CSV_COLUMNS
 
@@ -25,15 +26,29 @@ _CANONICAL = {
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, int]:
-    """(file, header): the trimmed column names of each file's first line, and the most columns of any."""
+    """(file, header): the trimmed column names of each file's first line, and the most columns of any.
+
+    One job reads the lines and writes this table. A header holds every required name, so all other lines of a file are one group of a
+    hash aggregate, and no text but that of lines like headers is compared or shuffled.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").text(paths)
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
                          F.monotonically_increasing_id().alias("id")).where("at = 0")
-    first = lines.groupBy("file").agg(F.min_by("value", "id").alias("line"))
+    like = F.lit(True)
+    for name in REQUIRED_CSV_COLUMNS:
+        like = like & F.col("value").contains(name)
+    seen = lines.groupBy("file", F.when(like, F.col("value")).alias("line")).agg(F.min("id").alias("id"))
+    path = fresh_dir(spark, "csv-headers")
+    seen.groupBy("file").agg(F.min_by("line", "id").alias("line"), F.min("id").alias("id")).write.parquet(path)
+    first = spark.read.schema("file string, line string").parquet(path)
     # enough cells for every header; a comma inside quotes only makes it more
-    most = first.agg(F.max(F.size(F.split("line", ",")))).first()[0]
-    if most is None:
+    sizes = first.agg(F.max(F.size(F.split("line", ","))), F.min(F.when(F.col("line").isNull(), F.col("file"))), F.count(F.lit(1))).first()
+    most, bad = sizes[0], sizes[1]
+    if not sizes[2]:
         raise ValueError(f"no statement files under {paths}")
+    if bad is not None:
+        line = lines.where(F.col("file") == bad).orderBy("id").first().value
+        check_columns([c.strip() for c in line.removeprefix("\ufeff").split(",")])
     cells = F.from_csv(F.regexp_replace("line", "^\ufeff", ""), _cells(most), {"escape": '"'})
     names = F.transform(F.array(*[cells[f"_c{i}"] for i in range(most)]), lambda c: F.trim(F.coalesce(c, F.lit(""))))
     return first.select("file", names.alias("header")), most
