@@ -47,7 +47,7 @@ def test_retrain_skipped_when_unchanged(spark, models):
 def test_single_class_model_skipped(spark):
     bag = spark.createDataFrame([("TEA", "Food & Dining"), ("SCARF", "Shopping")], "description string, category string")
     m = ml.train(bag, max_iter=50)
-    assert m.models["debit_type"] is None and m.models["savings"] is None
+    assert set(m.labels) == set(m.intercepts) == {"expense"}
     r = m.score(spark.createDataFrame([("X",)], "t string"), "t").first()
     assert (r.ml_debit_type, r.ml_debit_type_conf) == (None, 0.0)
 
@@ -58,7 +58,39 @@ def test_save_load(spark, models, tmp_path):
     back = ml.LedgerModels.load(spark, path)
     texts = spark.createDataFrame([("CAB HOME LATE",)], "t string")
     a, b = models.score(texts, "t").first(), back.score(texts, "t").first()
-    assert a == b and back.fp == models.fp
+    assert back.fp == models.fp and back.labels == models.labels and back.intercepts == models.intercepts
+    assert all(x == pytest.approx(y) if isinstance(x, float) else x == y for x, y in zip(a, b))
+
+
+def test_weights_are_optimal(spark, models):
+    bag = spark.createDataFrame(SAMPLES * 2 + SAMPLES[:5], "description string, category string")
+    m = ml.train(bag)
+    for name in ml.MODEL_NAMES:
+        assert ml.gradient_norm(m, bag, name) < 1e-3
+        shifted = ml.LedgerModels(m.path, m.labels, {k: [x + 0.5 * i for i, x in enumerate(v)] for k, v in m.intercepts.items()}, fp=m.fp)
+        assert ml.gradient_norm(shifted, bag, name) > 1e-2
+
+
+def test_features_by_hand(spark):
+    import math
+
+    wbag = spark.createDataFrame([("A1 tea Tea", "x", 2.0), ("tea x9", "x", 1.0), ("", "y", 1.0), ("é", "y", 1.0)], "description string, category string, weight double")
+    terms = ml.term_table(wbag)
+    assert [(r.term, r.term_id, r.df) for r in terms.orderBy("term").collect()] == [
+        ("a1", 0, 2.0), ("a1 tea", 1, 2.0), ("tea", 2, 3.0), ("tea tea", 3, 2.0), ("tea x9", 4, 1.0), ("x9", 5, 1.0)]
+    idf = {r.term: math.log(6 / (1 + r.df)) + 1 for r in terms.collect()}
+    got = {(r.text, r.term): r.weight for r in ml.features(wbag.select(F.col("description").alias("text")), terms).collect()}
+    x = {"a1": idf["a1"], "a1 tea": idf["a1 tea"], "tea": 2 * idf["tea"], "tea tea": idf["tea tea"]}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    assert {t: got["A1 tea Tea", t] for t in x} == pytest.approx({t: v / norm for t, v in x.items()}) and len(got) == 7
+
+
+def test_registry_finds_any_earlier_bag(spark, tmp_path):
+    bag = spark.createDataFrame(SAMPLES, "description string, category string")
+    other = spark.createDataFrame(SAMPLES[1:], "description string, category string")
+    path = str(tmp_path / "registry")
+    assert [ml.train_or_reuse(b, path, 5)[1] for b in (bag, other, bag.orderBy("description"), other)] == [False, False, True, True]
+    assert ml.train_or_reuse(bag.limit(0), path) == (None, False)
 
 
 def test_ml_fallback_only_for_keyword_misses(spark, models, tmp_path):
