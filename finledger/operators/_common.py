@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from finledger.functions.text import round_half_up
-
+from finledger.session import fresh_dir
 
 
 def debit() -> Column:
@@ -95,3 +96,24 @@ def top_rows(df: DataFrame, k: int, order: list, by: Sequence[str] = ()) -> Data
         return df.orderBy(*order).limit(k)
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+
+
+def with_position(df: DataFrame, order: list, by: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """The place of every row in the order of a report, from 1, as data.
+
+    Per key it is a row number over the key's rows. Globally it is exact without a
+    one-task sort: rows are dealt by ranges of the order and written, numbered inside their range,
+    and moved on by the rows of the ranges before (a table of as many rows as ranges). ``order`` must be total.
+    """
+    if by:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    spark = df.sparkSession
+    path = fresh_dir(spark, "positions")
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(StructType([*df.schema.fields, StructField("_part", IntegerType())])).parquet(path)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    rows = rows.join(F.broadcast(sizes), F.col("_part") == F.col("_p"))
+    return rows.select(*df.columns, (F.col("_before") + F.col("_rank")).cast("long").alias(name))

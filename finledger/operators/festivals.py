@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finledger.functions.text import cal_month_of, filled
-from finledger.operators._common import debit, mean_of, money_sum, present, r1, r2, salted_join
+from finledger.operators._common import debit, mean_of, money_sum, present, r1, r2, salted_join, with_position
 from finledger.taxonomy import CURRENCY_SYMBOL, DEFAULT_FESTIVALS, FESTIVAL_ALERT_DAYS, FESTIVAL_MESSAGES
 
 FESTIVAL_SCHEMA = "festival_id long, name string, month int, day int, duration_days int, is_active int"
@@ -55,6 +55,26 @@ def remove_festival(festivals: DataFrame, festival_id: int) -> DataFrame:
     )
 
 
+FESTIVAL_EVENT_SCHEMA = "name string, month int, day int, duration_days int, op string, event_time timestamp, event_seq long"
+
+
+def current_festivals(events: DataFrame) -> DataFrame:
+    """IO10/M3 as a change log: (name, month, day, duration_days, position) of the active festivals, by (month, day, name).
+
+    Events are ``seed``, ``add`` and ``remove`` of a (name, month, day), in the order of (event_time, event_seq). The latest
+    add or remove decides; a seed counts only where there is none, and the first seed stays: a restart neither revives what was removed
+    nor changes what is there (decision D9). One aggregate with map-side combining, so a festival with very many events is no hot key.
+    """
+    at = F.struct("event_time", "event_seq")
+    user = F.col("op") != "seed"
+    state = events.groupBy("name", "month", "day").agg(
+        F.max(F.when(user, F.struct("event_time", "event_seq", "op", "duration_days"))).alias("u"),
+        F.min(F.when(~user, F.struct(at.alias("at"), F.col("duration_days")))).alias("s"))
+    active = state.where(F.coalesce(F.col("u.op") == "add", F.col("s").isNotNull()))
+    rows = active.select("name", "month", "day", F.when(F.col("u").isNotNull(), F.col("u.duration_days")).otherwise(F.col("s.duration_days")).alias("duration_days"))
+    return with_position(rows, ["month", "day", "name"])
+
+
 def _monthly_debits(ledger: DataFrame, by: Sequence[str]) -> DataFrame:
     """Debit total of every (key, month) with any row; ``debits`` is 0 where it has none."""
     return (

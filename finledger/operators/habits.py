@@ -161,10 +161,10 @@ def _suggestion_grain(ledger: DataFrame, month: str, by: Sequence[str]) -> DataF
     )
 
 
-def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Sequence[str] = ()) -> DataFrame:
+def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Sequence[str] = (), positions: bool = False) -> DataFrame:
     """Budget overruns/warnings, top-3 discretionary with a tip, the
     subscription audit and the 50/30/20 checks, unioned and ordered by
-    priority (stable). Every rule reads one shared aggregate of the ledger."""
+    priority (stable; with ``positions`` the order is a column). Every rule reads one shared aggregate of the ledger."""
     spark = ledger.sparkSession
     parts = []
     null_money = F.lit(None).cast("double")
@@ -249,5 +249,9 @@ def suggestions(ledger: DataFrame, budgets: DataFrame | None, month: str, by: Se
         out = out.unionByName(p)
     rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
     out = out.withColumn("priority_rank", rank)
-    return present(out.select(*by, *SUGGESTION_COLUMNS, "priority_rank", "rule_no", "seq_key"), by,
-                   "priority_rank", "rule_no", F.col("seq_key").desc(), "category").drop("seq_key")
+    order = ["priority_rank", "rule_no", F.col("seq_key").desc(), "category"]
+    out = out.select(*by, *SUGGESTION_COLUMNS, "priority_rank", "rule_no", "seq_key")
+    if positions:
+        # a key has a handful of suggestions and a budget message for each category
+        out = out.withColumn("position", F.row_number().over(key_window(by).orderBy(*order)).cast("long"))
+    return present(out, by, *order).drop("seq_key")

@@ -16,6 +16,9 @@ from finledger.operators._common import as_double, credit, debit, money_sum, pre
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
+ISO_WEEKS = range(1, 54)
+
+
 def summary(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A1 + A1b + A18: income (credits), expenses (ALL debits, savings included),
     savings (is_saving=1 of any type), count, net position, uncategorised count."""
@@ -104,9 +107,13 @@ def spending_heatmap(ledger: DataFrame, months_back: int = 6, by: Sequence[str]
 
 
 def heatmap_matrix(heatmap_long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A4b as the chart wants it: one row per weekday, one column per week, 0-filled."""
-    wide = heatmap_long.groupBy(*by, "weekday_no", "weekday").pivot("week").agg(F.sum("total")).na.fill(0.0)
-    return present(wide, by, "weekday_no")
+    """A4b as the chart wants it: one row per weekday, one column per ISO week (``week_1`` to ``week_53``), 0-filled.
+
+    The weeks are a fixed domain, so no job looks for the columns.
+    """
+    wide = heatmap_long.groupBy(*by, "weekday_no", "weekday").pivot("week", list(ISO_WEEKS)).agg(F.sum("total"))
+    cells = [F.coalesce(F.col(f"`{w}`"), F.lit(0.0)).alias(f"week_{w}") for w in ISO_WEEKS]
+    return present(wide.select(*by, "weekday_no", "weekday", *cells), by, "weekday_no")
 
 
 def category_month(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -257,12 +257,21 @@ def q_daily_spending_by_account(spark, sf_dir):
 
 @register("spending_heatmap", O.over_ledger(
     "SELECT dayname(d) AS weekday, CAST((dayofweek(d) + 6) % 7 AS INT) AS weekday_no, CAST(weekofyear(d) AS INT) AS week, "
-    "CAST(sum(total) AS DOUBLE) AS total FROM (SELECT TRY_CAST(date AS DATE) AS d, total FROM daily) WHERE d IS NOT NULL "
+    "CAST(sum(total) AS DOUBLE) AS total FROM (SELECT TRY_CAST(try_strptime(date, '%Y-%m-%d') AS DATE) AS d, total FROM daily) WHERE d IS NOT NULL "
     "GROUP BY ALL", DAILY_SQL.format(n=186)))
 def q_spending_heatmap(spark, sf_dir):
     return summary.spending_heatmap(ledger_of(spark, sf_dir), months_back=6)
 
 
+@register("heatmap_matrix", O.over_ledger(
+    "SELECT weekday_no, weekday, " + ", ".join(f"coalesce(CAST(sum(total) FILTER (week = {w}) AS DOUBLE), 0) AS week_{w}" for w in summary.ISO_WEEKS) +
+    " FROM (SELECT dayname(d) AS weekday, CAST((dayofweek(d) + 6) % 7 AS INT) AS weekday_no, weekofyear(d) AS week, total "
+    "FROM (SELECT TRY_CAST(try_strptime(date, '%Y-%m-%d') AS DATE) AS d, total FROM daily) WHERE d IS NOT NULL) GROUP BY weekday_no, weekday", DAILY_SQL.format(n=186)))
+def q_heatmap_matrix(spark, sf_dir):
+    """A4b as the chart shows it: weekdays by weeks of the year."""
+    return summary.heatmap_matrix(summary.spending_heatmap(ledger_of(spark, sf_dir), months_back=6))
+
+
 # ---------------------------------------------------------------- W1-W7, A5, A13, A16, A17
 
 def _trends_sql(by: str, extra: str = "", of: str = "monthly") -> str:

@@ -41,3 +41,13 @@ def budget_log_from_history(ledger: DataFrame, by=()) -> DataFrame:
     ).select(*by, "category", F.lit(None).cast("decimal(18,2)").alias("monthly_limit"), "event_time",
              F.lit("delete").alias("op"))
     return sets.unionByName(deletes)
+
+
+def festival_events(orders: DataFrame) -> DataFrame:
+    """A festival change log of many restarts and edits, one event for each order: which festival, what and when follows from the order."""
+    k = F.col("o_orderkey")
+    op = F.when(k % 7 == 0, F.lit("remove")).when(k % 7 < 3, F.lit("add")).otherwise(F.lit("seed"))
+    return orders.select(
+        F.concat(F.lit("Festival "), (F.col("o_custkey") % 400).cast("string")).alias("name"),
+        (F.col("o_custkey") % 12 + 1).cast("int").alias("month"), (F.col("o_custkey") % 28 + 1).cast("int").alias("day"),
+        (k % 5 + 1).cast("int").alias("duration_days"), op.alias("op"), F.col("o_orderdate").cast("timestamp").alias("event_time"), k.alias("event_seq"))

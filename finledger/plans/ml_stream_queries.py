@@ -41,7 +41,7 @@ def _bag(spark, sf_dir):
     "SELECT description, term, CAST(floor(x / sqrt(sum(x * x) OVER (PARTITION BY description)) * 1000000 + 0.5) / 1000000 AS DOUBLE) AS weight FROM ("
     "SELECT t.description, t.term, count(*) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS x "
     "FROM term t JOIN freq USING (term), (SELECT count(*) AS n FROM bag) GROUP BY t.description, t.term, df, n)",
-    _BAG_CTE + """, doc AS (SELECT description, count(*) AS copies, regexp_extract_all(lower(description), '[\p{L}\p{M}\p{N}_]{2,}') AS tok FROM bag GROUP BY description),
+    _BAG_CTE + r""", doc AS (SELECT description, count(*) AS copies, regexp_extract_all(lower(description), '[\p{L}\p{M}\p{N}_]{2,}') AS tok FROM bag GROUP BY description),
 term AS (SELECT description, copies, unnest(tok) AS term FROM doc UNION ALL
   SELECT description, copies, tok[i] || ' ' || tok[i + 1] FROM (SELECT *, unnest(range(1, len(tok))) AS i FROM doc)),
 freq AS (SELECT term, sum(copies) AS df FROM (SELECT DISTINCT description, copies, term FROM term) GROUP BY term)"""))

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finledger.operators import budget, corrections, festivals, habits, ingest, ledger as rows, summary, trends
-from finledger.operators._common import top_rows
+from finledger.operators._common import top_rows, with_position
 from finledger.operators.ingest import training_rows
 from finledger.plans import oracle as O
 from finledger.plans.catalog import ACCT, AS_OF_MONTH, ledger_of, register, statements
 from finledger.plans.catalog import _anomalies_sql as catalog_anomalies_sql
 from finledger.plans.catalog import _growth_sql as catalog_growth_sql
 from finledger.plans.catalog import _trends_sql as catalog_trends_sql
-from finledger.plans.fixtures import AS_OF, CORRECTION_RULES, DAYS_AHEAD, SCENARIOS, budget_log_from_history
+from finledger.plans.fixtures import AS_OF, CORRECTION_RULES, DAYS_AHEAD, SCENARIOS, budget_log_from_history, festival_events
+from finledger.session import prepare_session
+from finledger.sources.derived import read_table
 from finledger.taxonomy import (
     CATEGORY_TIPS, CURRENCY_SYMBOL, DEFAULT_FESTIVALS, DEFAULT_TIP, FESTIVAL_MESSAGES, SUGGESTION_MESSAGES,
 )
@@ -205,7 +207,7 @@ def _fmt0(x: str) -> str:
     return f"format('{{:,.0f}}', CAST({x} AS DOUBLE))"
 
 
-def _suggestions_sql() -> str:
+def _suggestions_sql(ordered: bool = False) -> str:
     tips = ", ".join(f"({O._q(c)}, {O._q(t)})" for c, t in sorted(CATEGORY_TIPS.items()))
     bva, msg = _bva_sql(), SUGGESTION_MESSAGES
     excess = O.r2("spent - budget")
@@ -214,30 +216,34 @@ def _suggestions_sql() -> str:
         "CASE WHEN status = 'over' THEN 'budget_overrun' ELSE 'budget_warning' END AS type, "
         f"CASE WHEN status = 'over' THEN {O.filled(msg['budget_overrun'], category='category', excess=_fmt0(excess), used='utilization_pct')} "
         f"ELSE {O.filled(msg['budget_warning'], category='category', used='utilization_pct', remaining=_fmt0('remaining'))} END AS message, "
-        f"CASE WHEN status = 'over' THEN {excess} END AS potential_saving, 1 AS rule_no "
+        f"CASE WHEN status = 'over' THEN {excess} END AS potential_saving, 1 AS rule_no, utilization_pct AS seq "
         f"FROM ({bva}) WHERE status IN ('over', 'warning')")
     disc = (
         "SELECT 'medium' AS priority, d.category, 'discretionary_spending' AS type, "
         f"{O.filled(msg['discretionary_spending'], category='d.category', total=_fmt0('d.total'), tip=f'coalesce(t.tip, {O._q(DEFAULT_TIP)})')} AS message, "
-        "CAST(NULL AS DOUBLE) AS potential_saving, 2 AS rule_no "
+        "CAST(NULL AS DOUBLE) AS potential_saving, 2 AS rule_no, d.total AS seq "
         f"FROM (SELECT * FROM ({_disc_sql()}) ORDER BY total DESC, category LIMIT 3) d "
         "LEFT JOIN tips t ON d.category = t.category")
     subs = (
         "SELECT 'medium' AS priority, 'Subscriptions' AS category, 'subscription_audit' AS type, "
         f"{O.filled(msg['subscription_audit'], count='n', annual=_fmt0('total_annual'))} AS message, "
-        f"{O.r2('CAST(total_annual AS DOUBLE) * 0.2')} AS potential_saving, 3 AS rule_no FROM ("
+        f"{O.r2('CAST(total_annual AS DOUBLE) * 0.2')} AS potential_saving, 3 AS rule_no, 0 AS seq FROM ("
         f"SELECT count(*) AS n, sum(CAST(estimated_annual AS DECIMAL(18,2))) AS total_annual FROM ({_subs_sql()})) "
         "WHERE n > 0")
     ratio_inner = _ratio_sql()[len(O.PREFIX):]
     ratio = (
         "SELECT 'high' AS priority, 'Overall' AS category, 'spending_ratio' AS type, "
         f"{O.filled(msg['spending_ratio'], wants='wants_pct')} AS message, "
-        f"CAST(NULL AS DOUBLE) AS potential_saving, 4 AS rule_no FROM ({ratio_inner}) WHERE wants_pct > 35 "
-        f"UNION ALL SELECT 'high', 'Overall', 'savings_low', {O.filled(msg['savings_low'], savings='savings_pct')}, CAST(NULL AS DOUBLE), 5 "
+        f"CAST(NULL AS DOUBLE) AS potential_saving, 4 AS rule_no, 0 AS seq FROM ({ratio_inner}) WHERE wants_pct > 35 "
+        f"UNION ALL SELECT 'high', 'Overall', 'savings_low', {O.filled(msg['savings_low'], savings='savings_pct')}, CAST(NULL AS DOUBLE), 5, 0 "
         f"FROM ({ratio_inner}) WHERE savings_pct < 15")
+    rank = "CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+    place = f", row_number() OVER (ORDER BY {rank}, rule_no, seq DESC, category) AS position"
+    titles = " ".join(f"WHEN '{t}' THEN '{t.replace('_', ' ').title()}'" for t in SUGGESTION_MESSAGES)
+    more = f"{place}, CASE type {titles} END AS type_label" if ordered else ""
     return O.over_ledger(
         "SELECT priority, category, type, message, potential_saving, "
-        "CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS priority_rank, rule_no FROM ("
+        f"{rank} AS priority_rank, rule_no{more} FROM ("
         f"{budget_rows} UNION ALL {disc} UNION ALL {subs} UNION ALL {ratio})",
         _budget_log_sql() + f", tips(category, tip) AS (VALUES {tips})")
 
@@ -248,7 +254,35 @@ def q_suggestions(spark, sf_dir):
     return habits.suggestions(led, _current(led), AS_OF_MONTH)
 
 
-# ---------------------------------------------------------------- festivals
+@register("suggestions_ordered", _suggestions_sql(ordered=True))
+def q_suggestions_ordered(spark, sf_dir):
+    """The suggestions with their place in the list and the type as it is shown."""
+    led = ledger_of(spark, sf_dir)
+    return habits.suggestions(led, _current(led), AS_OF_MONTH, positions=True).withColumn("type_label", habits.type_label())
+
+
+@register("subscription_audit_ordered", O.over_ledger(
+    f"SELECT *, row_number() OVER (ORDER BY total_spent DESC, description) AS position FROM ({_subs_sql()})"))
+def q_subscription_audit_ordered(spark, sf_dir):
+    """The audit with the place of each row."""
+    return with_position(habits.subscription_audit(ledger_of(spark, sf_dir)), [F.col("total_spent").desc(), F.col("description")])
+
+
+# ---------------------------------------------------------------- festivals (A14, A15, R2-R4, M3, IO10)
+
+
+@register("festivals_current", """
+WITH e AS (SELECT 'Festival ' || CAST(o_custkey % 400 AS VARCHAR) AS name, CAST(o_custkey % 12 + 1 AS INT) AS month, CAST(o_custkey % 28 + 1 AS INT) AS day,
+    CAST(o_orderkey % 5 + 1 AS INT) AS duration_days, o_orderdate AS t, o_orderkey AS k,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'remove' WHEN o_orderkey % 7 < 3 THEN 'add' ELSE 'seed' END AS op FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY name, month, day ORDER BY op <> 'seed' DESC,
+    CASE WHEN op <> 'seed' THEN t END DESC NULLS LAST, CASE WHEN op <> 'seed' THEN k END DESC NULLS LAST, t, k) AS n FROM e)
+SELECT name, month, day, duration_days, row_number() OVER (ORDER BY month, day, name) AS position FROM r WHERE n = 1 AND op <> 'remove'
+""")
+def q_festivals_current(spark, sf_dir):
+    """IO10, M3: the active festivals of a change log, in display order."""
+    prepare_session(spark)
+    return festivals.current_festivals(festival_events(read_table(spark, sf_dir, "orders")))
 
 
 

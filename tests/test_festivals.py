@@ -69,3 +69,14 @@ def test_festive_vs_normal(spark, csv_ledger):
 def test_festive_vs_normal_empty(spark, csv_ledger):
     led = csv_ledger("Date,Narration,Debit Amount,Credit Amount\n2023-07-05,PAYROLL,0,100\n")
     assert fest.festive_vs_normal(led, fest.festivals_table(spark)).count() == 0
+
+
+def test_change_log_of_festivals(spark):
+    t = lambda d: dt.datetime(2001, 1, d)
+    events = [("Kept", 1, 1, 2, "seed", t(1), 1), ("Kept", 1, 1, 9, "seed", t(2), 2),
+              ("Gone", 1, 2, 1, "seed", t(1), 3), ("Gone", 1, 2, 1, "remove", t(3), 4), ("Gone", 1, 2, 1, "seed", t(4), 5),
+              ("Back", 1, 2, 1, "remove", t(1), 6), ("Back", 1, 2, 3, "add", t(2), 7),
+              ("Tie", 1, 1, 4, "add", t(5), 8), ("Tie", 1, 1, 5, "remove", t(5), 9), ("Own", 2, 1, None, "add", t(1), 10)]
+    now = fest.current_festivals(spark.createDataFrame(events, fest.FESTIVAL_EVENT_SCHEMA)).orderBy("position").collect()
+    assert [tuple(r) for r in now] == [("Kept", 1, 1, 2, 1), ("Back", 1, 2, 3, 2), ("Own", 2, 1, None, 3)]
+    assert fest.current_festivals(spark.createDataFrame([], fest.FESTIVAL_EVENT_SCHEMA)).collect() == []
