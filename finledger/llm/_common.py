@@ -88,6 +88,19 @@ def uniform(seed: int, *cols: Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def with_uniform(rows: DataFrame, n: int, seed: int, keys: Sequence[str], row: str) -> DataFrame:
+    """Adds ``_u``, :func:`uniform` of the keys, for :func:`ranked`.
+
+    Rows of a key that more than about sqrt(n) rows share (a null id, one row repeated) get a number each, from ``row``,
+    a column that tells them apart: else they would all fall into one bucket. There are at most sqrt(n) such keys.
+    """
+    key = F.xxhash64(*keys).alias("_key")
+    hot = rows.select(key).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > buckets_for(n)).select(F.col("_key").alias("_hot"))
+    d = rows.withColumn("_key", key).join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
+    spread = F.when(F.col("_hot").isNotNull(), uniform(seed, *[F.col(k) for k in keys], F.col(row)))
+    return d.withColumn("_u", F.coalesce(spread, uniform(seed, *[F.col(k) for k in keys]))).drop("_key", "_hot")
+
+
 def buckets_for(n: int) -> int:
     """About sqrt(n) buckets of about sqrt(n) rows: both stay small at any size."""
     return max(1, math.isqrt(max(0, n)))

@@ -12,7 +12,8 @@ numbering (see :func:`~finledger.llm._common.ranked`), unless the
 caller carries the ids along.
 
 Defined cases: a null text is empty and packs to the closing id alone;
-repeated rows are packed each; an empty table gives no pieces; other columns are
+repeated rows are packed each; rows of one id with different texts are numbered by a hash of their ids, and pieces that
+very many rows share (or a null id of many) by their place in the input; an empty table gives no pieces; other columns are
 dropped but for the id.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finledger.llm._common import in_pieces, ranked, uniform, written
+from finledger.llm._common import in_pieces, ranked, with_uniform, written
 
 LONGEST = 1024
 END_ID = 0
@@ -128,14 +129,19 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
     return d.mapInArrow(run, f"_id {d.schema['_id'].dataType.simpleString()}, {PIECES}")
 
 
+def _told_apart(pieces: DataFrame) -> DataFrame:
+    """Adds _tie, a hash of the ids, for pieces of one document id, and _i, a number of its own for each piece."""
+    return pieces.withColumns({"_tie": F.xxhash64("ids"), "_i": F.monotonically_increasing_id()})
+
+
 def number_sequences(pieces: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds sequence_id (gapless over all pieces, equal lengths together, longest last) and offset (0) to written pieces.
 
-    Columns used: _id, start, length; any others travel along.
+    Columns used: _id, start, length, _tie and _i (:func:`_told_apart`); any others travel along.
     """
     n = pieces.count()
-    rows = ranked(pieces, n, ["length"], uniform(seed, F.col("_id"), F.col("start")),
-                  [uniform(seed, F.col("_id"), F.col("start")), "_id", "start"], "_rank")
+    rows = with_uniform(pieces, n, seed, ["_id", "start", "_tie"], "_i")
+    rows = ranked(rows, n, ["length"], F.col("_u"), ["_u", "_id", "start", "_tie", "_i"], "_rank").drop("_u", "_tie", "_i")
     by = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_n"))  # one row for each power of two
     sums = by.alias("x").join(by.alias("y"), F.col("y.length") < F.col("x.length"), "left")
     before = sums.groupBy(F.col("x.length").alias("_len")).agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))
@@ -147,7 +153,7 @@ def number_sequences(pieces: DataFrame, seed: int = SEED) -> DataFrame:
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None,
          longest: int = LONGEST, end_id: int = END_ID, seed: int = SEED) -> DataFrame:
     """All sequences with their ids: (id, start, length, doc_tokens, ids, sequence_id, offset)."""
-    pieces = written(cut_pieces(docs, doc_id, text, tokenizer, longest, end_id), "pieces")
+    pieces = written(_told_apart(cut_pieces(docs, doc_id, text, tokenizer, longest, end_id)), "pieces")
     return number_sequences(pieces, seed).withColumnRenamed("_id", doc_id)
 
 
@@ -155,5 +161,5 @@ def pack_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     """As :func:`pack` with ids_crc32 for the ids, which are never shuffled or stored."""
     seed = options.pop("seed", SEED)
     cut = cut_pieces(docs, doc_id, text, **options)
-    pieces = written(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    pieces = written(_told_apart(cut).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return number_sequences(pieces, seed).withColumnRenamed("_id", doc_id)

@@ -15,7 +15,7 @@ its rows in hash order for ``EPOCHS`` epochs, and the parts' weights are average
 Held out: rows whose crc32 of the id as text leaves 2 modulo 4 are never trained on.
 
 Defined cases: null and empty texts score by the bias alone, like any text without tokens; labels that are
-null or of unknown documents are ignored; without any label every score is 0.5;
+null or of unknown documents are ignored; of two labels of one document the lower one holds; without any label every score is 0.5;
 repeated rows are scored each; an empty table gives an empty result; other columns
 pass through :func:`score` whatever their names.
 """
@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Labelled rows -> model (index, summed weight, parts): at most 2^bits + 1 rows; index 2^bits is the bias."""
     order = uniform(seed, F.col("_lid"))
     lab = labels.select(F.col(doc_id).alias("_lid"), F.col(label).cast("int").alias("_y")).where("_lid is not null and _y in (0, 1)")
-    lab = lab.where(~is_held_out(F.col("_lid"))).dropDuplicates(["_lid"])
+    lab = lab.where(~is_held_out(F.col("_lid"))).groupBy("_lid").agg(F.min("_y").alias("_y"))  # of two labels the lower one holds
     # the documented bound of the sample: a top-k by hash, so it fits to broadcast
     sample = lab.withColumn("_o", order).orderBy("_o", "_lid").limit(max_rows)
     parts = max(1, -(-min(max_rows, lab.count()) // rows_per_part))

@@ -82,11 +82,11 @@ def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def document_lines(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """One row per line with a word: (_id, _tie, _host, _pos, _line, _words); _line is the hash of the normalised line."""
+    """One row per line with a word: (_id, _tie, _host, _pos, _line, _words); _pos counts all lines from 0, _line is the hash of the normalised line."""
     t = text_or_empty(text)
-    lines = F.filter(line_hashes(t), lambda x: x["w"] > 0)
-    d = docs.select(F.col(doc_id).alias("_id"), text_tie(t).alias("_tie"), F.col(host).alias("_host"), F.posexplode(lines).alias("_pos", "_l"))
-    return d.select("_id", "_tie", "_host", "_pos", F.col("_l.h").alias("_line"), F.col("_l.w").cast("long").alias("_words"))
+    placed = F.transform(line_hashes(t), lambda x, i: F.struct(x["h"].alias("h"), x["w"].alias("w"), i.alias("p")))
+    d = docs.select(F.col(doc_id).alias("_id"), text_tie(t).alias("_tie"), F.col(host).alias("_host"), F.explode(F.filter(placed, lambda x: x["w"] > 0)).alias("_l"))
+    return d.select("_id", "_tie", "_host", F.col("_l.p").alias("_pos"), F.col("_l.h").alias("_line"), F.col("_l.w").cast("long").alias("_words"))
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -134,8 +134,8 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: s
     d = seal(docs, _doc=doc_id, _from=host, _text=text)
     out = removals(written(document_lines(d, "_doc", "_from", "_text"), "lines"), max_docs)
     # a set of at most a document's own lines; repeated rows of a document have the same
-    per_doc = out.groupBy(F.col("_id").alias("_pid"), F.col("_tie").alias("_pt")).agg(F.collect_set(F.struct("_pos", "_line", "_words")).alias("_set"))
-    per_doc = per_doc.select("_pid", "_pt", F.transform("_set", lambda x: x["_line"]).alias("_out"),
+    per_doc = out.groupBy(F.col("_id").alias("_pid"), F.col("_tie").alias("_pt")).agg(F.collect_set(F.struct("_pos", "_words")).alias("_set"))
+    per_doc = per_doc.select("_pid", "_pt", F.transform("_set", lambda x: x["_pos"]).alias("_out"),
                              F.aggregate("_set", F.lit(0).cast("long"), lambda a, x: a + x["_words"]).alias("_gone"))
     stats = document_stats(d.withColumn("_tie", text_tie(text_or_empty("_text"))), "_text")
     j = stats.join(per_doc, F.col("_doc").eqNullSafe(F.col("_pid")) & (F.col("_tie") == F.col("_pt")), "left")
@@ -143,7 +143,8 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: s
     # statistics into the filter and evaluate whole arrays for each element
     left_words = F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0))
     j = j.where(F.when(F.col("base_failed"), False).otherwise(left_words >= F.lit(min_kept) * F.col("n_words")))
-    j = j.withColumn("_lh", F.when(F.col("_out").isNotNull(), line_hashes(F.col("_text"))))
-    lh = F.col("_lh")
-    left = F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: (F.get(lh, i)["w"] == 0) | ~F.array_contains(F.col("_out"), F.get(lh, i)["h"])), "\n")
+    # positions are taken out by a hash set, so a document costs what its lines cost
+    j = j.withColumn("_ls", F.split("_text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), F.col("_out"))
+    left = F.array_join(F.transform(stay, lambda p: F.get("_ls", p)), "\n")
     return unseal(j.withColumn("_new", F.when(F.col("_out").isNull(), F.col("_text")).otherwise(left)), docs, text, "_new")

@@ -12,8 +12,8 @@ with added range offsets. Only narrow rows are shuffled, never texts.
 
 Defined cases: null text has no bytes (size 1 with its separator, crc32 of
 nothing); a null source is a stratum of its own; repeated rows are dealt each
-and are interchangeable; rows of one id with different texts are ordered by a
-hash of the text; an empty table gives an empty result.
+and are interchangeable; the shuffled order is that of the id and a hash of the text, and rows of an id and text that
+more than about sqrt(n) rows share (or of a null id and one text) are spread by their place in the input; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,24 +21,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finledger.llm._common import ranked, text_or_empty, text_tie, uniform, written
+from finledger.llm._common import ranked, text_or_empty, text_tie, uniform, with_uniform, written
 
 SHARDS = 8
 SEED = 41
 
 
-def narrow_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
-    """What dealing needs of each row: _id, _src (never null), _nosrc, _tie, _u, size, text_crc32."""
+def narrow_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """What dealing needs of each row: _id, _src (never null), _nosrc, _tie, size, text_crc32 and _i, a number of its own."""
     t = text_or_empty(text)
     return docs.select(
         F.col(doc_id).alias("_id"), F.coalesce(F.col(source), F.lit("")).alias("_src"), F.col(source).isNull().alias("_nosrc"),
-        text_tie(t).alias("_tie"), uniform(seed, F.col(doc_id)).alias("_u"),
+        text_tie(t).alias("_tie"), F.monotonically_increasing_id().alias("_i"),
         (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
 
 
 def interleave(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds position (0-based, over all rows), shard and slot to written rows of :func:`narrow_rows`."""
     n = rows.count()
+    rows = with_uniform(rows, n, seed, ["_id", "_tie"], "_i")
     order = ["_u", "_id", "_tie", "size", "text_crc32"]
     within = ranked(rows, n, ["_src", "_nosrc"], F.col("_u"), order, "_rank")
     per = written(rows.groupBy("_src", "_nosrc").agg(F.count(F.lit(1)).alias("_rows")), "shard-sources")
@@ -57,7 +58,7 @@ def interleave(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
 def deal(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
          shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One narrow row for each document: its id, source, size, text_crc32, position, shard and slot."""
-    rows = written(narrow_rows(docs, doc_id, source, text, seed), "shard-rows")
+    rows = written(narrow_rows(docs, doc_id, source, text), "shard-rows")
     out = interleave(rows, shards, seed)
     return out.select(F.col("_id").alias(doc_id), F.when(~F.col("_nosrc"), F.col("_src")).alias(source),
                       "size", "text_crc32", "position", "shard", "slot")

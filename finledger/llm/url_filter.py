@@ -194,24 +194,30 @@ class UrlModel:
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", max_rows: int = MAX_TRAIN_ROWS,
           trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> UrlModel:
-    """Labelled urls -> model: statistics of all distinct urls, trees fitted on at most ``max_rows`` of them by hash order."""
+    """Labelled urls -> model: statistics of all distinct urls, trees fitted on at most ``max_rows`` of them by hash order.
+
+    Each label is sampled on its own, half of ``max_rows`` at most, and weighs what it has in all urls: a rare label is
+    never missed. Without urls of both labels there are no trees, and every url is allowed.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     every = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("_y")).where("url is not null")
     every = every.groupBy("url").agg(F.max("_y").alias("_y")).where("_y in (0, 1)")  # of two labels of one url the bad one holds
     every = written(every, "url-labels")
-    some = every.withColumn("_o", uniform(seed, F.col("url"))).orderBy("_o", "url").limit(max_rows)
-    rows = written(lexical(with_parts(some, "url"), "url").drop("_o"), "url-sample")
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("bad")).first()
-    if not n["n"] or not n["bad"] or n["bad"] == n["n"]:
+    whole = every.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("bad")).first()
+    of = {0: whole["n"] - (whole["bad"] or 0), 1: whole["bad"] or 0}
+    if not of[0] or not of[1]:
         return UrlModel(None, 0.0, None)
+    ordered = every.withColumn("_o", uniform(seed, F.col("url")))
+    share = max(1, max_rows // 2)
+    some = [ordered.where(F.col("_y") == y).orderBy("_o", "url").limit(share).withColumn("_weight", F.lit(of[y] / min(share, of[y]))) for y in (0, 1)]
+    rows = written(lexical(with_parts(some[0].unionByName(some[1]), "url"), "url").drop("_o"), "url-sample")
     stats = written(_statistics(every, seed), "url-suffixes")
-    whole = every.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("bad")).first()
     prior = whole["bad"] / whole["n"]
     train_rows = _with_statistics(rows, stats, prior, _fold(seed))
-    train_rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(train_rows).select("_features", F.col("_y").cast("double").alias("_label"))
-    gbt = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed, predictionCol="_prediction")
+    train_rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(train_rows).select("_features", "_weight", F.col("_y").cast("double").alias("_label"))
+    gbt = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=trees, maxDepth=depth, seed=seed, predictionCol="_prediction")
     gbt = gbt.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     return UrlModel(stats, prior, gbt.fit(train_rows))
 
