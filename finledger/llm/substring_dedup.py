@@ -6,7 +6,8 @@ removed.
 
 Documents are dealt to *units* by ranges of doc_id (cut points are quantiles
 of the ids), so all ids of an earlier unit are smaller than those of a later
-one. Three passes run over the units; the dealt documents are one exchange
+one. An id that several cut points fall on (a null id of many rows) has as many units
+to itself; they count as equally early. Three passes run over the units; the dealt documents are one exchange
 that all three reuse:
 
 1. **Sketch.** Each unit builds a count-min sketch of its windows: ``depth``
@@ -28,7 +29,7 @@ task holds and the number of (unit, block) messages grow alike. A sequence
 that a third of all documents share is one entry for each unit, never one for each row.
 
 Defined cases: null and empty texts have no words (kept text empty); a text
-shorter than the window is kept whole; null ids sort last and count as one id; rows of one id are never removed
+shorter than the window is kept whole; null ids sort last and count as one id; rows of one id, however many, are never removed
 against each other; an empty table gives an empty result; other columns, whatever their names, pass
 through (an added name that is taken gets a leading underscore).
 """
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finledger.llm._common import free_name, text_or_empty
+from finledger.llm._common import free_name, text_or_empty, written
 
 WINDOW = 13
 DEPTH = 2
@@ -236,27 +237,29 @@ def _request(plan):
     return run
 
 
-def _first_unit(t):
-    """One block of exact keys: a bit for each key of a unit, set if an earlier unit has it too."""
-    import numpy as np
+def _earlier_units(plan):
+    def run(t):
+        """One block of exact keys: a bit for each key of a unit, set if a unit of smaller ids has it too."""
+        import numpy as np
 
-    kind, block = t["kind"][0].as_py(), t["block"][0].as_py()
-    units, data = np.asarray(t["unit"].to_pylist()), t["data"].to_pylist()
-    sizes = np.array([len(x) // 12 for x in data])
-    a = np.concatenate([np.frombuffer(x, dtype="<u8", count=n) for x, n in zip(data, sizes)])
-    b = np.concatenate([np.frombuffer(x, dtype="<u4", offset=8 * n, count=n) for x, n in zip(data, sizes)])
-    u = np.repeat(units, sizes)
-    order = np.lexsort((u, b, a))
-    sa, sb = a[order], b[order]
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])
-    later = np.empty(len(order), dtype=bool)
-    later[order] = ~first  # a unit sends each key once
-    at, rows = 0, []
-    for unit, n in zip(units.tolist(), sizes.tolist()):
-        rows.append((kind, block, unit, np.packbits(later[at:at + n]).tobytes()))
-        at += n
-    return _message(rows)
+        kind, block = t["kind"][0].as_py(), t["block"][0].as_py()
+        units, data = np.asarray(t["unit"].to_pylist()), t["data"].to_pylist()
+        sizes = np.array([len(x) // 12 for x in data])
+        a = np.concatenate([np.frombuffer(x, dtype="<u8", count=n) for x, n in zip(data, sizes)])
+        b = np.concatenate([np.frombuffer(x, dtype="<u4", offset=8 * n, count=n) for x, n in zip(data, sizes)])
+        u = np.repeat(units // plan["units"], sizes)
+        order = np.lexsort((u, b, a))
+        sa, sb, su = a[order], b[order], u[order]
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])
+        later = np.empty(len(order), dtype=bool)
+        later[order] = su > su[first][np.cumsum(first) - 1]
+        at, rows = 0, []
+        for unit, n in zip(units.tolist(), sizes.tolist()):
+            rows.append((kind, block, unit, np.packbits(later[at:at + n]).tobytes()))
+            at += n
+        return _message(rows)
+    return run
 
 
 def _remove(plan, names):
@@ -302,45 +305,59 @@ def _remove(plan, names):
 # ------------------------------------------------------------------ on the session
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-                   depth: int = DEPTH, keep: list[str] | None = None) -> DataFrame:
-    """The input's columns (or those in ``keep``) with n_words, n_removed and kept_text (kept words joined by one space).
+def deal(rows: DataFrame, units: int) -> DataFrame:
+    """Adds ``_unit``: the place of ``_id`` among the cut points times ``units``, plus the part among the units of one id.
 
-    ``doc_id`` is a long.
+    The rows of an id on several cut points are spread by a row number. Then the dealt rows
+    are written, so that a repeated task cannot deal them otherwise.
     """
     from pyspark.sql.functions import pandas_udf
 
-    keep = docs.columns if keep is None else keep
-    sizes = docs.agg(F.sum(F.octet_length(text_or_empty(text))).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    total, n = sizes["b"] or 0, sizes["n"]
-    units = max(1, min(n, -(-total // _unit_bytes(total))))
-    block_bits = max(0, units.bit_length() - 1)
-    plan = {"window": window, "depth": depth, "block_bits": block_bits,
-            "bits": min(62, max(block_bits + 8, (8 * max(1, total // _WORD)).bit_length()))}
-    cuts = []
+    key, cuts = F.coalesce("_id", F.lit(_NULL_ID)), []
     if units > 1:
         share = [i / units for i in range(1, units)]
-        cuts = docs.agg(F.percentile_approx(doc_id, share, max(10_000, 10 * units)).alias("q")).first()["q"] or []
+        cuts = rows.agg(F.percentile_approx(key, share, max(10_000, 10 * units)).alias("q")).first()["q"] or []
 
     @pandas_udf("bigint")
-    def unit_of(ids):
+    def unit_of(ids, row):
         import numpy as np
         import pandas as pd
 
-        return pd.Series(np.searchsorted(np.asarray(cuts, dtype=np.int64), ids.to_numpy(), side="left"))
+        points, ids = np.asarray(cuts, dtype=np.int64), ids.to_numpy()
+        place = np.searchsorted(points, ids, side="left")
+        own = np.searchsorted(points, ids, side="right") - place - 1  # smaller ids may lie in the first
+        part = np.where(own > 0, row.to_numpy() % np.maximum(own, 1), 0)
+        return pd.Series((place + (own > 0)) * units + part)
+
+    if len(set(cuts)) == len(cuts):
+        return rows.withColumn("_unit", unit_of(key, F.lit(0).cast("bigint")))
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    return written(numbered.withColumn("_unit", unit_of(key, "_row")).drop("_row"), "substring-units")
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
+                   depth: int = DEPTH, keep: list[str] | None = None) -> DataFrame:
+    """The input's columns (or those in ``keep``) with n_words, n_removed and kept_text (kept words joined by one space).
 
+    ``doc_id`` is a long.
+    """
+    keep = docs.columns if keep is None else keep
+    sizes = docs.agg(F.sum(F.octet_length(text_or_empty(text))).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    total, n = sizes["b"] or 0, sizes["n"]
+    units = max(1, min(n, -(-total // _unit_bytes(total))))
+    block_bits = max(0, units.bit_length() - 1)
+    plan = {"window": window, "depth": depth, "units": units, "block_bits": block_bits,
+            "bits": min(62, max(block_bits + 8, (8 * max(1, total // _WORD)).bit_length()))}
     # the text travels once, under its own name; other columns by their place, so no name can clash
     names = ["_text" if c == text else f"_c{i}" for i, c in enumerate(keep)]
     passed = [F.col(f"`{c}`").alias(name) for c, name in zip(keep, names) if name != "_text"]
-    dealt = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"), *passed)
-    # equal ids always share a unit: cut points are compared by value
-    dealt = dealt.withColumn("_unit", unit_of(F.coalesce("_id", F.lit(_NULL_ID))))
+    dealt = deal(docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"), *passed), units)
 
     by_unit = dealt.groupBy("_unit")
     sketches = by_unit.applyInArrow(_sketch(plan), MESSAGE)
     repeated = sketches.groupBy("kind", "block").applyInArrow(_merge_sketches, MESSAGE)
     asked = by_unit.cogroup(repeated.withColumnRenamed("unit", "_unit").groupBy("_unit")).applyInArrow(_request(plan), MESSAGE)
-    earlier = asked.groupBy("kind", "block").applyInArrow(_first_unit, MESSAGE)
+    earlier = asked.groupBy("kind", "block").applyInArrow(_earlier_units(plan), MESSAGE)
     answers = repeated.union(earlier).withColumnRenamed("unit", "_unit")
     schema = T.StructType([T.StructField(name, docs.schema[c].dataType) for c, name in zip(keep, names)]
                           + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from finledger.llm import packing, quality_classifier, quality_rules, sharding, url_filter
+from finledger.llm import packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter
 from finledger.llm._common import buckets_for, with_uniform
 
 N = 6000
@@ -43,6 +43,55 @@ def test_packing_spreads_null_and_repeated_ids(spark):
     assert sorted(r.sequence_id for r in out) == list(range(n))
 
 
+def passages(spark, n):
+    """A third of the ids null, a third 7; early, own and common passages, some in rows of the hot ids alone."""
+    rows = []
+    for i in range(n):
+        d = None if i % 3 == 0 else 7 if i % 3 == 1 else i % 40
+        own = " ".join(f"own{i}x{j}" for j in range(20))
+        told = " ".join(f"told{i % 3}x{j}" for j in range(15))
+        rows.append((d, "equal in every column " * 4 if i % 5 == 0 else f"{own} {told} {own[:40]}"))
+    return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), rows
+
+
+def removed_by_hand(rows, n=13):
+    first = {}
+    order = {id(r): float("inf") if r[0] is None else r[0] for r in rows}
+    cut = [(r, r[1].split()) for r in rows]
+    for r, w in cut:
+        for j in range(len(w) - n + 1):
+            k = tuple(w[j:j + n])
+            first[k] = min(first.get(k, float("inf")), order[id(r)])
+    out = []
+    for r, w in cut:
+        gone = {x for j in range(len(w) - n + 1) if first[tuple(w[j:j + n])] < order[id(r)] for x in range(j, j + n)}
+        out.append((r[0], len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out, key=str)
+
+
+def test_substring_dedup_spreads_null_and_repeated_ids(spark, monkeypatch):
+    docs, rows = passages(spark, 900)
+    monkeypatch.setattr(substring_dedup, "_unit_bytes", lambda total: 6_000)
+    total = sum(len(t) for _, t in rows)
+    units = -(-total // 6_000)
+    assert units > 20
+    dealt = substring_dedup.deal(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), units)
+    sizes = dealt.groupBy("_unit").count().collect()
+    assert max(r["count"] for r in sizes) < 4 * len(rows) / units
+    spread = {d: {r["_unit"] for r in dealt.where(F.col("_id").eqNullSafe(F.lit(d))).select("_unit").distinct().collect()} for d in (None, 7)}
+    assert all(len(u) > units / 5 and len({x // units for x in u}) == 1 for u in spread.values())
+    out = substring_dedup.remove_repeats(docs, keep=["doc_id"])
+    got = sorted(((r.doc_id, r.n_removed, r.kept_text) for r in out.collect()), key=str)
+    assert got == removed_by_hand(rows)
+
+
+def test_substring_dedup_of_one_id_alone(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_unit_bytes", lambda total: 2_000)
+    docs = spark.range(200).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words again " * 5).alias("text"))
+    out = substring_dedup.remove_repeats(docs).collect()
+    assert len(out) == 200 and {(r.doc_id, r.n_removed) for r in out} == {(None, 0)}
+
+
 def test_conflicting_labels_have_one_rule(spark):
     docs = spark.createDataFrame([(i, f"good plain words {i % 7}" if i % 2 else f"spam offer {i % 5}") for i in range(200)], "doc_id long, text string")
     both = [(i, y) for i in range(200) for y in ({i % 2, 1} if i % 4 else {i % 2})]
