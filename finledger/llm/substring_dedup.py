@@ -28,6 +28,12 @@ Units and blocks both number about the square root of the work, so what a
 task holds and the number of (unit, block) messages grow alike. A sequence
 that a third of all documents share is one entry for each unit, never one for each row.
 
+Beyond ``DIRECT_UNITS`` units (some 256 GB of text) messages go by way of *groups*. A unit
+sends wide blocks, about the square root of the blocks. A group of about the square root of the units
+merges what its units send about a wide block, asks the blocks in it as if it were one unit,
+and answers its units. So messages grow with the power 1.5 of the units, not 2; the answers
+are the same bits.
+
 Defined cases: null and empty texts have no words (kept text empty); a text
 shorter than the window is kept whole; null ids sort last and count as one id; rows of one id, however many, are never removed
 against each other; an empty table gives an empty result; other columns, whatever their names, pass
@@ -46,6 +52,7 @@ from finledger.llm._common import free_name, text_or_empty, written
 
 WINDOW = 13
 DEPTH = 2
+DIRECT_UNITS = 4096  # more units than that send by way of groups
 _WORD = 6            # a rough word length in bytes, to size the sketch
 _NULL_ID = (1 << 63) - 1
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -146,7 +153,7 @@ def _estimated(k1, unit_rows, plan):
     may = np.ones(len(k1), dtype=bool)
     for row, cells, back, _ in _sketch_rows(k1, plan):
         bits = np.zeros(len(cells), dtype=bool)
-        for b, i, j in _blocks(cells, plan["bits"] - plan["block_bits"]):
+        for b, i, j in _blocks(cells, plan["bits"] - plan["wide_bits"]):
             bits[i:j] = np.unpackbits(np.frombuffer(answers[row, b], dtype=np.uint8), count=j - i).astype(bool)
         may &= bits[back]
     return may
@@ -189,36 +196,88 @@ def _sketch(plan):
 
         unit = t["_unit"][0].as_py()
         _, _, k1, _ = _windows(t["_text"].to_pylist(), plan["window"])
-        rows, shift = [], plan["bits"] - plan["block_bits"]
+        rows, shift = [], plan["bits"] - plan["wide_bits"]
         for row, cells, _, many in _sketch_rows(k1, plan):
             for b, i, j in _blocks(cells, shift):
                 own = cells[i:j] - np.uint64(b << shift)
-                rows.append((row, b, unit, _gaps(own) + np.packbits(many[i:j]).tobytes() + (j - i).to_bytes(4, "little")))
+                rows.append((row, b, unit, _sketch_data(own, many[i:j])))
         return _message(rows)
     return run
 
 
-def _merge_sketches(t):
-    """One block of one sketch row: sums the units' counters and answers each unit with a bit for each of its cells."""
+def _sketch_data(cells, many) -> bytes:
+    import numpy as np
+
+    return _gaps(cells) + np.packbits(many).tobytes() + len(cells).to_bytes(4, "little")
+
+
+def _summed(messages):
+    """Of several sketches: the cells of each, all distinct cells, each cell's place among them, and whether their counters sum to 2 or more."""
     import numpy as np
 
-    kind, block = t["kind"][0].as_py(), t["block"][0].as_py()
     cells, many = [], []
-    for x in t["data"].to_pylist():
+    for x in messages:
         n = int.from_bytes(x[-4:], "little")
         flags = (n + 7) // 8
         cells.append(_from_gaps(x[:-4 - flags]))
         many.append(np.unpackbits(np.frombuffer(x[-4 - flags:-4], dtype=np.uint8), count=n))
-    every = np.concatenate(cells)
-    _, back, count = np.unique(every, return_inverse=True, return_counts=True)
+    distinct, back, count = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
     count = count + np.bincount(back, weights=np.concatenate(many), minlength=len(count))
-    hit, at, rows = (count > 1)[back], 0, []
-    for unit, c in zip(t["unit"].to_pylist(), cells):
-        rows.append((kind, block, unit, np.packbits(hit[at:at + len(c)]).tobytes()))
-        at += len(c)
+    return cells, distinct, back, count > 1
+
+
+def _split_bits(kind, block, units, sizes, bits):
+    """Bits about the cells or keys of several units, one message for each unit."""
+    import numpy as np
+
+    at, rows = 0, []
+    for unit, n in zip(units, sizes):
+        rows.append((kind, block, unit, np.packbits(bits[at:at + n]).tobytes()))
+        at += n
     return _message(rows)
 
 
+def _merge_sketches(t):
+    """One block of one sketch row: sums the units' counters and answers each unit with a bit for each of its cells."""
+    cells, _, back, many = _summed(t["data"].to_pylist())
+    return _split_bits(t["kind"][0].as_py(), t["block"][0].as_py(), t["unit"].to_pylist(), map(len, cells), many[back])
+
+
+def _group_sketch(plan):
+    def run(t):
+        """One wide block of the units of a group: their merged sketch, cut into blocks, with the group as unit."""
+        import numpy as np
+
+        kind, wide, group = (t[c][0].as_py() for c in ("kind", "block", "_group"))
+        _, cells, _, many = _summed(t["data"].to_pylist())
+        shift, rows = plan["bits"] - plan["block_bits"], []
+        for b, i, j in _blocks(cells.astype(np.uint64), shift):
+            rows.append((kind, (wide << plan["more_bits"]) + b, group, _sketch_data(cells[i:j] - (b << shift), many[i:j])))
+        return _message(rows)
+    return run
+
+
+def _group_bits(answers, size):
+    """The bits that a group got about its cells or keys: those of its blocks in order, each as long as ``size`` says."""
+    import numpy as np
+
+    got = sorted(zip(answers["block"].to_pylist(), answers["data"].to_pylist()))
+    return np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=size(b)).astype(bool) for b, x in got])
+
+
+def _group_sketch_answers(plan):
+    def run(t, answers):
+        """One wide block of a group: the blocks' answers about its merged cells, handed on to its units."""
+        import numpy as np
+
+        kind, wide = t["kind"][0].as_py(), t["block"][0].as_py()
+        cells, distinct, back, _ = _summed(t["data"].to_pylist())
+        of = np.bincount(distinct >> (plan["bits"] - plan["block_bits"]), minlength=1 << plan["more_bits"])
+        hit = _group_bits(answers, lambda b: int(of[b - (wide << plan["more_bits"])]))
+        return _split_bits(kind, wide, t["unit"].to_pylist(), map(len, cells), hit[back])
+    return run
+
+
 def _unit_answers(t):
     return list(zip(t["kind"].to_pylist(), t["block"].to_pylist(), t["data"].to_pylist()))
 
@@ -231,37 +290,75 @@ def _request(plan):
         _, _, k1, k2 = _windows(docs["_text"].to_pylist(), plan["window"])
         keys, _ = _candidates(k1, k2, _estimated(k1, _unit_answers(answers), plan))
         rows = []
-        for b, i, j in _blocks(keys["a"], 64 - plan["block_bits"]):
+        for b, i, j in _blocks(keys["a"], 64 - plan["wide_bits"]):
             rows.append((plan["depth"], b, unit, keys["a"][i:j].tobytes() + keys["b"][i:j].tobytes()))
         return _message(rows)
     return run
 
 
+def _asked(messages, orders=None):
+    """Of several lists of keys: their lengths, all distinct keys (a, b), each key's place among them, its order, the least order of each.
+
+    A unit's list has one order for all its keys; a group's list says each key's own.
+    """
+    import numpy as np
+
+    per = 12 if orders is not None else 20
+    sizes = [len(x) // per for x in messages]
+    keys = np.empty(sum(sizes), dtype=[("a", "<u8"), ("b", "<u4")])
+    order, at = np.empty(len(keys), dtype=np.int64), 0
+    for i, (x, n) in enumerate(zip(messages, sizes)):
+        keys["a"][at:at + n] = np.frombuffer(x, dtype="<u8", count=n)
+        keys["b"][at:at + n] = np.frombuffer(x, dtype="<u4", offset=8 * n, count=n)
+        order[at:at + n] = orders[i] if orders is not None else np.frombuffer(x, dtype="<i8", offset=12 * n, count=n)
+        at += n
+    by = np.lexsort((order, keys["b"], keys["a"]))
+    s = keys[by]
+    first = np.ones(len(s), dtype=bool)
+    first[1:] = (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])
+    back = np.empty(len(s), dtype=np.int64)
+    back[by] = np.cumsum(first) - 1
+    return sizes, s[first], back, order, order[by][first]
+
+
+def _unit_orders(t, plan):
+    return [u // plan["units"] for u in t["unit"].to_pylist()]
+
+
 def _earlier_units(plan):
     def run(t):
-        """One block of exact keys: a bit for each key of a unit, set if a unit of smaller ids has it too."""
-        import numpy as np
+        """One block of exact keys: a bit for each key of a unit (or group), set if one of smaller ids has it too."""
+        orders = None if plan["more_bits"] else _unit_orders(t, plan)
+        sizes, _, back, order, least = _asked(t["data"].to_pylist(), orders)
+        return _split_bits(t["kind"][0].as_py(), t["block"][0].as_py(), t["unit"].to_pylist(), sizes, order > least[back])
+    return run
+
 
-        kind, block = t["kind"][0].as_py(), t["block"][0].as_py()
-        units, data = np.asarray(t["unit"].to_pylist()), t["data"].to_pylist()
-        sizes = np.array([len(x) // 12 for x in data])
-        a = np.concatenate([np.frombuffer(x, dtype="<u8", count=n) for x, n in zip(data, sizes)])
-        b = np.concatenate([np.frombuffer(x, dtype="<u4", offset=8 * n, count=n) for x, n in zip(data, sizes)])
-        u = np.repeat(units // plan["units"], sizes)
-        order = np.lexsort((u, b, a))
-        sa, sb, su = a[order], b[order], u[order]
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])
-        later = np.empty(len(order), dtype=bool)
-        later[order] = su > su[first][np.cumsum(first) - 1]
-        at, rows = 0, []
-        for unit, n in zip(units.tolist(), sizes.tolist()):
-            rows.append((kind, block, unit, np.packbits(later[at:at + n]).tobytes()))
-            at += n
+def _group_keys(plan):
+    def run(t):
+        """One wide block of the units of a group: their distinct keys with the least order of each, cut into blocks."""
+        kind, wide, group = (t[c][0].as_py() for c in ("kind", "block", "_group"))
+        _, keys, _, _, least = _asked(t["data"].to_pylist(), _unit_orders(t, plan))
+        rows = []
+        for b, i, j in _blocks(keys["a"], 64 - plan["block_bits"]):
+            rows.append((kind, b, group, keys["a"][i:j].tobytes() + keys["b"][i:j].tobytes() + least[i:j].tobytes()))
         return _message(rows)
     return run
 
 
+def _group_key_answers(plan):
+    def run(t, answers):
+        """One wide block of a group: a unit's key is held earlier by another group, or by an earlier unit of its own."""
+        import numpy as np
+
+        kind, wide = t["kind"][0].as_py(), t["block"][0].as_py()
+        sizes, keys, back, order, least = _asked(t["data"].to_pylist(), _unit_orders(t, plan))
+        of = {b: j - i for b, i, j in _blocks(keys["a"], 64 - plan["block_bits"])}
+        earlier = _group_bits(answers, of.__getitem__)
+        return _split_bits(kind, wide, t["unit"].to_pylist(), sizes, earlier[back] | (order > least[back]))
+    return run
+
+
 def _remove(plan, names):
     def run(docs, answers):
         import numpy as np
@@ -277,7 +374,7 @@ def _remove(plan, names):
         keys, back = _candidates(k1, k2, may)
         later = np.zeros(len(keys), dtype=bool)
         said = {b: x for k, b, x in own if k == plan["depth"]}
-        for b, i, j in _blocks(keys["a"], 64 - plan["block_bits"]):
+        for b, i, j in _blocks(keys["a"], 64 - plan["wide_bits"]):
             later[i:j] = np.unpackbits(np.frombuffer(said[b], dtype=np.uint8), count=j - i).astype(bool)
         # within the unit: the smallest id that starts each sequence
         ids = np.asarray([_NULL_ID if x is None else x for x in docs["_id"].to_pylist()], dtype=np.int64)
@@ -305,6 +402,16 @@ def _remove(plan, names):
 # ------------------------------------------------------------------ on the session
 
 
+def _exchange(messages: DataFrame, plan: dict, block, group, group_answers) -> DataFrame:
+    """Messages of units to blocks and the blocks' answers back, by way of groups if there are wide blocks."""
+    if not plan["more_bits"]:
+        return messages.groupBy("kind", "block").applyInArrow(block, MESSAGE)
+    sent = messages.withColumn("_group", F.pmod(F.xxhash64("unit"), F.lit(1 << plan["wide_bits"])))
+    answered = sent.groupBy("kind", "block", "_group").applyInArrow(group, MESSAGE).groupBy("kind", "block").applyInArrow(block, MESSAGE)
+    back = answered.select("*", F.shiftright("block", plan["more_bits"]).alias("_wide")).groupBy("kind", "_wide", "unit")
+    return sent.groupBy("kind", "block", "_group").cogroup(back).applyInArrow(group_answers, MESSAGE)
+
+
 def deal(rows: DataFrame, units: int) -> DataFrame:
     """Adds ``_unit``: the place of ``_id`` among the cut points times ``units``, plus the part among the units of one id.
 
@@ -336,7 +443,7 @@ def deal(rows: DataFrame, units: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-                   depth: int = DEPTH, keep: list[str] | None = None) -> DataFrame:
+                   depth: int = DEPTH, keep: list[str] | None = None, direct_units: int = DIRECT_UNITS) -> DataFrame:
     """The input's columns (or those in ``keep``) with n_words, n_removed and kept_text (kept words joined by one space).
 
     ``doc_id`` is a long.
@@ -346,7 +453,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total, n = sizes["b"] or 0, sizes["n"]
     units = max(1, min(n, -(-total // _unit_bytes(total))))
     block_bits = max(0, units.bit_length() - 1)
+    wide_bits = block_bits if units <= direct_units else block_bits // 2
     plan = {"window": window, "depth": depth, "units": units, "block_bits": block_bits,
+            "wide_bits": wide_bits, "more_bits": block_bits - wide_bits,
             "bits": min(62, max(block_bits + 8, (8 * max(1, total // _WORD)).bit_length()))}
     # the text travels once, under its own name; other columns by their place, so no name can clash
     names = ["_text" if c == text else f"_c{i}" for i, c in enumerate(keep)]
@@ -355,9 +464,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     by_unit = dealt.groupBy("_unit")
     sketches = by_unit.applyInArrow(_sketch(plan), MESSAGE)
-    repeated = sketches.groupBy("kind", "block").applyInArrow(_merge_sketches, MESSAGE)
+    repeated = _exchange(sketches, plan, _merge_sketches, _group_sketch(plan), _group_sketch_answers(plan))
     asked = by_unit.cogroup(repeated.withColumnRenamed("unit", "_unit").groupBy("_unit")).applyInArrow(_request(plan), MESSAGE)
-    earlier = asked.groupBy("kind", "block").applyInArrow(_earlier_units(plan), MESSAGE)
+    earlier = _exchange(asked, plan, _earlier_units(plan), _group_keys(plan), _group_key_answers(plan))
     answers = repeated.union(earlier).withColumnRenamed("unit", "_unit")
     schema = T.StructType([T.StructField(name, docs.schema[c].dataType) for c, name in zip(keep, names)]
                           + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])

@@ -85,6 +85,70 @@ def test_substring_dedup_spreads_null_and_repeated_ids(spark, monkeypatch):
     assert got == removed_by_hand(rows)
 
 
+def test_substring_dedup_by_way_of_groups(spark, monkeypatch):
+    """More units than send directly: the same rows as by hand, and one group's message in place of its units'."""
+    docs, rows = passages(spark, 900)
+    monkeypatch.setattr(substring_dedup, "_unit_bytes", lambda total: 3_000)
+    for direct in (1, 1 << 30):
+        out = substring_dedup.remove_repeats(docs, keep=["doc_id"], direct_units=direct)
+        assert sorted(((r.doc_id, r.n_removed, r.kept_text) for r in out.collect()), key=str) == removed_by_hand(rows)
+
+
+def test_groups_answer_as_units_do():
+    """Sketches and keys of random units: the answers by way of groups equal the direct ones, bit for bit."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, units = np.random.default_rng(5), 40
+    windows = [np.unique(np.concatenate([rng.integers(0, 1 << 63, 50), np.arange(9) * (1 << 58) + u % 4])).astype(np.uint64) for u in range(units)]
+    plan = {"units": 8, "depth": 1, "bits": 20, "block_bits": 5, "wide_bits": 2, "more_bits": 3}
+    direct = {**plan, "wide_bits": 5, "more_bits": 0}
+
+    def cut(plan, of):
+        shift = plan["bits"] - plan["wide_bits"] if of == "cells" else 64 - plan["wide_bits"]
+        for u, k in enumerate(windows):
+            if of == "cells":
+                cells, n = np.unique(k >> np.uint64(44), return_counts=True)
+                yield from ((0, b, u, substring_dedup._sketch_data(cells[i:j] - np.uint64(b << shift), n[i:j] > 1)) for b, i, j in substring_dedup._blocks(cells, shift))
+            else:
+                yield from ((1, b, u, k[i:j].tobytes() + np.zeros(j - i, "<u4").tobytes()) for b, i, j in substring_dedup._blocks(k, shift))
+
+    def rows_of(t):
+        return list(zip(*[t[c].to_pylist() for c in ("kind", "block", "unit", "data")]))
+
+    def each(messages, run, key=lambda m: m[:2], group=None):
+        found = {}
+        for m in messages:
+            found.setdefault(key(m), []).append(m)
+        for k, ms in sorted(found.items()):
+            t = substring_dedup._message(ms)
+            yield from rows_of(run(t if group is None else t.append_column("_group", pa.array([group(ms[0])] * len(ms)))))
+
+    def whole(answers, plan, of):
+        sizes, bits = {(b, u): len(x) // 12 for _, b, u, x in cut(plan, of)}, {}
+        for _, b, u, x in sorted(answers):
+            n = sizes[b, u] if of == "keys" else int.from_bytes(dict(((b, u), d) for _, b, u, d in cut(plan, of))[b, u][-4:], "little")
+            bits.setdefault(u, []).extend(np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n).tolist())
+        return bits
+
+    for of, block, by_group, back in (
+            ("cells", lambda p: substring_dedup._merge_sketches, substring_dedup._group_sketch, substring_dedup._group_sketch_answers),
+            ("keys", substring_dedup._earlier_units, substring_dedup._group_keys, substring_dedup._group_key_answers)):
+        want = whole(each(cut(direct, of), block(direct)), direct, of)
+        sent = list(cut(plan, of))
+        place = lambda m: (m[0], m[1], m[2] % 4)
+        asked = list(each(sent, by_group(plan), place, lambda m: m[2] % 4))
+        assert len(asked) < len(list(cut(direct, of))) / 2
+        answered = {}
+        for m in each(asked, block(plan)):
+            answered.setdefault((m[0], m[1] >> 3, m[2]), []).append(m)
+        got = []
+        for key in sorted({place(m) for m in sent}):
+            t = substring_dedup._message([m for m in sent if place(m) == key])
+            got += rows_of(back(plan)(t, substring_dedup._message(answered[key])))
+        assert whole(got, plan, of) == want and any(any(x) for x in want.values())
+
+
 def test_substring_dedup_of_one_id_alone(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_unit_bytes", lambda total: 2_000)
     docs = spark.range(200).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words again " * 5).alias("text"))
