@@ -303,22 +303,20 @@ def _asked(messages, orders=None):
     """
     import numpy as np
 
-    per = 12 if orders is not None else 20
-    sizes = [len(x) // per for x in messages]
-    keys = np.empty(sum(sizes), dtype=[("a", "<u8"), ("b", "<u4")])
-    order, at = np.empty(len(keys), dtype=np.int64), 0
-    for i, (x, n) in enumerate(zip(messages, sizes)):
-        keys["a"][at:at + n] = np.frombuffer(x, dtype="<u8", count=n)
-        keys["b"][at:at + n] = np.frombuffer(x, dtype="<u4", offset=8 * n, count=n)
-        order[at:at + n] = orders[i] if orders is not None else np.frombuffer(x, dtype="<i8", offset=12 * n, count=n)
-        at += n
-    by = np.lexsort((order, keys["b"], keys["a"]))
-    s = keys[by]
-    first = np.ones(len(s), dtype=bool)
-    first[1:] = (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])
-    back = np.empty(len(s), dtype=np.int64)
+    sizes = [len(x) // (12 if orders is not None else 20) for x in messages]
+    a = np.concatenate([np.frombuffer(x, dtype="<u8", count=n) for x, n in zip(messages, sizes)])
+    b = np.concatenate([np.frombuffer(x, dtype="<u4", offset=8 * n, count=n) for x, n in zip(messages, sizes)])
+    if orders is not None:
+        order = np.repeat(np.asarray(orders, dtype=np.int64), sizes)
+    else:
+        order = np.concatenate([np.frombuffer(x, dtype="<i8", offset=12 * n, count=n) for x, n in zip(messages, sizes)])
+    by = np.lexsort((order, b, a))
+    sa, sb = a[by], b[by]
+    first = np.ones(len(by), dtype=bool)
+    first[1:] = (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])
+    back = np.empty(len(by), dtype=np.int64)
     back[by] = np.cumsum(first) - 1
-    return sizes, s[first], back, order, order[by][first]
+    return sizes, (sa[first], sb[first]), back, order, order[by][first]
 
 
 def _unit_orders(t, plan):
@@ -338,10 +336,10 @@ def _group_keys(plan):
     def run(t):
         """One wide block of the units of a group: their distinct keys with the least order of each, cut into blocks."""
         kind, wide, group = (t[c][0].as_py() for c in ("kind", "block", "_group"))
-        _, keys, _, _, least = _asked(t["data"].to_pylist(), _unit_orders(t, plan))
+        _, (ka, kb), _, _, least = _asked(t["data"].to_pylist(), _unit_orders(t, plan))
         rows = []
-        for b, i, j in _blocks(keys["a"], 64 - plan["block_bits"]):
-            rows.append((kind, b, group, keys["a"][i:j].tobytes() + keys["b"][i:j].tobytes() + least[i:j].tobytes()))
+        for b, i, j in _blocks(ka, 64 - plan["block_bits"]):
+            rows.append((kind, b, group, ka[i:j].tobytes() + kb[i:j].tobytes() + least[i:j].tobytes()))
         return _message(rows)
     return run
 
@@ -352,8 +350,8 @@ def _group_key_answers(plan):
         import numpy as np
 
         kind, wide = t["kind"][0].as_py(), t["block"][0].as_py()
-        sizes, keys, back, order, least = _asked(t["data"].to_pylist(), _unit_orders(t, plan))
-        of = {b: j - i for b, i, j in _blocks(keys["a"], 64 - plan["block_bits"])}
+        sizes, (ka, _), back, order, least = _asked(t["data"].to_pylist(), _unit_orders(t, plan))
+        of = {b: j - i for b, i, j in _blocks(ka, 64 - plan["block_bits"])}
         earlier = _group_bits(answers, of.__getitem__)
         return _split_bits(kind, wide, t["unit"].to_pylist(), sizes, earlier[back] | (order > least[back]))
     return run
