@@ -32,14 +32,21 @@ LEDGER_COLUMNS = [
 ACCOUNT_KEY = ("account_id",)
 
 
+NO_AMOUNT, TOO_LARGE = "no positive amount", "amount too large"
+
+
+def line_amount() -> Column:
+    """The double a line stands for: a positive credit, else a positive debit, else null."""
+    dr, cr = parse_amount("debit_text"), parse_amount("credit_text")
+    return F.when(cr > 0, cr).when(dr > 0, dr)
+
+
 def parse_lines(statements: DataFrame, keyword_mode: str = "substring") -> DataFrame:
     """IO1/IO2 + C1-C3 on every statement line; ``keep`` is false for lines that are dropped.
 
     A line is kept when its credit is positive (credit wins) or else its debit
     is positive, and the amount fits decimal(18,2).
     """
-    dr = parse_amount("debit_text")
-    cr = parse_amount("credit_text")
     dated = statements.withColumn("txn_date", parse_date_value("date_text"))
     lines = dated.select(
         "account_id", "source_file", "row_seq",
@@ -47,8 +54,8 @@ def parse_lines(statements: DataFrame, keyword_mode: str = "substring") -> DataF
         "txn_date",
         F.col("narration").alias("description"),
         normalize_description("narration").alias("processed"),
-        (cr > 0).alias("is_credit"),
-        to_money(F.when(cr > 0, cr).when(dr > 0, dr)).alias("amount"),
+        (parse_amount("credit_text") > 0).alias("is_credit"),
+        to_money(line_amount()).alias("amount"),
     )
     return lines.select(
         "*",
@@ -180,6 +187,18 @@ def ingest_report(statements: DataFrame, stored: DataFrame | None = None,
     )
 
 
+def dropped_lines(statements: DataFrame) -> DataFrame:
+    """IO1/IO5: the lines that an ingest drops, as they were read, each with the reason.
+
+    ``TOO_LARGE``: a positive amount (infinity too) that decimal(18,2) cannot hold, so money that is
+    missing from the ledger; ``NO_AMOUNT``: blank, unparsable, zero or negative in both columns.
+    """
+    lines = statements.withColumn("_amount", line_amount())
+    return lines.where(to_money("_amount").isNull()).select(
+        "account_id", "source_file", "row_seq", F.col("narration").alias("description"), "debit_text", "credit_text",
+        F.when(F.col("_amount").isNull(), F.lit(NO_AMOUNT)).otherwise(F.lit(TOO_LARGE)).alias("reason"))
+
+
 def uncategorized_report(inserted: DataFrame) -> DataFrame:
     """IO5: the uncategorised rows of an ingest (description, amount, type, hash)."""
     return inserted.where(F.col("category").isNull()).select(

@@ -118,6 +118,26 @@ def q_ingest_report(spark, sf_dir):
     return ingest.ingest_report(statements(spark, sf_dir))
 
 
+_SCALED = "CASE WHEN row_seq % 5 = 0 THEN {0} || 'e11' ELSE {0} END"
+
+
+@register("dropped_lines", O.PREFIX + f""", scaled AS (
+  SELECT account_id, row_seq, narration AS description, {_SCALED.format("debit_text")} AS debit_text,
+    {_SCALED.format("credit_text")} AS credit_text FROM statement),
+wanted AS (
+  SELECT *, CASE WHEN TRY_CAST(credit_text AS DOUBLE) > 0 THEN TRY_CAST(credit_text AS DOUBLE)
+    WHEN TRY_CAST(debit_text AS DOUBLE) > 0 THEN TRY_CAST(debit_text AS DOUBLE) END AS amount FROM scaled)
+SELECT account_id, row_seq, description, debit_text, credit_text,
+  CASE WHEN amount IS NULL THEN '{ingest.NO_AMOUNT}' ELSE '{ingest.TOO_LARGE}' END AS reason
+FROM wanted WHERE TRY_CAST(amount AS DECIMAL(18,2)) IS NULL""")
+def q_dropped_lines(spark, sf_dir):
+    """Every fifth amount is 10^11 times as large: those from 100,000 on do not fit."""
+    st = statements(spark, sf_dir)
+    scaled = st.withColumns({c: F.when(F.col("row_seq") % 5 == 0, F.concat(c, F.lit("e11"))).otherwise(F.col(c))
+                             for c in ("debit_text", "credit_text")})
+    return ingest.dropped_lines(scaled).drop("source_file")
+
+
 # ---------------------------------------------------------------- IO6, P1-P3, P7, P8
 
 ROW_SELECT = ("SELECT account_id, row_seq, date, description, " + O.dbl("amount") +
