@@ -32,14 +32,24 @@ from finledger.taxonomy import MONTH_NAMES
 
 
 def with_gaps_filled(monthly: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Months without a row between a key's first and last calendar month, as zeros (months that are no ``YYYY-MM`` stay)."""
-    real = monthly.where(F.col("month").rlike(r"^\d{4}-(0[1-9]|1[0-2])$"))
-    first = lambda f: F.to_date(F.concat(f("month"), F.lit("-01")))
-    span = real.groupBy(*by).agg(first(F.min).alias("lo"), first(F.max).alias("hi")).where(F.col("lo").isNotNull())
-    every = span.select(*by, F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("d")).select(
-        *by, F.date_format("d", "yyyy-MM").alias("month"), *[F.lit(0).cast("decimal(28,2)").alias(c) for c in ("income", "expenses", "savings")])
-    both = monthly.unionByName(every)
-    return both.groupBy(*by, "month").agg(*[F.sum(c).alias(c) for c in ("income", "expenses", "savings")])
+    """Months without a row between a key's first and last calendar month, as zeros (months that are no ``YYYY-MM`` stay).
+
+    Every calendar month also stands for the missing ones since the key's calendar month before it, so the rows are added where
+    the key's rows are, after the one shuffle by key that the windows of a report need. That shuffle has a
+    fixed number of partitions: small inputs that grow by their gaps are not merged into a few tasks.
+    """
+    if by:
+        monthly = monthly.repartition(int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    month, money = F.col("month"), ("income", "expenses", "savings")
+    number = month.substr(1, 4).cast("int") * 12 + month.substr(6, 2).cast("int") - 1
+    numbered = monthly.withColumn("_no", F.when(month.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), number))
+    before = F.last("_no", ignorenulls=True).over(key_window(by).orderBy("month").rowsBetween(Window.unboundedPreceding, -1))
+    since = F.coalesce(F.col("_before") + 1, F.col("_no"))
+    each = numbered.withColumn("_before", before).withColumn("_at", F.explode(F.when(F.col("_no").isNull(), F.array("_no")).otherwise(F.sequence(since, "_no"))))
+    label = F.concat_ws("-", F.lpad(F.floor(F.col("_at") / 12).cast("string"), 4, "0"), F.lpad((F.col("_at") % 12 + 1).cast("string"), 2, "0"))
+    zero = F.lit(0).cast("decimal(28,2)")
+    value = lambda c: F.when(F.col("_at").isNull(), F.col(c)).when(F.col("_at") == F.col("_no"), F.coalesce(c, zero)).otherwise(zero)
+    return each.select(*by, F.when(F.col("_at").isNull(), month).otherwise(label).alias("month"), *[value(c).alias(c) for c in money])
 
 
 def monthly_trends(ledger: DataFrame, by: Sequence[str] = (), fill_gaps: bool = False) -> DataFrame:
