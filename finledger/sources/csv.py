@@ -9,11 +9,11 @@ file is opened on the driver. Numbers and dates are parsed by expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finledger.operators.ledger import newest_first
-from finledger.session import fresh_dir
+from finledger.session import fresh_dir, written
 from finledger.sources.derived import STATEMENT_COLUMNS
 from finledger.taxonomy import REQUIRED_CSV_COLUMNS
 
@@ -115,3 +115,18 @@ def export_csv(df: DataFrame, path: str, limit: int | None = None) -> None:
     if limit is not None:
         out = out.limit(limit)
     out.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines of an export with their ``position`` in it, from 1.
+
+    A split of a file is read by one task in one go, so a line's place in its split is its id less the split's first id, and only the
+    sizes of the splits are put in order. The lines are neither sorted nor dealt again; they are written with their ids
+    first, since a second scan may be split otherwise.
+    """
+    split = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
+    lines = written(spark.read.csv(path, header=True, escape='"', schema=schema).withColumns(split), "export-lines")
+    splits = lines.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = splits.select("_file", "_start", (before - F.col("_first") + 1).alias("_shift"))
+    return lines.join(F.broadcast(firsts), ["_file", "_start"]).withColumn("position", (F.col("_at") + F.col("_shift")).cast("long")).drop(*split, "_shift")

@@ -3,7 +3,11 @@
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
+from __spark_entry__ import queries
 from finledger.operators import trends
+from finledger.sources.csv import read_export
 
 LEDGER = "account_id long, month string, transaction_type string, is_saving int, amount decimal(18,2)"
 ACCT = ("account_id",)
@@ -13,6 +17,14 @@ def plan(df) -> list[str]:
     return df._jdf.queryExecution().executedPlan().toString().splitlines()
 
 
+def orders(spark, path, n):
+    """``n`` orders of seven customers over three years."""
+    k = F.col("id")
+    spark.range(1, n + 1).select(
+        k.alias("o_orderkey"), (k % 7).alias("o_custkey"), F.timestamp_seconds(852076800 + k * 7919 % 1095 * 86400).cast("timestamp_ntz").alias("o_orderdate"),
+        (k * 37 % 10007 / 100.0 + 1).alias("o_totalprice")).write.parquet(str(path))
+
+
 def filled_by_hand(rows):
     """{(account, month): expenses} with the missing calendar months of each account."""
     out = {}
@@ -40,3 +52,21 @@ def test_gaps_are_filled_behind_the_shuffle_by_key(spark):
     assert not [line for line in lines[:top] if "Exchange" in line]      # the added rows are never dealt again
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     assert any(f", {parts})" in line and "REPARTITION_BY_NUM" in line for line in lines[top:])     # and their tasks are not merged
+
+
+def test_lines_of_an_export_are_numbered_without_one_task_for_all(spark, tmp_path):
+    df = spark.range(0, 3000, numPartitions=3).selectExpr("id as n", "concat('t, ', id) as text")
+    path = str(tmp_path / "csv")
+    df.write.option("header", True).csv(path)
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")     # several splits a file, several tasks
+        back = read_export(spark, path, "n long, text string")
+        assert [(r.n, r.text, r.position) for r in back.orderBy("position").collect()] == [(n, f"t, {n}", n + 1) for n in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert back.columns == ["n", "text", "position"]
+    orders(spark, tmp_path / "orders.parquet", 40)
+    lines = plan(queries()["export_csv"](spark, str(tmp_path)))
+    windows = [i for i, line in enumerate(lines) if "Window" in line]
+    assert windows and all("_size" in lines[i] for i in windows)      # only the sizes of the splits meet in one task
