@@ -160,10 +160,11 @@ def write_batch(rows: DataFrame, path: str, batch_id: int = 0, writer: str | Non
 
 
 def append_new(spark: SparkSession, transactions: DataFrame, path: str, batch_id: int = 0,
-               key=ACCOUNT_KEY, writer: str | None = None) -> DataFrame:
+               key=ACCOUNT_KEY, writer: str | None = None, cache: bool = True) -> DataFrame:
     """IO3: store the first copies of transactions whose (key, hash) is not stored yet.
 
-    ``key`` is ``("account_id",)``, or empty for one ledger without accounts. Without ``writer`` the call is an upload of its own. Returns
+    ``key`` is ``("account_id",)``, or empty for one ledger without accounts. Without ``writer`` the call is an upload of its own.
+    ``cache=False``: the transactions, which are read twice, are a stored table and need no copy in memory. Returns
     the rows of this batch as written (read back from storage).
     """
     if not set(key) <= {"account_id"}:
@@ -175,8 +176,9 @@ def append_new(spark: SparkSession, transactions: DataFrame, path: str, batch_id
             if not now.live:
                 rows = new_rows(transactions, None, key)
             else:
-                tx = tx if tx is not None else transactions.persist()
-                rows = new_rows(tx, known_keys(spark, path, tx, now, writer, batch_id), key)
+                if cache and tx is None:
+                    tx = transactions.persist()
+                rows = new_rows(transactions, known_keys(spark, path, transactions, now, writer, batch_id), key)
             version = _commit_batch(spark, rows, path, now, writer, batch_id)
             if version is not None:
                 return read_versions(spark, path, [version])

@@ -3,10 +3,13 @@
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from finledger.operators import trends
+from finledger.operators import ingest, ml, trends
+from finledger.plans import catalog
+from finledger.plans import ml_stream_queries as q
 from finledger.sources.csv import read_export
 
 LEDGER = "account_id long, month string, transaction_type string, is_saving int, amount decimal(18,2)"
@@ -70,3 +73,44 @@ def test_lines_of_an_export_are_numbered_without_one_task_for_all(spark, tmp_pat
     lines = plan(queries()["export_csv"](spark, str(tmp_path)))
     windows = [i for i, line in enumerate(lines) if "Window" in line]
     assert windows and all("_size" in lines[i] for i in windows)      # only the sizes of the splits meet in one task
+
+
+def counting(spark, monkeypatch):
+    """Statement lines whose narration is read by an ingest, and the derived lines."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(text):
+        seen.add(1)
+        return text
+
+    plain = catalog.statements
+    counted = lambda s, d: plain(s, d).withColumn("narration", F.udf(same)("narration"))
+    monkeypatch.setattr(catalog, "statements", counted)
+    monkeypatch.setattr(q, "statements", counted)
+    train = ml.train
+    monkeypatch.setattr(ml, "train", lambda bag, *_: train(bag, 3))
+    return seen, plain
+
+
+@pytest.mark.parametrize("name", [
+    "stream_daily_replayed", "ingest_compacted", "ingest_two_uploads", "ingest_upload_then_stream"])
+def test_statement_lines_are_parsed_once(spark, tmp_path, monkeypatch, name):
+    """However many uploads, bags and scores are made of them."""
+    orders(spark, tmp_path / "orders.parquet", 120)
+    seen, plain = counting(spark, monkeypatch)
+    assert queries()[name](spark, str(tmp_path)).collect()
+    assert seen.value == plain(spark, str(tmp_path)).count()
+
+
+def test_stored_keys_meet_new_rows_in_one_shuffle(spark):
+    fields = "account_id long, hash string, source_file string, row_seq long, amount decimal(18,2), note string"
+    tx = spark.createDataFrame([(1, "a", None, 2, Decimal(1), "second"), (1, "a", None, 1, Decimal(1), "first"), (None, "a", None, 3, Decimal(1), "x"),
+                                (None, "b", None, 4, Decimal(1), None), (2, "c", None, 5, None, "dropped"), (1, "d", None, 6, Decimal(2), "y")], fields)
+    stored = spark.createDataFrame([(None, "a"), (None, "a"), (2, "a"), (1, "d"), (7, "z")], "account_id long, hash string")
+    out = ingest.new_rows(tx, stored)
+    assert out.columns == tx.columns
+    assert sorted((r.hash, r.account_id, r.row_seq, r.note) for r in out.collect()) == [("a", 1, 1, "first"), ("b", None, 4, None)]
+    assert [r.hash for r in ingest.new_rows(tx, stored, ()).collect()] == ["b"]
+    lines = plan(ingest.new_rows(tx, stored))
+    assert not [line for line in lines if "Join" in line]
+    assert sum("Exchange" in line for line in lines) == 1
