@@ -93,7 +93,7 @@ def counting(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("name", [
-    "stream_daily_replayed", "ingest_compacted", "ingest_two_uploads", "ingest_upload_then_stream"])
+    "stream_daily_replayed", "ingest_compacted", "ingest_two_uploads", "ingest_upload_then_stream", "ml_expense", "ml_debit_type", "model_registry"])
 def test_statement_lines_are_parsed_once(spark, tmp_path, monkeypatch, name):
     """However many uploads, bags and scores are made of them."""
     orders(spark, tmp_path / "orders.parquet", 120)
