@@ -102,6 +102,23 @@ def test_statement_lines_are_parsed_once(spark, tmp_path, monkeypatch, name):
     assert seen.value == plain(spark, str(tmp_path)).count()
 
 
+def test_registered_models_are_fitted_to_their_end(spark, tmp_path, monkeypatch):
+    """The fits of the registry stop where the loss stops falling, not at a number of iterations."""
+    orders(spark, tmp_path / "orders.parquet", 1040)
+    ends, fit = [], ml.LogisticRegression.fit
+
+    def counted(lr, data):
+        m = fit(lr, data)
+        ends.append((m.summary.totalIterations, lr.getMaxIter()))
+        return m
+
+    monkeypatch.setattr(ml.LogisticRegression, "fit", counted)
+    rows = queries()["model_registry"](spark, str(tmp_path)).collect()
+    assert [(r.step, r.reused) for r in rows] == [("corrected", False), ("as ingested", False), ("corrected again", True)]
+    assert len(ends) == 2 * len(ml.MODEL_NAMES)
+    assert all(steps < most == ml.MAX_ITER for steps, most in ends)
+
+
 def test_stored_keys_meet_new_rows_in_one_shuffle(spark):
     fields = "account_id long, hash string, source_file string, row_seq long, amount decimal(18,2), note string"
     tx = spark.createDataFrame([(1, "a", None, 2, Decimal(1), "second"), (1, "a", None, 1, Decimal(1), "first"), (None, "a", None, 3, Decimal(1), "x"),
